@@ -129,6 +129,12 @@ def vectorizer_tokens(c) -> Column:
     return F.regexp_extract_all(F.lower(_c(c)), F.lit(J_VECTORIZER_TOKEN), 0)
 
 
+def _gram_at(tokens: Column, n: int):
+    def at(_x, i):
+        return F.array_join(F.slice(tokens, i + 1, n), " ")
+    return at
+
+
 def ngrams(tokens: Column, n_min: int = 1, n_max: int = 2) -> Column:
     """All word n-grams for n in [n_min, n_max], joined by a blank,
     ordered by n then position (the order does not matter for counting)."""
@@ -138,8 +144,7 @@ def ngrams(tokens: Column, n_min: int = 1, n_max: int = 2) -> Column:
             parts.append(tokens)
             continue
         starts = F.slice(tokens, 1, F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
-        parts.append(F.transform(
-            starts, lambda _x, i, n=n: F.array_join(F.slice(tokens, i + 1, n), " ")))
+        parts.append(F.transform(starts, _gram_at(tokens, n)))
     out = parts[0]
     for p in parts[1:]:
         out = F.concat(out, p)

@@ -21,5 +21,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(side) if n <= max_rows else side
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the cluster's shared
+    ``spark.checkpoint.dir`` (never a local checkpoint), so an expensive
+    input (e.g. regex-cleaned text) is computed once and survives executor
+    loss."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def sum_bigint(c) -> F.Column:
     return F.sum(c).cast("bigint")

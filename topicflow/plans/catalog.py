@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean, sqltext as S, text as T, tokens as K
-from ..operators import sample, taxonomy
+from ..operators import features, metrics, sample, taxonomy
 from ..plans import prepare
 from ..session import read_table
 from ..sources import derive
@@ -313,6 +313,226 @@ def q_newsgroup_body(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", clean.newsgroup_body("text").alias("body"))
 
 
+# ---------------------------------------------------------------------------
+# Metrics over a deterministic predictions table
+# ---------------------------------------------------------------------------
+def _pred_sql(salt: str = "p", model: str = "fixed_predictor") -> str:
+    h = f"md5('{salt}:' || CAST(doc_id AS VARCHAR))"
+    return f"""
+SELECT '{model}' AS model, doc_id, lang AS domain, lang AS y,
+       CASE WHEN substr({h}, 1, 2) = 'ff' THEN 'xx'
+            WHEN substr({h}, 1, 1) <= 'b' THEN lang
+            ELSE CASE lang WHEN 'en' THEN 'de' WHEN 'de' THEN 'es' WHEN 'es' THEN 'fr' WHEN 'fr' THEN 'en' END
+       END AS p
+FROM documents"""
+
+
+MODELS3 = (("p", "classic"), ("q", "neural"), ("r", "neural_lem"))
+PRED3_SQL = " UNION ALL ".join(_pred_sql(s_, m) for s_, m in MODELS3)
+
+
+def _preds3(spark, sf):
+    out = None
+    for salt, model in MODELS3:
+        d = derive.predictions(spark, sf, salt, model)
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def _stats_sql(by: str, labels: str) -> str:
+    """SQL per-label stats over CTE ``c(by..., y, p, n)``."""
+    g = f"{by}, " if by else ""
+    on = " AND ".join([f"ts.{b.strip()} = ps.{b.strip()}" for b in by.split(",") if b.strip()] + ["ts.label = ps.label"])
+    co = "".join(f"coalesce(ts.{b.strip()}, ps.{b.strip()}) AS {b.strip()}, " for b in by.split(",") if b.strip())
+    how = "FULL JOIN" if labels == "union" else "LEFT JOIN"
+    return f"""
+SELECT {co}coalesce(ts.label, ps.label) AS label, CAST(coalesce(support, 0) AS BIGINT) AS support,
+       CAST(coalesce(predicted, 0) AS BIGINT) AS predicted, CAST(coalesce(tp, 0) AS BIGINT) AS tp,
+       CASE WHEN coalesce(predicted, 0) > 0 THEN tp / predicted ELSE 0 END AS precision,
+       CASE WHEN coalesce(support, 0) > 0 THEN coalesce(tp, 0) / support ELSE 0 END AS recall
+FROM (SELECT {g}y AS label, sum(n) AS support, sum(CASE WHEN y = p THEN n ELSE 0 END) AS tp FROM c GROUP BY {g}y) ts
+{how} (SELECT {g}p AS label, sum(n) AS predicted FROM c GROUP BY {g}p) ps ON {on}"""
+
+
+def _f1(pr="precision", rc="recall") -> str:
+    return f"CASE WHEN {pr} + {rc} > 0 THEN 2 * {pr} * {rc} / ({pr} + {rc}) ELSE 0 END"
+
+
+@register("metrics_summary", f"""
+WITH pr AS ({PRED3_SQL}),
+c AS (SELECT model, y, p, count(*) AS n FROM pr GROUP BY model, y, p),
+su AS ({_stats_sql('model', 'union')}),
+sp AS ({_stats_sql('model', 'present')}),
+a AS (SELECT model, CAST(sum(n) AS BIGINT) AS n, sum(CASE WHEN y = p THEN n ELSE 0 END) / sum(n) AS accuracy FROM c GROUP BY model)
+SELECT a.model, a.n, round(a.accuracy, 6) AS accuracy,
+       round((SELECT avg({_f1()}) FROM su WHERE su.model = a.model), 6) AS f1_macro_union,
+       round((SELECT avg({_f1()}) FROM sp WHERE sp.model = a.model), 6) AS f1_macro_present
+FROM a""")
+def q_metrics_summary(spark, sf):
+    """G06 + G07 + G08 for three predictors (M10 comparison, overall)."""
+    m = metrics.summary(_preds3(spark, sf), ["model"])
+    return m.select("model", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "f1_macro_union", "f1_macro_present")])
+
+
+@register("metrics_by_domain", f"""
+WITH pr AS ({PRED3_SQL}),
+c AS (SELECT model, domain, y, p, count(*) AS n FROM pr GROUP BY model, domain, y, p),
+su AS ({_stats_sql('model, domain', 'union')}),
+sp AS ({_stats_sql('model, domain', 'present')}),
+a AS (SELECT model, domain, CAST(sum(n) AS BIGINT) AS n,
+             sum(CASE WHEN y = p THEN n ELSE 0 END) / sum(n) AS accuracy FROM c GROUP BY model, domain)
+SELECT a.model, a.domain, a.n, round(a.accuracy, 6) AS accuracy,
+       round((SELECT avg({_f1()}) FROM su WHERE su.model = a.model AND su.domain = a.domain), 6) AS f1_macro_union,
+       round((SELECT avg({_f1()}) FROM sp WHERE sp.model = a.model AND sp.domain = a.domain), 6) AS f1_macro_present
+FROM a""")
+def q_metrics_by_domain(spark, sf):
+    """Per-domain evaluation in one groupBy, never a loop."""
+    m = metrics.summary(_preds3(spark, sf), ["model", "domain"])
+    return m.select("model", "domain", "n",
+                    *[F.round(c, 6).alias(c) for c in ("accuracy", "f1_macro_union", "f1_macro_present")])
+
+
+@register("class_report", f"""
+WITH pr AS ({_pred_sql()}),
+c AS (SELECT y, p, count(*) AS n FROM pr GROUP BY y, p),
+st AS ({_stats_sql('', 'present')}),
+f AS (SELECT *, {_f1()} AS f1 FROM st),
+lab AS (SELECT sum(tp) AS tp, sum(predicted) AS pred, sum(support) AS sup FROM st),
+tot AS (SELECT sum(n) AS n, sum(CASE WHEN y = p THEN n ELSE 0 END) AS tp_all,
+               sum(CASE WHEN p NOT IN (SELECT label FROM st) THEN n ELSE 0 END) AS outside FROM c),
+mi AS (SELECT CASE WHEN pred > 0 THEN tp / pred ELSE 0 END AS mp, CASE WHEN sup > 0 THEN tp / sup ELSE 0 END AS mr,
+              sup, n, tp_all, outside FROM lab, tot)
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM f
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+                 round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT CASE WHEN outside > 0 OR sup < n THEN 'micro avg' ELSE 'accuracy' END,
+                 CASE WHEN outside > 0 OR sup < n THEN round(mp, 6) END, CASE WHEN outside > 0 OR sup < n THEN round(mr, 6) END,
+                 round(CASE WHEN outside > 0 OR sup < n THEN {_f1('mp', 'mr')} ELSE tp_all / n END, 6),
+                 CAST(CASE WHEN outside > 0 OR sup < n THEN sup ELSE n END AS BIGINT) FROM mi""")
+def q_class_report(spark, sf):
+    """G09 with labels present in y (a predicted-only label -> micro avg row)."""
+    r = metrics.classification_report(derive.predictions(spark, sf), labels="present")
+    return r.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@register("confusion_grid", f"""
+WITH pr AS ({PRED3_SQL}),
+c AS (SELECT model, y, p, count(*) AS n FROM pr GROUP BY model, y, p),
+l AS (SELECT DISTINCT model, y AS label FROM c),
+g AS (SELECT a.model, a.label AS y, b.label AS p FROM l a JOIN l b ON a.model = b.model)
+SELECT g.model, g.y, g.p, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM g LEFT JOIN c ON g.model = c.model AND g.y = c.y AND g.p = c.p""")
+def q_confusion_grid(spark, sf):
+    """G10 + J06: zero-filled label x label grid per model."""
+    return metrics.confusion_grid(_preds3(spark, sf), ["model"])
+
+
+@register("union_labels", f"SELECT DISTINCT label FROM (SELECT y AS label FROM ({_pred_sql()}) UNION ALL SELECT p FROM ({_pred_sql()}))")
+def q_union_labels(spark, sf):
+    """U03."""
+    return metrics.union_labels(derive.predictions(spark, sf))
+
+
+@register("class_weights", """
+SELECT lang AS label, count(*) AS n_c,
+       round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight
+FROM documents GROUP BY lang""")
+def q_class_weights(spark, sf):
+    """Balanced weights of the language labels."""
+    w = metrics.class_weights(read_table(spark, sf, "documents").select(F.col("lang").alias("label")))
+    return w.select("label", "n_c", F.round("weight", 6).alias("weight"))
+
+
+@register("score_matrix", f"""
+WITH pr AS ({PRED3_SQL}),
+s AS (SELECT model, domain, round(avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END), 6) AS acc FROM pr GROUP BY model, domain)
+SELECT model,
+       coalesce(max(CASE WHEN domain = 'en' THEN acc END), 0) AS en,
+       coalesce(max(CASE WHEN domain = 'de' THEN acc END), 0) AS de,
+       coalesce(max(CASE WHEN domain = 'es' THEN acc END), 0) AS es,
+       coalesce(max(CASE WHEN domain = 'fr' THEN acc END), 0) AS fr,
+       coalesce(max(CASE WHEN domain = 'xx' THEN acc END), 0) AS xx
+FROM s GROUP BY model""")
+def q_score_matrix(spark, sf):
+    """Model x slice matrix on a known slice list; missing -> 0."""
+    s = (_preds3(spark, sf).groupBy("model", "domain")
+         .agg(F.round(F.avg(F.when(F.col("y") == F.col("p"), 1.0).otherwise(0.0)), 6).alias("acc")))
+    return metrics.score_matrix(s, "model", "domain", "acc", ["en", "de", "es", "fr", "xx"])
+
+
+@register("label_index", """
+SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS DOUBLE) AS label_id
+FROM (SELECT DISTINCT lang AS label FROM documents)""")
+def q_label_index(spark, sf):
+    """Alphabetical label ids fitted on the labels (StringIndexer)."""
+    from ..operators import classify
+    d = read_table(spark, sf, "documents").select(F.col("lang").alias("label"))
+    idx = classify.label_indexer(d, "label")
+    return idx.transform(d.distinct()).select("label", F.col("label_id"))
+
+
+# ---------------------------------------------------------------------------
+# TF-IDF on the TF-IDF text version
+# ---------------------------------------------------------------------------
+TFP = features.TfidfParams()
+
+
+def _terms_sql() -> str:
+    toks = f"regexp_extract_all(lower({S.tfidf_text('text')}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+    return f"""
+SELECT doc_id, list_concat(toks, list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])) AS terms
+FROM (SELECT doc_id, {toks} AS toks FROM documents) x"""
+
+
+TF_SQL = f"""
+SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM ({_terms_sql()}) d) e
+GROUP BY doc_id, term"""
+VOCAB_SQL = f"""
+SELECT term, df, cf, ln((1 + n) / (1 + df)) + 1 AS idf FROM (
+  SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, (SELECT count(*) FROM documents) AS n
+  FROM tf GROUP BY term) s
+WHERE df >= {TFP.min_df} AND df <= {TFP.max_df!r} * n
+ORDER BY cf DESC, term LIMIT {TFP.max_features}"""
+
+
+def _tfidf_docs(spark, sf):
+    return read_table(spark, sf, "documents").select("doc_id", K.tfidf_text("text").alias("text"))
+
+
+@register("term_stats", f"WITH tf AS ({TF_SQL}) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term")
+def q_term_stats(spark, sf):
+    docs = features.with_terms(_tfidf_docs(spark, sf))
+    return features.term_stats(features.term_frequencies(docs))
+
+
+@register("vocabulary", f"""WITH tf AS ({TF_SQL}), v AS ({VOCAB_SQL})
+SELECT term, df, cf, round(idf, 6) AS idf, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS "index" FROM v""")
+def q_vocabulary(spark, sf):
+    v = features.fit_tfidf(_tfidf_docs(spark, sf), TFP)
+    return v.select("term", "df", "cf", F.round("idf", 6).alias("idf"), "index")
+
+
+@register("tfidf_long", f"""WITH tf AS ({TF_SQL}), v AS ({VOCAB_SQL}),
+w AS (SELECT tf.doc_id, tf.term, tf.tf, tf.tf * v.idf AS w FROM tf JOIN v ON tf.term = v.term)
+SELECT doc_id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
+def q_tfidf_long(spark, sf):
+    docs = _tfidf_docs(spark, sf)
+    v = features.fit_tfidf(docs, TFP)
+    return features.tfidf_long(docs, v, TFP).select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
+
+
+@register("doc_norms", f"""WITH tf AS ({TF_SQL}), v AS ({VOCAB_SQL}),
+w AS (SELECT tf.doc_id, tf.tf * v.idf AS w FROM tf JOIN v ON tf.term = v.term),
+x AS (SELECT doc_id, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w)
+SELECT doc_id, round(sqrt(sum(weight * weight)), 6) AS norm FROM x GROUP BY doc_id""")
+def q_doc_norms(spark, sf):
+    docs = _tfidf_docs(spark, sf)
+    v = features.fit_tfidf(docs, TFP)
+    n = features.doc_norms(features.tfidf_long(docs, v, TFP))
+    return n.select("doc_id", F.round("norm", 6).alias("norm"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, tokens
 from ..operators import sample, taxonomy
+from ..operators.common import materialize
 
 VERSIONS = ("tfidf", "transformer", "transformer_lem")
 
@@ -46,7 +47,8 @@ def cleaned_versions(df: DataFrame, versions=VERSIONS, text: str = "text") -> Da
     versions come from one scan (array of structs, exploded)."""
     arr = F.array(*[F.struct(F.lit(v).alias("version"), version_text(v, text).alias("clean_text"))
                     for v in versions])
-    return df.withColumn("_v", F.explode(arr)).select(
+    # explode_outer: no inferred size() filter re-running the cleaning
+    return df.withColumn("_v", F.explode_outer(arr)).select(
         *[c for c in df.columns if c != text], "_v.version", "_v.clean_text")
 
 
@@ -64,8 +66,9 @@ def split_versions(versions_df: DataFrame, by: str = "domain", id_col: str = "do
                    seed: int = 42) -> DataFrame:
     """P05 + W03 per version: every version is filtered and split on its own,
     as the reference does; the key-based rank keeps a document on nearly the
-    same side in all versions."""
-    kept = versions_df.where(clean.is_nonempty("clean_text"))
+    same side in all versions. The cleaned rows are read twice (bucket
+    counts, then ranks), so they are checkpointed once first."""
+    kept = materialize(versions_df.where(clean.is_nonempty("clean_text")))
     offs = sample.bucket_offsets(kept, ["version", by], id_col, seed)
     sizes = sample.group_sizes(offs, ["version", by])
     n_train, n_val, _ = sample.split_sizes(F.col("n"))
