@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean, sqltext as S, text as T, tokens as K
-from ..operators import features, metrics, sample, taxonomy
+from ..operators import collect, features, metrics, sample, taxonomy
 from ..plans import prepare
 from ..session import read_table
 from ..sources import derive
@@ -533,6 +533,197 @@ def q_doc_norms(spark, sf):
     return n.select("doc_id", F.round("norm", 6).alias("norm"))
 
 
+# ---------------------------------------------------------------------------
+# Posts derived from documents
+# ---------------------------------------------------------------------------
+D_EDGE = r"^[\s\x0b\x1c-\x1f\x85\p{Z}]+|[\s\x0b\x1c-\x1f\x85\p{Z}]+$"
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, {S.q(D_EDGE)}, '', 'g')"
+
+
+POSTS_BASE_SQL = """
+SELECT CAST(d.doc_id AS VARCHAR) AS id,
+       split_part(d.text, chr(10), 1) AS title,
+       CASE WHEN strpos(d.text, chr(10)) > 0 THEN substr(d.text, strpos(d.text, chr(10)) + 1) ELSE '' END AS selftext,
+       d.source AS subreddit,
+       CASE WHEN l.toxic = 1 THEN ' Flagged ' END AS link_flair_text,
+       CAST(1700000000 + d.doc_id * 60 AS DOUBLE) AS created_utc,
+       '/r/' || d.source || '/comments/' || CAST(d.doc_id AS VARCHAR) || '/' AS permalink,
+       strpos(d.text, chr(10)) > 0 AND length(substr(d.text, strpos(d.text, chr(10)) + 1)) > 0 AS is_self,
+       l.toxic = 1 AS over_18,
+       CAST(d.n_chars % 97 AS INTEGER) AS num_comments,
+       CAST(d.n_chars % 1000 AS INTEGER) AS score,
+       CASE WHEN l.quality IS NOT NULL THEN 0.5 + l.quality * 0.4 END AS upvote_ratio,
+       0 AS copy
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+POSTS_SQL = f"""
+SELECT * FROM ({POSTS_BASE_SQL}) b
+UNION ALL SELECT * REPLACE (1 AS copy) FROM ({POSTS_BASE_SQL}) c WHERE CAST(id AS BIGINT) % 10 = 0"""
+SER_SQL = f"""{_strip_sql("coalesce(title, '') || chr(10) || chr(10) || coalesce(selftext, '')")} AS text,
+       id, subreddit, link_flair_text AS flair,
+       strftime(make_timestamp(CAST(created_utc * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS created_utc,
+       'https://www.reddit.com' || permalink AS permalink, coalesce(is_self, false) AS is_self,
+       coalesce(over_18, false) AS over_18, coalesce(num_comments, 0) AS num_comments,
+       coalesce(score, 0) AS score, upvote_ratio"""
+SRC_K = "CAST(regexp_extract(source, '^src(\\d+)$', 1) AS INTEGER)"
+TOPICMAP_SQL = f"""
+SELECT DISTINCT source AS subreddit, {SRC_K} AS k, 'T' || CAST({SRC_K} % 7 AS VARCHAR) AS topic,
+       {SRC_K} % 7 AS topic_pos
+FROM documents WHERE regexp_full_match(source, 'src\\d+') AND source <> 'src19'"""
+
+
+def _label_sql(mode: str = "hybrid") -> str:
+    fl = _strip_sql("coalesce(link_flair_text, '')")
+    sub = "coalesce(CASE WHEN bucket <> '' THEN bucket END, subreddit)"
+    if mode == "subreddit":
+        return sub
+    return f"CASE WHEN {fl} <> '' THEN {fl} ELSE {sub} END"
+
+
+def _topic_map(spark, sf):
+    return derive.topic_map(spark, sf)
+
+
+@register("topic_map_inverted", f"SELECT lower(subreddit) AS sub_key, topic AS bucket FROM ({TOPICMAP_SQL}) t")
+def q_topic_map_inverted(spark, sf):
+    return collect.invert_topic_map(_topic_map(spark, sf))
+
+
+@register("posts_serialized", f"SELECT copy, {SER_SQL} FROM ({POSTS_SQL}) p")
+def q_posts_serialized(spark, sf):
+    return collect.serialize_posts(derive.posts(spark, sf), include_title=True, full=True, keep=["copy"])
+
+
+@register("posts_text_body_first", f"""
+SELECT id, copy, CASE WHEN coalesce(selftext, '') <> '' THEN selftext ELSE coalesce(title, '') END AS text
+FROM ({POSTS_SQL}) p""")
+def q_posts_text_body_first(spark, sf):
+    """P08 default arm: body, else title."""
+    return collect.serialize_posts(derive.posts(spark, sf), include_title=False, full=False, keep=["id", "copy"])
+
+
+@register("posts_labeled", f"""
+WITH inv AS (SELECT lower(subreddit) AS sub_key, topic AS bucket FROM ({TOPICMAP_SQL}) t)
+SELECT id, copy, {_label_sql('hybrid')} AS label_hybrid, {_label_sql('subreddit')} AS label_subreddit
+FROM ({POSTS_SQL}) p LEFT JOIN inv ON lower(p.subreddit) = inv.sub_key""")
+def q_posts_labeled(spark, sf):
+    """P10 + J02 in hybrid (= flair) and subreddit modes."""
+    posts = derive.posts(spark, sf)
+    inv = collect.invert_topic_map(_topic_map(spark, sf))
+    h = collect.assign_label(posts, inv, "hybrid").withColumnRenamed("label", "label_hybrid")
+    sub = collect.assign_label(h, inv, "subreddit").withColumnRenamed("label", "label_subreddit")
+    return sub.select("id", "copy", "label_hybrid", "label_subreddit")
+
+
+@register("posts_with_text", f"""
+SELECT id, copy FROM ({POSTS_SQL}) p
+WHERE length({_strip_sql("coalesce(title, '')")}) > 0 OR length({_strip_sql("coalesce(selftext, '')")}) > 0""")
+def q_posts_with_text(spark, sf):
+    """Title or body has text."""
+    return derive.posts(spark, sf).where(T.has_text("title", "selftext")).select("id", "copy")
+
+
+LISTING_ORDER = {
+    "new": "created_utc DESC, id, copy",
+    "top": "score DESC, created_utc DESC, id, copy",
+    "search": "created_utc DESC, id, copy",
+}
+
+
+@register("posts_listing", f"""
+WITH posts AS ({POSTS_SQL}), mx AS (SELECT max(created_utc) AS as_of FROM posts),
+n AS (SELECT 'new' AS mode, id, copy, subreddit,
+             row_number() OVER (PARTITION BY subreddit ORDER BY {LISTING_ORDER['new']}) AS listing_rank FROM posts),
+t AS (SELECT 'top' AS mode, id, copy, subreddit,
+             row_number() OVER (PARTITION BY subreddit ORDER BY {LISTING_ORDER['top']}) AS listing_rank
+      FROM posts, mx WHERE created_utc > mx.as_of - {7 * 86400}),
+s AS (SELECT 'search' AS mode, id, copy, subreddit,
+             row_number() OVER (PARTITION BY subreddit ORDER BY {LISTING_ORDER['search']}) AS listing_rank
+      FROM posts, mx WHERE created_utc > mx.as_of - {30 * 86400}
+        AND strpos(lower(coalesce(title, '') || chr(10) || coalesce(selftext, '')), 'the') > 0)
+SELECT * FROM n WHERE listing_rank <= 25
+UNION ALL SELECT * FROM t WHERE listing_rank <= 25
+UNION ALL SELECT * FROM s WHERE listing_rank <= 25""")
+def q_posts_listing(spark, sf):
+    """New (limit 25), top of the last week, search 'the' in the last
+    month; time filters relative to the newest post."""
+    posts = derive.posts(spark, sf)
+    as_of = posts.agg(F.max("created_utc")).first()[0]
+    out = None
+    for mode, tf, qy in (("new", "all", None), ("top", "week", None), ("search", "month", "the")):
+        lst = collect.list_posts(posts, mode, 25, tf, qy, as_of).select(
+            F.lit(mode).alias("mode"), "id", "copy", "subreddit", "listing_rank")
+        out = lst if out is None else out.unionByName(lst)
+    return out
+
+
+@register("posts_first_seen", f"""
+SELECT id, copy, subreddit FROM (
+  SELECT id, copy, subreddit, row_number() OVER (PARTITION BY id ORDER BY subreddit, created_utc DESC, copy) AS rn
+  FROM ({POSTS_SQL}) p) x WHERE rn = 1""")
+def q_posts_first_seen(spark, sf):
+    """First occurrence of each post id."""
+    p = derive.posts(spark, sf).select("id", "copy", "subreddit", F.col("created_utc"))
+    p = p.withColumn("neg_created", -F.col("created_utc"))
+    return collect.dedup_first_seen(p, ["subreddit", "neg_created", "copy"]).select("id", "copy", "subreddit")
+
+
+QUOTA = dict(target_count=300, per_subreddit_limit=40)
+
+
+@register("posts_collect_topic", f"""
+WITH posts AS ({POSTS_SQL}),
+tm AS ({TOPICMAP_SQL}),
+subs AS (SELECT topic, topic_pos, subreddit,
+                row_number() OVER (PARTITION BY topic ORDER BY md5('42:' || topic || ':' || subreddit), subreddit) AS sub_pos
+         FROM tm),
+p AS (SELECT posts.*, s.topic, s.topic_pos, s.sub_pos FROM posts JOIN subs s ON lower(posts.subreddit) = lower(s.subreddit)),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subreddit ORDER BY {LISTING_ORDER['top']}) AS listing_rank FROM p) x
+      WHERE listing_rank <= {QUOTA['per_subreddit_limit']}
+        AND (length({_strip_sql("coalesce(title, '')")}) > 0 OR length({_strip_sql("coalesce(selftext, '')")}) > 0)),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY topic_pos, sub_pos, listing_rank) AS rn FROM l) x WHERE rn = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY sub_pos, listing_rank) AS topic_rank FROM f),
+k AS (SELECT * FROM r WHERE topic_rank <= greatest(1, {QUOTA['target_count']} // (SELECT count(DISTINCT topic) FROM tm))),
+c AS (SELECT topic, topic_pos, count(*) AS n FROM k GROUP BY topic, topic_pos),
+b AS (SELECT topic, greatest(0, {QUOTA['target_count']} - coalesce(sum(n) OVER (ORDER BY topic_pos, topic
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS budget FROM c),
+fin AS (SELECT k.* FROM k JOIN b ON k.topic = b.topic WHERE topic_rank <= budget),
+inv AS (SELECT lower(subreddit) AS sub_key, topic AS bucket FROM tm)
+SELECT topic, topic_rank, {_label_sql('hybrid')} AS label, {SER_SQL}
+FROM fin LEFT JOIN inv ON lower(fin.subreddit) = inv.sub_key""")
+def q_posts_collect_topic(spark, sf):
+    """W06 topic mode: top listings, 40 pulled per subreddit, 300 in total."""
+    return collect.collect_by_topic(derive.posts(spark, sf), _topic_map(spark, sf), mode="top",
+                                    time_filter="all", **QUOTA)
+
+
+@register("posts_collect_subreddit", f"""
+WITH posts AS ({POSTS_SQL}),
+subs AS (SELECT lower(s) AS sub_key, row_number() OVER (ORDER BY {SRC_K.replace('source', 's')}, s) AS sub_pos
+         FROM (SELECT DISTINCT source AS s FROM documents) d),
+p AS (SELECT posts.*, subs.sub_pos FROM posts JOIN subs ON lower(posts.subreddit) = subs.sub_key),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subreddit ORDER BY {LISTING_ORDER['new']}) AS listing_rank FROM p) x
+      WHERE listing_rank <= {QUOTA['per_subreddit_limit']}
+        AND (length({_strip_sql("coalesce(title, '')")}) > 0 OR length({_strip_sql("coalesce(selftext, '')")}) > 0)),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sub_pos, listing_rank) AS rn FROM l) x WHERE rn = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY sub_pos ORDER BY listing_rank) AS sub_rank FROM f),
+k AS (SELECT * FROM r WHERE sub_rank <= greatest(1, {QUOTA['target_count']} // (SELECT count(*) FROM subs))),
+c AS (SELECT subreddit, sub_pos, count(*) AS n FROM k GROUP BY subreddit, sub_pos),
+b AS (SELECT subreddit, greatest(0, {QUOTA['target_count']} - coalesce(sum(n) OVER (ORDER BY sub_pos, subreddit
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS budget FROM c),
+fin AS (SELECT k.*, NULL AS bucket FROM k JOIN b ON k.subreddit = b.subreddit WHERE sub_rank <= budget)
+SELECT sub_pos, sub_rank, {_label_sql('hybrid')} AS label, {SER_SQL} FROM fin""")
+def q_posts_collect_subreddit(spark, sf):
+    """W06 subreddit mode over every subreddit of the table (ordered by number)."""
+    posts = derive.posts(spark, sf)
+    subs = (read_table(spark, sf, "documents").select("source").distinct()
+            .orderBy(F.regexp_extract("source", r"^src(\d+)$", 1).cast("int"), "source"))
+    names = [r.source for r in subs.collect()]          # the subreddit list (bounded, a parameter)
+    return collect.collect_by_subreddit(posts, names, mode="new", **QUOTA)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
