@@ -21,14 +21,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(side) if n <= max_rows else side
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the cluster's shared
-    ``spark.checkpoint.dir`` (never a local checkpoint), so an expensive
-    input (e.g. regex-cleaned text) is computed once and survives executor
-    loss."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage with a written table in the cluster's shared
+    ``spark.checkpoint.dir`` (never a local checkpoint or a machine-local
+    folder): computed once, columnar, and it survives executor loss.
+    ``Dataset.checkpoint`` without a cache would compute the plan twice."""
+    from ..session import scratch_path
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def sum_bigint(c) -> F.Column:

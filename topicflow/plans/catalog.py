@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean, sqltext as S, text as T, tokens as K
-from ..operators import collect, features, metrics, sample, taxonomy
+from ..operators import classify, collect, curves, features, metrics, sample, taxonomy
+from ..operators.common import materialize
 from ..plans import prepare
-from ..session import read_table
+from ..session import read_table, scratch_path
+from ..sources import readers
+from ..streaming import ingest
 from ..sources import derive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -724,6 +727,234 @@ def q_posts_collect_subreddit(spark, sf):
     return collect.collect_by_subreddit(posts, names, mode="new", **QUOTA)
 
 
+# ---------------------------------------------------------------------------
+# W04 + G16 + W09 + P17: curve tables from predictions on nested size samples
+# ---------------------------------------------------------------------------
+CURVE_SQL = f"""
+WITH pr AS ({PRED3_SQL}),
+ids AS (SELECT doc_id, row_number() OVER (ORDER BY {KEY_SQL}, doc_id) AS rank, count(*) OVER () AS n FROM documents),
+sz AS (SELECT doc_id, CAST(p.pct AS INTEGER) AS pct FROM ids, (VALUES (25), (50), (75), (100)) p(pct)
+       WHERE rank <= CAST(round_even(p.pct * n / 100.0, 0) AS BIGINT)),
+c AS (SELECT model, pct, y, p, count(*) AS n FROM pr JOIN sz USING (doc_id) GROUP BY model, pct, y, p),
+sp AS ({_stats_sql('model, pct', 'present')}),
+a AS (SELECT model, pct, sum(CASE WHEN y = p THEN n ELSE 0 END) / sum(n) AS accuracy FROM c GROUP BY model, pct),
+curve AS (SELECT a.model, a.pct, a.accuracy,
+                 (SELECT avg({_f1()}) FROM sp WHERE sp.model = a.model AND sp.pct = a.pct) AS f1_score FROM a)"""
+
+
+def _curve(spark, sf):
+    return curves.curve_from_predictions(_preds3(spark, sf))
+
+
+@register("performance_table", CURVE_SQL + """
+SELECT array_to_string(list_transform(string_split(replace(model, '_', ' '), ' '),
+                                      lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS Model,
+       pct AS Dataset_Size_Percent, round(f1_score, 6) AS F1_Score, round(accuracy, 6) AS Accuracy
+FROM curve""")
+def q_performance_table(spark, sf):
+    t = curves.performance_table(_curve(spark, sf))
+    return t.select("Model", "Dataset_Size_Percent", F.round("F1_Score", 6).alias("F1_Score"),
+                    F.round("Accuracy", 6).alias("Accuracy"))
+
+
+@register("curve_matrix", CURVE_SQL + """
+SELECT model,
+       round(max(CASE WHEN pct = 25 THEN f1_score END), 6) AS p25, round(max(CASE WHEN pct = 50 THEN f1_score END), 6) AS p50,
+       round(max(CASE WHEN pct = 75 THEN f1_score END), 6) AS p75, round(max(CASE WHEN pct = 100 THEN f1_score END), 6) AS p100
+FROM curve GROUP BY model""")
+def q_curve_matrix(spark, sf):
+    m = curves.curve_matrix(_curve(spark, sf), "f1_score")
+    return m.select("model", *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p75", "p100")])
+
+
+@register("improvement_rates", CURVE_SQL + """
+SELECT * FROM (
+  SELECT model, pct,
+         round(f1_score - lag(f1_score) OVER (PARTITION BY model ORDER BY pct), 6) AS f1_improvement,
+         round(accuracy - lag(accuracy) OVER (PARTITION BY model ORDER BY pct), 6) AS accuracy_improvement
+  FROM curve) x WHERE f1_improvement IS NOT NULL""")
+def q_improvement_rates(spark, sf):
+    r = curves.improvement_rates(_curve(spark, sf))
+    return r.select("model", "pct", F.round("f1_improvement", 6).alias("f1_improvement"),
+                    F.round("accuracy_improvement", 6).alias("accuracy_improvement"))
+
+
+# ---------------------------------------------------------------------------
+# Models (no SQL oracle: fitted by iterative optimisers)
+# ---------------------------------------------------------------------------
+def _labelled_split(spark, sf, version: str = "tfidf") -> DataFrame:
+    """Cleaned text of one version, label = language, W03 split by domain;
+    checkpointed once because every fit reads it several times."""
+    c = derive.corpus(spark, sf)
+    v = c.select("doc_id", "domain", F.col("domain").alias("label"),
+                 prepare.version_text(version, "text").alias("text"))
+    v = materialize(v.where(clean.is_nonempty("text")), "clean")
+    return materialize(sample.stratified_split(v, by="domain"), "split")
+
+
+def _eval_summary(scored: DataFrame, model: str) -> DataFrame:
+    m = metrics.summary(scored.select("split", F.col("label").alias("y"), F.col("predicted_label").alias("p")),
+                        ["split"])
+    return m.select(F.lit(model).alias("model"), "split", "n", "accuracy", "f1_macro_union", "f1_macro_present")
+
+
+@register("classic_train_eval")
+def q_classic_train_eval(spark, sf):
+    """M03 + M05 + G06-G08: TF-IDF (1,2)-grams + balanced multinomial logistic
+    regression on the train split, metrics per split."""
+    data = _labelled_split(spark, sf, "tfidf")
+    model = classify.train_classic(data.where(F.col("split") == "train"))
+    return _eval_summary(classify.score(data, model, "logistic_regression"), "logistic_regression")
+
+
+@register("dense_train_eval")
+def q_dense_train_eval(spark, sf):
+    """M08 re-aimed: Word2Vec + perceptron on the light text version."""
+    data = _labelled_split(spark, sf, "transformer")
+    model = classify.train_dense(data.where(F.col("split") == "train"))
+    scored = model.transform(data).select("doc_id", "split", "label", "predicted_label")
+    return _eval_summary(scored, "transformer")
+
+
+# ---------------------------------------------------------------------------
+# S01-S04 round trips, R01 streaming ingest
+# ---------------------------------------------------------------------------
+@register("csv_roundtrip", "SELECT doc_id, text, source AS target FROM documents")
+def q_csv_roundtrip(spark, sf):
+    """S04 then S01: multi-line quoted texts survive a CSV write and read."""
+    path = scratch_path(spark, "csv")
+    readers.write_csv(derive.corpus(spark, sf).select("doc_id", "text", F.col("raw_target").alias("target")), path)
+    return readers.read_csv(spark, path)
+
+
+RAW_COLS = "id, title, selftext, subreddit, link_flair_text, created_utc, permalink, is_self, over_18, num_comments, score, upvote_ratio"
+
+
+@register("jsonl_roundtrip", f"SELECT {RAW_COLS}, copy FROM ({POSTS_SQL}) p")
+def q_jsonl_roundtrip(spark, sf):
+    """S03 append sink then S02 scan with a fixed schema (PERMISSIVE)."""
+    from pyspark.sql import types as Ty
+    path = scratch_path(spark, "jsonl")
+    posts = derive.posts(spark, sf)
+    readers.write_jsonl(posts.where(F.col("copy") == 0), path)
+    readers.write_jsonl(posts.where(F.col("copy") == 1), path)          # append
+    schema = Ty.StructType(readers.RAW_POST_SCHEMA.fields + [Ty.StructField("copy", Ty.IntegerType())])
+    d = readers.read_jsonl(spark, path, schema)
+    return d.where(F.col(readers.CORRUPT).isNull()).drop(readers.CORRUPT)
+
+
+@register("stream_ingest_posts", f"""
+WITH inv AS (SELECT lower(subreddit) AS sub_key, topic AS bucket FROM ({TOPICMAP_SQL}) t),
+p AS (SELECT * FROM ({POSTS_SQL}) x WHERE copy = 0
+        AND (length({_strip_sql("coalesce(title, '')")}) > 0 OR length({_strip_sql("coalesce(selftext, '')")}) > 0))
+SELECT {_label_sql('hybrid')} AS label, {SER_SQL} FROM p LEFT JOIN inv ON lower(p.subreddit) = inv.sub_key""")
+def q_stream_ingest_posts(spark, sf):
+    """Posts arrive in three JSON files (the third repeats ids of the
+    first two); the stream keeps each id once, labels and serializes them."""
+    root = scratch_path(spark, "stream")
+    posts = derive.posts(spark, sf)
+    half = F.abs(F.hash("id")) % 2
+    readers.write_jsonl(posts.where((F.col("copy") == 0) & (half == 0)).drop("copy"), f"{root}/in/f1", "overwrite")
+    readers.write_jsonl(posts.where((F.col("copy") == 0) & (half == 1)).drop("copy"), f"{root}/in/f2", "overwrite")
+    readers.write_jsonl(posts.where(F.col("copy") == 1).drop("copy"), f"{root}/in/f3", "overwrite")
+    inv = collect.invert_topic_map(_topic_map(spark, sf))
+    ingest.ingest_posts(spark, f"{root}/in/*/*.json", f"{root}/out", f"{root}/ckpt", inv)
+    return spark.read.parquet(f"{root}/out")
+
+
+# ---------------------------------------------------------------------------
+# X23, X24, P13, S08-S11, U02
+# ---------------------------------------------------------------------------
+WORD_VOCAB = features.TfidfParams(ngram_min=1, ngram_max=1, min_df=1, max_df=1.0, max_features=20000)
+ENC_LEN = 256
+
+
+@register("encode_fixed", f"""
+WITH d AS (SELECT doc_id, {S.tfidf_text('text')} AS text FROM documents),
+tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM d),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tk) e GROUP BY doc_id, term),
+v AS (SELECT term FROM (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term) s
+      ORDER BY cf DESC, term LIMIT {WORD_VOCAB.max_features}),
+vi AS (SELECT term, row_number() OVER (ORDER BY term) + 1 AS wid FROM v),
+e AS (SELECT doc_id, unnest(t[1:{ENC_LEN}]) AS term, unnest(range(1, len(t[1:{ENC_LEN}]) + 1)) AS pos FROM tk),
+ids AS (SELECT e.doc_id, list(CAST(coalesce(vi.wid, 1) AS INTEGER) ORDER BY pos) AS ids
+        FROM e LEFT JOIN vi ON e.term = vi.term GROUP BY e.doc_id),
+full_ids AS (SELECT tk.doc_id, coalesce(ids.ids, []) AS ids FROM tk LEFT JOIN ids ON tk.doc_id = ids.doc_id)
+SELECT doc_id, list_concat(ids, list_transform(range({ENC_LEN} - len(ids)), lambda x: 0)) AS input_ids,
+       list_concat(list_transform(range(len(ids)), lambda x: 1), list_transform(range({ENC_LEN} - len(ids)), lambda x: 0)) AS attention_mask
+FROM full_ids""")
+def q_encode_fixed(spark, sf):
+    """Word ids (0 pad, 1 unknown, vocabulary index + 2), truncated and
+    padded to 256 with a 1/0 mask; the vocabulary is the top 20,000 words."""
+    docs = _tfidf_docs(spark, sf)
+    vocab = features.fit_tfidf(docs, WORD_VOCAB)
+    return features.encode_documents(docs, vocab, ENC_LEN)
+
+
+@register("softmax_argmax", """
+SELECT vec_id, label, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS predicted_id,
+       round(1.0 / list_sum(list_transform(embedding, lambda x: exp(x - list_max(embedding)))), 6) AS confidence
+FROM embeddings""")
+def q_softmax_argmax(spark, sf):
+    """Embeddings read as logits -> softmax, argmax (ties: lowest id),
+    max probability as confidence."""
+    e = read_table(spark, sf, "embeddings")
+    return e.select("vec_id", "label", K.argmax(F.col("embedding")).cast("int").alias("predicted_id"),
+                    F.round(F.array_max(K.softmax(F.col("embedding"))), 6).alias("confidence"))
+
+
+@register("score_validation", """
+SELECT doc_id, CAST(length(coalesce(text, '')) AS INTEGER) AS n_chars,
+       CASE WHEN length(coalesce(text, '')) < 1 THEN 'empty' WHEN length(coalesce(text, '')) > 10000 THEN 'too_long' END AS reject_reason
+FROM documents""")
+def q_score_validation(spark, sf):
+    """Scoring input must hold 1..10,000 characters; rejects get a reason."""
+    d = ingest.validate(read_table(spark, sf, "documents"))
+    return d.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), "reject_reason")
+
+
+@register("category_roots", """
+WITH c AS (
+  SELECT d.doc_id,
+         CASE WHEN l.doc_id IS NULL THEN [] ELSE [d.source || '.' || d.lang || ' ' || d.lang || '.misc', d.lang] END AS cats
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+SELECT doc_id, coalesce(cats[1], 'unknown') AS first_category,
+       coalesce(CASE WHEN split_part(split_part(cats[1], ' ', 1), '.', 1) <> '' THEN split_part(split_part(cats[1], ' ', 1), '.', 1) END,
+                'unknown') AS category_root
+FROM c""")
+def q_category_roots(spark, sf):
+    """S08 first category else 'unknown'; S09 root code of the first entry."""
+    d = read_table(spark, sf, "documents").alias("d")
+    lab = read_table(spark, sf, "labels").select("doc_id", F.lit(1).alias("_has"))
+    j = d.join(lab, "doc_id", "left")
+    cats = F.when(F.col("_has").isNull(), F.array().cast("array<string>")).otherwise(
+        F.array(F.concat_ws("", "source", F.lit("."), "lang", F.lit(" "), "lang", F.lit(".misc")), F.col("lang")))
+    j = j.withColumn("cats", cats)
+    return j.select("doc_id", T.first_category("cats").alias("first_category"),
+                    T.category_root("cats").alias("category_root"))
+
+
+@register("class_names", f"""
+WITH s AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY {KEY_SQL}, doc_id) AS rank,
+         count(*) OVER (PARTITION BY lang) AS n FROM documents),
+sp AS (SELECT doc_id, CASE WHEN rank <= n - (3 * n + 9) // 10 THEN 'train' ELSE 'test' END AS shard FROM s)
+SELECT l.doc_id, sp.shard, (['low', 'high'])[l.quality + 1] AS quality_name,
+       (['clean', 'toxic'])[l.toxic + 1] AS toxic_name
+FROM labels l JOIN sp ON l.doc_id = sp.doc_id""")
+def q_class_names(spark, sf):
+    """S10/S11 + U02: labelled shards (train; val+test as 'test') united,
+    class ids mapped to names."""
+    split = sample.stratified_split(derive.corpus(spark, sf).select("doc_id", "domain"))
+    lab = read_table(spark, sf, "labels").join(split.select("doc_id", "split"), "doc_id")
+    train = lab.where(F.col("split") == "train").withColumn("shard", F.lit("train"))
+    test = lab.where(F.col("split") != "train").withColumn("shard", F.lit("test"))
+    u = readers.union_shards([train, test])
+    u = readers.class_names(u, "quality", ["low", "high"], "quality_name")
+    u = readers.class_names(u, "toxic", ["clean", "toxic"], "toxic_name")
+    return u.select("doc_id", "shard", "quality_name", "toxic_name")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

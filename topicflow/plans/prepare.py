@@ -68,7 +68,7 @@ def split_versions(versions_df: DataFrame, by: str = "domain", id_col: str = "do
     as the reference does; the key-based rank keeps a document on nearly the
     same side in all versions. The cleaned rows are read twice (bucket
     counts, then ranks), so they are checkpointed once first."""
-    kept = materialize(versions_df.where(clean.is_nonempty("clean_text")))
+    kept = materialize(versions_df.where(clean.is_nonempty("clean_text")), "versions")
     offs = sample.bucket_offsets(kept, ["version", by], id_col, seed)
     sizes = sample.group_sizes(offs, ["version", by])
     n_train, n_val, _ = sample.split_sizes(F.col("n"))
