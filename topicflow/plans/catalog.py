@@ -628,7 +628,10 @@ def q_posts_with_text(spark, sf):
     return derive.posts(spark, sf).where(T.has_text("title", "selftext")).select("id", "copy")
 
 
+HOT_SQL = ("sign(CAST(score AS DOUBLE)) * log10(greatest(abs(CAST(score AS DOUBLE)), 1.0)) "
+           "+ (created_utc - 1134028003) / 45000.0")
 LISTING_ORDER = {
+    "hot": f"{HOT_SQL} DESC, id, copy",
     "new": "created_utc DESC, id, copy",
     "top": "score DESC, created_utc DESC, id, copy",
     "search": "created_utc DESC, id, copy",
@@ -646,16 +649,20 @@ s AS (SELECT 'search' AS mode, id, copy, subreddit,
              row_number() OVER (PARTITION BY subreddit ORDER BY {LISTING_ORDER['search']}) AS listing_rank
       FROM posts, mx WHERE created_utc > mx.as_of - {30 * 86400}
         AND strpos(lower(coalesce(title, '') || chr(10) || coalesce(selftext, '')), 'the') > 0)
+, h AS (SELECT 'hot' AS mode, id, copy, subreddit,
+             row_number() OVER (PARTITION BY subreddit ORDER BY {LISTING_ORDER['hot']}) AS listing_rank FROM posts)
 SELECT * FROM n WHERE listing_rank <= 25
+UNION ALL SELECT * FROM h WHERE listing_rank <= 25
 UNION ALL SELECT * FROM t WHERE listing_rank <= 25
 UNION ALL SELECT * FROM s WHERE listing_rank <= 25""")
 def q_posts_listing(spark, sf):
-    """New (limit 25), top of the last week, search 'the' in the last
-    month; time filters relative to the newest post."""
+    """New and hot (limit 25), top of the last week, search 'the' in the
+    last month; time filters relative to the newest post."""
     posts = derive.posts(spark, sf)
     as_of = posts.agg(F.max("created_utc")).first()[0]
     out = None
-    for mode, tf, qy in (("new", "all", None), ("top", "week", None), ("search", "month", "the")):
+    for mode, tf, qy in (("new", "all", None), ("hot", "all", None), ("top", "week", None),
+                         ("search", "month", "the")):
         lst = collect.list_posts(posts, mode, 25, tf, qy, as_of).select(
             F.lit(mode).alias("mode"), "id", "copy", "subreddit", "listing_rank")
         out = lst if out is None else out.unionByName(lst)
@@ -955,6 +962,29 @@ def q_class_names(spark, sf):
     return u.select("doc_id", "shard", "quality_name", "toxic_name")
 
 
+@register("model_input", "SELECT doc_id, text AS plain_input, lang || ': ' || text AS domain_input FROM documents")
+def q_model_input(spark, sf):
+    """The default input is the text alone; the disabled variant
+    prefixes the domain."""
+    d = read_table(spark, sf, "documents")
+    return d.select("doc_id", T.model_input("text").alias("plain_input"),
+                    T.model_input("text", "lang", with_domain=True).alias("domain_input"))
+
+
+@register("optional_scan", """
+SELECT 'news' AS domain, 'parquet' AS source, text FROM documents
+UNION ALL SELECT 'social', 'parquet', text FROM conversations""")
+def q_optional_scan(spark, sf):
+    """S05 + S06: domain files through the source registry; an absent file
+    is skipped, only all-absent is an error."""
+    import os
+    files = {"news": os.path.join(sf, "documents.parquet"), "social": os.path.join(sf, "conversations.parquet"),
+             "academic": os.path.join(sf, "no_such_table.parquet")}
+    out = readers.read_optional(spark, files,
+                                lambda sp, p: readers.load_source(sp, "parquet", p).select("text", "source"))
+    return out.select("domain", "source", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

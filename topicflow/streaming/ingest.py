@@ -40,9 +40,9 @@ def dedup_posts(stream: DataFrame, watermark: str = "3650 days") -> DataFrame:
 
 def ingest_posts(spark: SparkSession, source_glob: str, sink: str, checkpoint: str,
                  inverted_map: DataFrame | None, label_mode: str = "hybrid",
-                 include_title: bool = True, available_now: bool = True):
+                 include_title: bool = True, available_now: bool = True, files_per_trigger: int = 8):
     """Start (and with ``available_now`` drain) the ingest query."""
-    s = dedup_posts(posts_stream(spark, source_glob))
+    s = dedup_posts(posts_stream(spark, source_glob, files_per_trigger))
     labeled = collect.assign_label(s, inverted_map, label_mode)
     out = collect.serialize_posts(labeled, include_title, True, keep=["label"])
     w = out.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
