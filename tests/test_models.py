@@ -88,3 +88,40 @@ def test_stream_scoring_with_rejects(spark, lang_split):
     assert out.count() == 1000 - long_docs
     assert {r.doc_id for r in rej.collect()} >= {-1, -2}
     assert rej.where(F.col("reject_reason") == "too_long").count() == long_docs + 1
+    summ = spark.read.parquet(f"{root}/out_summary").agg(F.sum("n_rows"), F.sum("n_rejected")).first()
+    assert summ[0] == 1002 and summ[1] == long_docs + 2
+
+
+def test_model_save_load_roundtrip(spark, lang_split):
+    train = lang_split.where(F.col("split") == "train")
+    model = classify.train_classic(train, lr=classify.LogisticParams(max_iter=20))
+    path = tempfile.mkdtemp(prefix="tf-model-") + "/m"
+    registry.save_model(model, path)
+    loaded = registry.load_model(spark, path)
+    val = lang_split.where(F.col("split") == "val")
+    a = classify.score(val, model, "m").select("doc_id", "predicted_label").orderBy("doc_id").collect()
+    b = classify.score(val, loaded, "m").select("doc_id", "predicted_label").orderBy("doc_id").collect()
+    assert a == b
+
+
+def test_learning_curve_shape(spark, lang_split):
+    from topicflow.operators import curves
+    train = lang_split.where(F.col("split") == "train")
+    val = lang_split.where(F.col("split") == "val")
+
+    def majority(part, ev):
+        top = part.groupBy("label").count().orderBy(F.desc("count"), "label").first().label
+        return ev.select("doc_id", F.col("label").alias("y"), F.lit(top).alias("p"))
+
+    curve = curves.learning_curve(train, val, majority, "majority")
+    rows = sorted(curve.collect(), key=lambda r: r.pct)
+    assert [r.pct for r in rows] == [25, 50, 75, 100]
+    assert all(0.0 <= r.accuracy <= 1.0 for r in rows)
+    assert curves.improvement_rates(curve).count() == 3
+
+
+def test_render_report(spark):
+    from topicflow.operators import metrics
+    from topicflow.sources import derive
+    text = metrics.render_report(metrics.classification_report(derive.predictions(spark, SF001)), digits=2)
+    assert "macro avg" in text and "micro avg" in text and "precision" in text

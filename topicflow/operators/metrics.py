@@ -138,3 +138,31 @@ def class_weights(train: DataFrame, label: str = "label") -> DataFrame:
 def score_matrix(scores: DataFrame, row: str, col: str, value: str, columns: Sequence[str]) -> DataFrame:
     """Pivot on a known column list; missing cells -> 0."""
     return scores.groupBy(row).pivot(col, list(columns)).agg(F.first(value)).fillna(0.0, subset=list(columns))
+
+
+def render_report(report: DataFrame, digits: int = 4, max_rows: int = 10_000) -> str:
+    """Text rendering of a class report in the familiar column layout.
+    Only the small per-label aggregate (one row per label) reaches the
+    driver; ``max_rows`` guards against rendering an unbounded table."""
+    rows = report.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError("report too large to render")
+    summary_labels = ("accuracy", "micro avg", "macro avg", "weighted avg")
+    body = [r for r in rows if r.label not in summary_labels]
+    tail = {r.label: r for r in rows if r.label in summary_labels}
+    width = max([len(str(r.label)) for r in rows] + [len("weighted avg")])
+    head = " " * width + "".join(f"{h:>10}" for h in ("precision", "recall", "f1-score", "support"))
+    fmt = f"{{:>{width}}}" + "{:>10}" * 4
+
+    def num(v):
+        return "" if v is None else f"{v:.{digits}f}"
+
+    lines = [head, ""]
+    for r in sorted(body, key=lambda r: str(r.label)):
+        lines.append(fmt.format(str(r.label), num(r.precision), num(r.recall), num(r.f1), r.support))
+    lines.append("")
+    for lab in summary_labels:
+        if lab in tail:
+            r = tail[lab]
+            lines.append(fmt.format(lab, num(r.precision), num(r.recall), num(r.f1), r.support))
+    return "\n".join(lines) + "\n"

@@ -72,6 +72,9 @@ def score_stream(spark: SparkSession, source_glob: str, model: PipelineModel, mo
     checked = validate(src)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        import time
+        t0 = time.time()
+        batch = batch.persist()
         bad = batch.where(F.col("reject_reason").isNotNull()).select("doc_id", "reject_reason")
         bad.write.mode("overwrite").parquet(f"{reject_dir}/batch={batch_id}")
         good = batch.where(F.col("reject_reason").isNull()).withColumn("text", clean_col)
@@ -80,6 +83,13 @@ def score_stream(spark: SparkSession, source_glob: str, model: PipelineModel, mo
                             F.array_max(vector_to_array("probability")).alias("confidence"),
                             F.lit(model_name).alias("model_used"))
         res.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+        # Batch summary (size, rejects, wall time) as a run metric table
+        counts = batch.agg(F.count(F.lit(1)).alias("n_rows"),
+                           F.count("reject_reason").alias("n_rejected")).first()
+        spark.createDataFrame([(batch_id, counts.n_rows, counts.n_rejected, time.time() - t0)],
+                              "batch_id long, n_rows long, n_rejected long, seconds double") \
+            .write.mode("overwrite").parquet(f"{out_dir}_summary/batch={batch_id}")
+        batch.unpersist()
 
     w = checked.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     q = (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
