@@ -558,7 +558,7 @@ SELECT CAST(d.doc_id AS VARCHAR) AS id,
        l.toxic = 1 AS over_18,
        CAST(d.n_chars % 97 AS INTEGER) AS num_comments,
        CAST(d.n_chars % 1000 AS INTEGER) AS score,
-       CASE WHEN l.quality IS NOT NULL THEN 0.5 + l.quality * 0.4 END AS upvote_ratio,
+       CAST(CASE WHEN l.quality IS NOT NULL THEN 0.5 + l.quality * 0.4 END AS DOUBLE) AS upvote_ratio,
        0 AS copy
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 POSTS_SQL = f"""
@@ -651,10 +651,11 @@ s AS (SELECT 'search' AS mode, id, copy, subreddit,
         AND strpos(lower(coalesce(title, '') || chr(10) || coalesce(selftext, '')), 'the') > 0)
 , h AS (SELECT 'hot' AS mode, id, copy, subreddit,
              row_number() OVER (PARTITION BY subreddit ORDER BY {LISTING_ORDER['hot']}) AS listing_rank FROM posts)
-SELECT * FROM n WHERE listing_rank <= 25
-UNION ALL SELECT * FROM h WHERE listing_rank <= 25
-UNION ALL SELECT * FROM t WHERE listing_rank <= 25
-UNION ALL SELECT * FROM s WHERE listing_rank <= 25""")
+SELECT mode, id, copy, subreddit, CAST(listing_rank AS INTEGER) AS listing_rank FROM (
+  SELECT * FROM n WHERE listing_rank <= 25
+  UNION ALL SELECT * FROM h WHERE listing_rank <= 25
+  UNION ALL SELECT * FROM t WHERE listing_rank <= 25
+  UNION ALL SELECT * FROM s WHERE listing_rank <= 25) u""")
 def q_posts_listing(spark, sf):
     """New and hot (limit 25), top of the last week, search 'the' in the
     last month; time filters relative to the newest post."""
@@ -701,7 +702,7 @@ b AS (SELECT topic, greatest(0, {QUOTA['target_count']} - coalesce(sum(n) OVER (
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS budget FROM c),
 fin AS (SELECT k.* FROM k JOIN b ON k.topic = b.topic WHERE topic_rank <= budget),
 inv AS (SELECT lower(subreddit) AS sub_key, topic AS bucket FROM tm)
-SELECT topic, topic_rank, {_label_sql('hybrid')} AS label, {SER_SQL}
+SELECT topic, CAST(topic_rank AS INTEGER) AS topic_rank, {_label_sql('hybrid')} AS label, {SER_SQL}
 FROM fin LEFT JOIN inv ON lower(fin.subreddit) = inv.sub_key""")
 def q_posts_collect_topic(spark, sf):
     """W06 topic mode: top listings, 40 pulled per subreddit, 300 in total."""
@@ -724,7 +725,8 @@ c AS (SELECT subreddit, sub_pos, count(*) AS n FROM k GROUP BY subreddit, sub_po
 b AS (SELECT subreddit, greatest(0, {QUOTA['target_count']} - coalesce(sum(n) OVER (ORDER BY sub_pos, subreddit
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS budget FROM c),
 fin AS (SELECT k.*, NULL AS bucket FROM k JOIN b ON k.subreddit = b.subreddit WHERE sub_rank <= budget)
-SELECT sub_pos, sub_rank, {_label_sql('hybrid')} AS label, {SER_SQL} FROM fin""")
+SELECT CAST(sub_pos AS INTEGER) AS sub_pos, CAST(sub_rank AS INTEGER) AS sub_rank,
+       {_label_sql('hybrid')} AS label, {SER_SQL} FROM fin""")
 def q_posts_collect_subreddit(spark, sf):
     """W06 subreddit mode over every subreddit of the table (ordered by number)."""
     posts = derive.posts(spark, sf)
