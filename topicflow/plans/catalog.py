@@ -499,8 +499,12 @@ WHERE df >= {TFP.min_df} AND df <= {TFP.max_df!r} * n
 ORDER BY cf DESC, term LIMIT {TFP.max_features}"""
 
 
-def _tfidf_docs(spark, sf):
-    return read_table(spark, sf, "documents").select("doc_id", K.tfidf_text("text").alias("text"))
+def _tfidf_docs(spark, sf, reuse: bool = False):
+    """TF-IDF text version of every document. When both the fit and the
+    transform read it, it is written once (lineage cut) so the regex
+    cleaning runs a single time."""
+    d = read_table(spark, sf, "documents").select("doc_id", K.tfidf_text("text").alias("text"))
+    return materialize(d, "tfidf_text") if reuse else d
 
 
 @register("term_stats", f"WITH tf AS ({TF_SQL}) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term")
@@ -520,7 +524,7 @@ def q_vocabulary(spark, sf):
 w AS (SELECT tf.doc_id, tf.term, tf.tf, tf.tf * v.idf AS w FROM tf JOIN v ON tf.term = v.term)
 SELECT doc_id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
 def q_tfidf_long(spark, sf):
-    docs = _tfidf_docs(spark, sf)
+    docs = _tfidf_docs(spark, sf, reuse=True)
     v = features.fit_tfidf(docs, TFP)
     return features.tfidf_long(docs, v, TFP).select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
 
@@ -530,7 +534,7 @@ w AS (SELECT tf.doc_id, tf.tf * v.idf AS w FROM tf JOIN v ON tf.term = v.term),
 x AS (SELECT doc_id, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w)
 SELECT doc_id, round(sqrt(sum(weight * weight)), 6) AS norm FROM x GROUP BY doc_id""")
 def q_doc_norms(spark, sf):
-    docs = _tfidf_docs(spark, sf)
+    docs = _tfidf_docs(spark, sf, reuse=True)
     v = features.fit_tfidf(docs, TFP)
     n = features.doc_norms(features.tfidf_long(docs, v, TFP))
     return n.select("doc_id", F.round("norm", 6).alias("norm"))
@@ -895,7 +899,7 @@ FROM full_ids""")
 def q_encode_fixed(spark, sf):
     """Word ids (0 pad, 1 unknown, vocabulary index + 2), truncated and
     padded to 256 with a 1/0 mask; the vocabulary is the top 20,000 words."""
-    docs = _tfidf_docs(spark, sf)
+    docs = _tfidf_docs(spark, sf, reuse=True)
     vocab = features.fit_tfidf(docs, WORD_VOCAB)
     return features.encode_documents(docs, vocab, ENC_LEN)
 
