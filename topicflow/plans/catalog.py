@@ -291,6 +291,28 @@ def q_split_audit(spark, sf):
     return prepare.split_audit(prepare.split_versions(v))
 
 
+@register("prepared_corpus", _with(tax=TAX_SQL, bal=BALANCED_SQL) + f"""
+, m AS (SELECT b.doc_id, b.domain, b.raw_target, t.topic, b.text
+        FROM bal b LEFT JOIN tax t ON b.domain = t.domain AND b.raw_target = t.raw_target),
+v AS (SELECT doc_id, domain, raw_target, topic, 'tfidf' AS version, {S.tfidf_text('text')} AS clean_text FROM m
+      UNION ALL SELECT doc_id, domain, raw_target, topic, 'transformer', {S.light('text')} FROM m
+      UNION ALL SELECT doc_id, domain, raw_target, topic, 'transformer_lem', {S.light_lemma('text')} FROM m),
+k AS (SELECT * FROM v WHERE {S.nonempty('clean_text')}),
+r AS (SELECT *, row_number() OVER (PARTITION BY version, domain ORDER BY {KEY_SQL}, doc_id) AS rank,
+             count(*) OVER (PARTITION BY version, domain) AS n FROM k),
+sp AS (SELECT *, (3 * n + 9) // 10 AS hold FROM r)
+SELECT doc_id, domain, raw_target, topic, version, CAST(length(clean_text) AS INTEGER) AS clean_chars, rank,
+       CASE WHEN rank <= n - hold THEN 'train'
+            WHEN rank <= n - hold + (hold - (hold + 1) // 2) THEN 'val' ELSE 'test' END AS split
+FROM sp""")
+def q_prepared_corpus(spark, sf):
+    """SURVEY §3.1 end to end: W01 balance -> P03 topics -> X18/X12/X19 ->
+    P05 -> W03 split per version (the cleaned text is reported by length)."""
+    out = prepare.prepare(derive.corpus(spark, sf), derive.derived_taxonomy(spark, sf))
+    return out.select("doc_id", "domain", "raw_target", "topic", "version",
+                      F.length("clean_text").alias("clean_chars"), "rank", "split")
+
+
 @register("newsgroup_body", """
 WITH h AS (
   SELECT doc_id, CASE WHEN strpos(text, chr(10) || chr(10)) > 0
