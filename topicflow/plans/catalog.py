@@ -851,6 +851,20 @@ def q_dense_train_eval(spark, sf):
     return _eval_summary(scored, "transformer")
 
 
+@register("model_comparison")
+def q_model_comparison(spark, sf):
+    """M10 + G15: logistic regression (TF-IDF text) and the dense arm on light
+    and lemmatised text; macro-F1 (present labels) on the test split and per
+    domain, as a model x slice matrix."""
+    from . import evaluate
+    splits = {v: _labelled_split(spark, sf, v) for _, v in evaluate.MODEL_VERSIONS}
+    preds = materialize(evaluate.predictions(splits), "predictions")
+    slices = evaluate.slice_metrics(preds)
+    domains = [r.domain for r in read_table(spark, sf, "documents").select(F.col("lang").alias("domain"))
+               .distinct().orderBy("domain").collect()]            # the slice list (a handful of domains)
+    return evaluate.comparison_matrix(slices, domains)
+
+
 # ---------------------------------------------------------------------------
 # S01-S04 round trips, R01 streaming ingest
 # ---------------------------------------------------------------------------
