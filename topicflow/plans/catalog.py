@@ -865,6 +865,40 @@ def q_model_comparison(spark, sf):
     return evaluate.comparison_matrix(slices, domains)
 
 
+@register("learning_curve")
+def q_learning_curve(spark, sf):
+    """M11 + W04 + G16 + P17: the dense arm fitted on 25/50/75/100% nested
+    shares of the training split, scored on the whole validation split."""
+    data = _labelled_split(spark, sf, "transformer")
+    train = data.where(F.col("split") == "train")
+    val = data.where(F.col("split") == "val")
+
+    def fit_predict(part, ev):
+        m = classify.train_dense(part)
+        return m.transform(ev).select("doc_id", F.col("label").alias("y"), F.col("predicted_label").alias("p"))
+
+    curve = curves.learning_curve(train, val, fit_predict, "transformer")
+    return curves.performance_table(curve)
+
+
+@register("stream_scoring")
+def q_stream_scoring(spark, sf):
+    """R02 + P13 + G17: texts arrive as JSON files; invalid ones go to the
+    reject sink, valid ones get the training-time cleaning and the model."""
+    data = _labelled_split(spark, sf, "transformer")
+    model = classify.train_dense(data.where(F.col("split") == "train"))
+    root = scratch_path(spark, "scoring")
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    readers.write_jsonl(docs, f"{root}/in/a", "overwrite")
+    ingest.score_stream(spark, f"{root}/in/*/*.json", model, "transformer", clean.clean_light("text"),
+                        f"{root}/out", f"{root}/rejects", f"{root}/ckpt")
+    scored = spark.read.parquet(f"{root}/out").select("doc_id", "predicted_topic", "confidence", "model_used")
+    rejected = spark.read.parquet(f"{root}/rejects").select(
+        "doc_id", F.lit(None).cast("string").alias("predicted_topic"), F.lit(None).cast("double").alias("confidence"),
+        F.concat(F.lit("rejected:"), F.col("reject_reason")).alias("model_used"))
+    return scored.unionByName(rejected)
+
+
 # ---------------------------------------------------------------------------
 # S01-S04 round trips, R01 streaming ingest
 # ---------------------------------------------------------------------------
