@@ -5,8 +5,8 @@ W00 ``exact_rank`` gives every row a rank 1..n inside its group from the key
 would put a whole group (a third of the corpus for one domain) into one task.
 Instead:
 
-1. count rows per ``(group, bucket)`` where bucket = first hex digits of the
-   key (partial aggregation, narrow columns only);
+1. count rows per ``(group, bucket)`` where bucket = first 4 hex digits of
+   the key (65,536 buckets per group; partial aggregation, narrow columns);
 2. prefix-sum that small table per group (bounded: groups x 16^digits rows),
    broadcast it back after a size check;
 3. rank inside each ``(group, bucket)``; global rank = offset + local rank.
@@ -32,7 +32,7 @@ def rank_key(id_col: str | Column, seed: int = 42) -> Column:
 
 
 def bucket_offsets(df: DataFrame, by: Sequence[str], id_col: str = "doc_id",
-                   seed: int = 42, digits: int = 3) -> DataFrame:
+                   seed: int = 42, digits: int = 4) -> DataFrame:
     """Per ``(group, bucket)``: rows before the bucket (``_tf_offset``) and in
     it (``_tf_bucket_n``). Size-checked for broadcast."""
     k = rank_key(id_col, seed)
@@ -45,7 +45,7 @@ def bucket_offsets(df: DataFrame, by: Sequence[str], id_col: str = "doc_id",
 
 def exact_rank(df: DataFrame, by: Sequence[str] = (), id_col: str = "doc_id",
                seed: int = 42, out: str = "rank", upto: Column | None = None,
-               offsets: DataFrame | None = None, digits: int = 3) -> DataFrame:
+               offsets: DataFrame | None = None, digits: int = 4) -> DataFrame:
     """Add ``out`` = exact 1-based rank inside ``by`` groups.
 
     ``upto`` (a Column over the group columns and ``_tf_offset``) may bound
