@@ -6,19 +6,20 @@ its work grows with them; no row caps, id subsets or prefixes.
 """
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import types as Ty
 from pyspark.sql import functions as F
 
 from ..functions import clean, sqltext as S, text as T, tokens as K
 from ..operators import classify, collect, curves, features, metrics, sample, taxonomy
 from ..operators.common import materialize
-from ..plans import prepare
+from ..plans import evaluate, prepare
 from ..session import read_table, scratch_path
-from ..sources import readers
+from ..sources import derive, readers
 from ..streaming import ingest
-from ..sources import derive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -491,7 +492,6 @@ SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS DOUBLE) AS label_id
 FROM (SELECT DISTINCT lang AS label FROM documents)""")
 def q_label_index(spark, sf):
     """Alphabetical label ids fitted on the labels (StringIndexer)."""
-    from ..operators import classify
     d = read_table(spark, sf, "documents").select(F.col("lang").alias("label"))
     idx = classify.label_indexer(d, "label")
     return idx.transform(d.distinct()).select("label", F.col("label_id"))
@@ -856,7 +856,6 @@ def q_model_comparison(spark, sf):
     """M10 + G15: logistic regression (TF-IDF text) and the dense arm on light
     and lemmatised text; macro-F1 (present labels) on the test split and per
     domain, as a model x slice matrix."""
-    from . import evaluate
     splits = {v: _labelled_split(spark, sf, v) for _, v in evaluate.MODEL_VERSIONS}
     preds = materialize(evaluate.predictions(splits), "predictions")
     slices = evaluate.slice_metrics(preds)
@@ -916,7 +915,6 @@ RAW_COLS = "id, title, selftext, subreddit, link_flair_text, created_utc, permal
 @register("jsonl_roundtrip", f"SELECT {RAW_COLS}, copy FROM ({POSTS_SQL}) p")
 def q_jsonl_roundtrip(spark, sf):
     """S03 append sink then S02 scan with a fixed schema (PERMISSIVE)."""
-    from pyspark.sql import types as Ty
     path = scratch_path(spark, "jsonl")
     posts = derive.posts(spark, sf)
     readers.write_jsonl(posts.where(F.col("copy") == 0), path)
@@ -1053,7 +1051,6 @@ UNION ALL SELECT 'social', 'parquet', text FROM conversations""")
 def q_optional_scan(spark, sf):
     """S05 + S06: domain files through the source registry; an absent file
     is skipped, only all-absent is an error."""
-    import os
     files = {"news": os.path.join(sf, "documents.parquet"), "social": os.path.join(sf, "conversations.parquet"),
              "academic": os.path.join(sf, "no_such_table.parquet")}
     out = readers.read_optional(spark, files,
