@@ -44,7 +44,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not d:
-        d = tempfile.mkdtemp(prefix="topicflow-ckpt-")
+        master = spark.sparkContext.master if hasattr(spark, "sparkContext") else ""
+        if not str(master).startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a shared folder: lineage cuts and stream "
+                               "checkpoints must survive executor loss.")
+        d = tempfile.mkdtemp(prefix="topicflow-ckpt-")     # local mode only (tests, bench)
         spark.conf.set("spark.checkpoint.dir", d)
     try:
         spark.sparkContext.setCheckpointDir(d)
