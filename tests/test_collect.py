@@ -49,3 +49,9 @@ def test_label_modes(spark):
     s = [r.label for r in collect.assign_label(df, inv, "subreddit").collect()]
     assert h == ["Quantum", "other", "Science"]
     assert s == ["Science", "other", "Science"]
+
+
+def test_listing_on_plain_posts_table(spark):
+    posts = derive.posts(spark, SF, with_copies=False).drop("copy")
+    out = collect.list_posts(posts, "top", 2, "all")
+    assert out.groupBy("subreddit").count().where(F.col("count") > 2).count() == 0

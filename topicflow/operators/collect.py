@@ -92,7 +92,7 @@ def _hot(score: Column, created: Column) -> Column:
 
 def list_posts(posts: DataFrame, mode: str = "top", limit: int = 1000, time_filter: str = "year",
                query: str | None = None, as_of: float | None = None,
-               sub_col: str = "subreddit") -> DataFrame:
+               sub_col: str = "subreddit", tie_break: Sequence[str] = ("copy",)) -> DataFrame:
     """Per-subreddit listing with ``listing_rank`` 1..limit.
 
     new = newest first; hot = public hot score; top = time filter, then
@@ -113,12 +113,14 @@ def list_posts(posts: DataFrame, mode: str = "top", limit: int = 1000, time_filt
     if mode == "search":
         hay = F.lower(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("selftext", F.lit(""))))
         df = df.where(F.instr(hay, query.lower()) > 0)
+    # ties: post id, then any extra tie-break columns the table carries
+    ties = [F.asc(c) for c in ("id", *tie_break) if c in df.columns]
     order = {
-        "new": [F.desc("created_utc"), F.asc("id"), F.asc("copy")],
-        "search": [F.desc("created_utc"), F.asc("id"), F.asc("copy")],
-        "top": [F.desc("score"), F.desc("created_utc"), F.asc("id"), F.asc("copy")],
-        "hot": [F.desc(_hot(F.col("score"), F.col("created_utc"))), F.asc("id"), F.asc("copy")],
-    }[mode]
+        "new": [F.desc("created_utc")],
+        "search": [F.desc("created_utc")],
+        "top": [F.desc("score"), F.desc("created_utc")],
+        "hot": [F.desc(_hot(F.col("score"), F.col("created_utc")))],
+    }[mode] + ties
     w = Window.partitionBy(sub_col).orderBy(*order)
     return df.withColumn("listing_rank", F.row_number().over(w)).where(F.col("listing_rank") <= limit)
 
