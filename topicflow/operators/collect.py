@@ -182,6 +182,7 @@ def collect_by_subreddit(posts: DataFrame, subreddits: Sequence[str], target_cou
     subs = [x.strip() for x in subreddits if x.strip()]
     per_sub = max(1, target_count // max(1, len(subs)))
     order = spark.createDataFrame([(s_.lower(), i + 1) for i, s_ in enumerate(subs)], "_sub_key string, sub_pos int")
+    # the subreddit list is the caller's parameter (one row per name)
     p = posts.withColumn("_sub_key", F.lower("subreddit")).join(F.broadcast(order), "_sub_key").drop("_sub_key")
     listed = list_posts(p, mode, per_subreddit_limit, time_filter, query, as_of)
     listed = listed.where(T.has_text("title", "selftext"))

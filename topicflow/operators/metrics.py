@@ -116,6 +116,7 @@ def confusion_grid(preds: DataFrame, by: Sequence[str] = (), y: str = "y", p: st
     by a cross join."""
     preds, by = _keyed(preds, by)
     conf = confusion_counts(preds, by, y, p)
+    # the label set per group: bounded by the number of classes, not by rows
     labels = conf.groupBy(*by).agg(F.array_sort(F.collect_set("y")).alias("_labels"))
     grid = (labels.select(*by, F.explode("_labels").alias("y"), "_labels")
             .select(*by, "y", F.explode("_labels").alias("p")))

@@ -74,7 +74,7 @@ def split_versions(versions_df: DataFrame, by: str = "domain", id_col: str = "do
     n_train, n_val, _ = sample.split_sizes(F.col("n"))
     sizes = sizes.select("version", by, n_train.alias("_n_train"), n_val.alias("_n_val"))
     ranked = sample.exact_rank(kept, ["version", by], id_col, seed, offsets=offs)
-    j = ranked.join(F.broadcast(sizes), ["version", by])
+    j = ranked.join(F.broadcast(sizes), ["version", by])   # one row per stratum (<= offsets, size-checked)
     split = (F.when(F.col("rank") <= F.col("_n_train"), "train")
              .when(F.col("rank") <= F.col("_n_train") + F.col("_n_val"), "val")
              .otherwise("test"))
