@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,7 +140,9 @@ def _cap_by_prefix(df: DataFrame, group: str, group_pos: str, rank: str, quota:
     """Keep rows with ``rank <= quota`` and the first ``total`` rows over the
     order (group_pos, rank), using prefix sums over the small per-group
     count table instead of a global window."""
-    kept = df.where(F.col(rank) <= quota)
+    # at most quota rows per group (bounded by the quota parameters); read twice
+    # below, so kept once instead of re-running listing, dedup and ranking
+    kept = df.where(F.col(rank) <= quota).persist(StorageLevel.MEMORY_AND_DISK)
     counts = kept.groupBy(group, group_pos).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy(group_pos, group).rowsBetween(Window.unboundedPreceding, -1)
     budget = counts.select(group, F.greatest(F.lit(0), F.lit(total) - F.coalesce(F.sum("_n").over(w), F.lit(0)))
