@@ -33,3 +33,16 @@ def test_scan_pruned_and_filter_pushed(spark):
 def test_vocabulary_join_is_broadcast(spark):
     p = _plan(catalog.QUERIES["tfidf_long"](spark, SF))
     assert "BroadcastHashJoin" in p       # vocabulary (<= max_features rows, counted) is broadcast
+
+
+def test_prepared_splits_prune_partitions(spark):
+    import tempfile
+
+    from topicflow.plans import prepare
+    from topicflow.sources import derive
+    out = tempfile.mkdtemp(prefix="tf-splits-") + "/prepared"
+    prepare.write_splits(prepare.prepare(derive.corpus(spark, SF), derive.derived_taxonomy(spark, SF)), out)
+    df = prepare.read_split(spark, out, "tfidf", "train")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(version" in plan and "(split#" in plan
+    assert df.count() > 0 and df.select("clean_text").where("clean_text = ''").count() == 0

@@ -117,3 +117,16 @@ def prepare(corpus: DataFrame, tax: DataFrame, versions=VERSIONS) -> DataFrame:
     bal = sample.balanced_sample(corpus, by="domain").drop("rank")
     mapped = taxonomy.map_topics(bal, tax)
     return split_versions(cleaned_versions(mapped, versions))
+
+
+def write_splits(prepared: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """S04 for the processed corpus: Parquet partitioned by version and split
+    (the reference wrote nine CSV files), so readers prune to one of them."""
+    prepared.write.mode(mode).partitionBy("version", "split").parquet(path)
+
+
+def read_split(spark, path: str, version: str, split: str) -> DataFrame:
+    """Read one (version, split) of the processed corpus; the filters become
+    partition filters, so other versions and splits are never listed or read."""
+    return (spark.read.parquet(path)
+            .where((F.col("version") == version) & (F.col("split") == split)))
