@@ -125,3 +125,16 @@ def test_render_report(spark):
     from topicflow.sources import derive
     text = metrics.render_report(metrics.classification_report(derive.predictions(spark, SF001)), digits=2)
     assert "macro avg" in text and "micro avg" in text and "precision" in text
+
+
+def test_log_preparation_run(spark):
+    from topicflow.plans import prepare
+    from topicflow.sources import derive
+    root = tempfile.mkdtemp(prefix="tf-prep-")
+    corpus = derive.corpus(spark, "/root/testdata/sf0.001")
+    versions = prepare.cleaned_versions(corpus)
+    rid = prepare.log_preparation(spark, root, versions, prepare.split_versions(versions))
+    m = {r.key: r.value for r in spark.read.parquet(f"{root}/run_metrics").where(F.col("run_id") == rid).collect()}
+    assert m["tfidf_train_count"] + m["tfidf_val_count"] + m["tfidf_test_count"] == m["tfidf_documents_count"]
+    latest = registry.latest_run_with_artifact(registry.runs(spark, root), "cleaned_data").first()
+    assert latest.run_id == rid

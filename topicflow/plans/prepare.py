@@ -130,3 +130,30 @@ def read_split(spark, path: str, version: str, split: str) -> DataFrame:
     partition filters, so other versions and splits are never listed or read."""
     return (spark.read.parquet(path)
             .where((F.col("version") == version) & (F.col("split") == split)))
+
+
+PREPARATION_PARAMS = {
+    "min_token_length": 3, "remove_stop_words": True, "lemmatization": True, "three_cleaning_versions": True,
+    "train_size": 0.7, "val_size": 0.15, "test_size": 0.15, "stratify_by_domain": True, "random_state": 42,
+}
+
+
+def log_preparation(spark, root: str, versions_df: DataFrame, splits: DataFrame,
+                    experiment: str = "preparation", artifact: str = "cleaned_data") -> str:
+    """S15 for the preparation run: parameters plus the G04/G05 audit values
+    (kept / filtered / retention per version, split counts and shares) as run
+    metrics. The audits are a few rows per version; only they reach the
+    driver."""
+    from ..sources import registry
+    metrics: dict[str, float] = {}
+    for r in cleaning_audit(versions_df).collect():
+        metrics[f"{r.version}_documents_count"] = r.n_kept
+        metrics[f"{r.version}_documents_filtered"] = r.n_filtered
+        metrics[f"final_{r.version}_retention_rate"] = r.retention
+    params = dict(PREPARATION_PARAMS)
+    for r in split_audit(splits).collect():
+        metrics[f"{r.version}_train_count"] = r.n_train
+        metrics[f"{r.version}_val_count"] = r.n_val
+        metrics[f"{r.version}_test_count"] = r.n_test
+        params[f"{r.version}_train_val_test_ratio"] = r.ratio
+    return registry.log_run(spark, root, experiment, params, metrics, [artifact])
