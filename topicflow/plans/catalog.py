@@ -864,6 +864,16 @@ def q_model_comparison(spark, sf):
     return evaluate.comparison_matrix(slices, domains)
 
 
+@register("topic_pipeline")
+def q_topic_pipeline(spark, sf):
+    """SURVEY §3.1-3.3 in one job: balance, map to topics, clean x3, split,
+    TF-IDF + logistic regression on the topic label (unmapped rows excluded
+    and counted), metrics on the test split and per domain (train split)."""
+    prepared = materialize(prepare.prepare(derive.corpus(spark, sf), derive.derived_taxonomy(spark, sf)),
+                           "prepared")
+    return evaluate.train_on_prepared(prepared)
+
+
 @register("learning_curve")
 def q_learning_curve(spark, sf):
     """M11 + W04 + G16 + P17: the dense arm fitted on 25/50/75/100% nested
