@@ -5,7 +5,6 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from topicflow.functions import clean
 from topicflow.operators import classify, search
 from topicflow.plans import catalog
 from topicflow.sources import registry
