@@ -18,7 +18,7 @@ from ..operators import classify, collect, curves, features, metrics, sample, ta
 from ..operators.common import materialize
 from ..plans import evaluate, prepare
 from ..session import read_table, scratch_path
-from ..sources import derive, readers
+from ..sources import derive, readers, registry
 from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -314,6 +314,37 @@ def q_prepared_corpus(spark, sf):
                       F.length("clean_text").alias("clean_chars"), "rank", "split")
 
 
+def _run_log_sql() -> str:
+    versions = f"""
+  SELECT doc_id, lang AS domain, 'tfidf' AS version, {S.tfidf_text('text')} AS t FROM documents
+  UNION ALL SELECT doc_id, lang, 'transformer', {S.light('text')} FROM documents
+  UNION ALL SELECT doc_id, lang, 'transformer_lem', {S.light_lemma('text')} FROM documents"""
+    kept = f"CASE WHEN {S.nonempty('t')} THEN 1 ELSE 0 END"
+    return f"""
+WITH v AS ({versions}),
+a AS (SELECT version, count(*) AS n, sum({kept}) AS k FROM v GROUP BY version),
+sp AS ({_split_sql()}),
+c AS (SELECT version, split, count(*) AS n FROM sp GROUP BY version, split)
+SELECT version || '_documents_count' AS key, CAST(k AS DOUBLE) AS value FROM a
+UNION ALL SELECT version || '_documents_filtered', CAST(n - k AS DOUBLE) FROM a
+UNION ALL SELECT 'final_' || version || '_retention_rate', round(k / n, 6) FROM a
+UNION ALL SELECT version || '_' || split || '_count', CAST(n AS DOUBLE) FROM c"""
+
+
+@register("run_log", _run_log_sql())
+def q_run_log(spark, sf):
+    """S15 + W07: a preparation run is logged with its audit metrics and the
+    ``cleaned_data`` artifact; a later run without it follows; the newest run
+    owning the artifact is found and its metrics are returned."""
+    root = scratch_path(spark, "runs")
+    versions = prepare.cleaned_versions(derive.corpus(spark, sf))
+    prepare.log_preparation(spark, root, versions, prepare.split_versions(versions))
+    registry.log_run(spark, root, "evaluation", {"model": "none"}, {"accuracy": 0.0}, [])
+    latest = registry.latest_run_with_artifact(registry.runs(spark, root), "cleaned_data").select("run_id")
+    m = spark.read.parquet(f"{root}/run_metrics")
+    return m.join(latest, "run_id").select("key", F.round("value", 6).alias("value"))
+
+
 @register("newsgroup_body", """
 WITH h AS (
   SELECT doc_id, CASE WHEN strpos(text, chr(10) || chr(10)) > 0
