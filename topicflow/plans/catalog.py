@@ -905,6 +905,14 @@ def q_topic_pipeline(spark, sf):
     return evaluate.train_on_prepared(prepared)
 
 
+@register("dense_epochs")
+def q_dense_epochs(spark, sf):
+    """W10 + T04 on real trials: the dense arm's perceptron at several epoch
+    budgets, scored on the validation split; the best epoch and the ranking."""
+    data = _labelled_split(spark, sf, "transformer")
+    return evaluate.dense_epoch_search(data.where(F.col("split") == "train"), data.where(F.col("split") == "val"))
+
+
 @register("learning_curve")
 def q_learning_curve(spark, sf):
     """M11 + W04 + G16 + P17: the dense arm fitted on 25/50/75/100% nested
