@@ -67,22 +67,26 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-# Tables whose rows carry long texts: the cleaning work per row is heavy.
-TEXT_TABLES = frozenset({"documents", "pages", "conversations"})
+# Tables whose rows carry long texts (heavy per-row cleaning), with their key.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
-def spread(df, min_partitions: int | None = None):
-    """Round-robin the rows over the cluster's parallelism only when the scan
-    yields fewer partitions than that (e.g. a file with one row group). On a
-    large input the scan already has many splits and nothing is added."""
+def spread(df, key: str | None = None, min_partitions: int | None = None):
+    """Spread the rows over the cluster's parallelism only when the scan
+    yields fewer partitions than that (e.g. a file with one row group). With
+    a key the rows are hash-partitioned on it (deterministic on retry without
+    the local sort a round-robin repartition needs). On a large input the scan
+    already has many splits and nothing is added."""
     try:
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         n = df.rdd.getNumPartitions()
     except Exception:  # Spark Connect: no RDD API; leave the plan as it is
         return df
-    return df.repartition(target) if n < target else df
+    if n >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     df = spark.read.parquet(table_path(sf_dir, name))
-    return spread(df) if name in TEXT_TABLES else df
+    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
