@@ -716,7 +716,7 @@ SELECT mode, id, copy, subreddit, CAST(listing_rank AS INTEGER) AS listing_rank
 def q_posts_listing(spark, sf):
     """New and hot (limit 25), top of the last week, search 'the' in the
     last month; time filters relative to the newest post."""
-    posts = derive.posts(spark, sf)
+    posts = derive.posts(spark, sf).persist()       # read by four listings and the as_of scalar
     as_of = posts.agg(F.max("created_utc")).first()[0]
     out = None
     for mode, tf, qy in (("new", "all", None), ("hot", "all", None), ("top", "week", None),
