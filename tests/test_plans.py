@@ -46,3 +46,13 @@ def test_prepared_splits_prune_partitions(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(version" in plan and "(split#" in plan
     assert df.count() > 0 and df.select("clean_text").where("clean_text = ''").count() == 0
+
+
+def test_spread_only_for_few_splits(spark):
+    from topicflow.session import spread
+    par = spark.sparkContext.defaultParallelism
+    many = spark.range(0, 1000, numPartitions=par * 2)
+    assert spread(many, "id") is many                     # large inputs keep their splits
+    few = spark.range(0, 1000, numPartitions=1)
+    spread_plan = _plan(spread(few, "id"))
+    assert "Exchange hashpartitioning(id" in spread_plan    # keyed, no round-robin sort
