@@ -81,38 +81,42 @@ def classification_report(preds: DataFrame, by: Sequence[str] = (), labels: str
                           y: str = "y", p: str = "p") -> DataFrame:
     """G09 long form: (by..., label, precision, recall, f1, support) for each
     label plus 'macro avg' and 'weighted avg', and an 'accuracy' row, or a
-    'micro avg' row when the label set leaves out a predicted label."""
+    'micro avg' row when the label set leaves out a predicted label.
+
+    Everything comes from one per-label pass over the union of labels: the
+    present labels are those with support, and predictions outside the label
+    set are the predictions of labels without support."""
     preds, by = _keyed(preds, by)
-    conf = confusion_counts(preds, by, y, p).persist()
-    st = label_stats(conf, by, labels).persist()
+    union = label_stats(confusion_counts(preds, by, y, p), by, "union").persist()
+    st = union if labels == "union" else union.where(F.col("support") > 0)
     rows = st.select(*by, "label", "precision", "recall", "f1", "support")
-    macro = st.groupBy(*by).agg(
-        F.lit("macro avg").alias("label"), F.avg("precision").alias("precision"),
-        F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), F.sum("support").cast("bigint").alias("support"))
     sw = F.sum("support")
-    weighted = st.groupBy(*by).agg(
-        F.lit("weighted avg").alias("label"),
-        (F.sum(F.col("precision") * F.col("support")) / sw).alias("precision"),
-        (F.sum(F.col("recall") * F.col("support")) / sw).alias("recall"),
-        (F.sum(F.col("f1") * F.col("support")) / sw).alias("f1"), sw.cast("bigint").alias("support"))
-    # predicted labels outside the label set -> micro avg instead of accuracy
-    tot = conf.groupBy(*by).agg(
-        F.sum("n").alias("_n"), F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)).alias("_tp_all"))
-    lab = st.groupBy(*by).agg(F.sum("tp").alias("_tp"), F.sum("predicted").alias("_pred"),
-                              F.sum("support").alias("_sup"))
-    outside = (conf.join(st.select(*by, F.col("label").alias("p"), F.lit(1).alias("_in")), [*by, "p"], "left")
-               .groupBy(*by).agg(F.sum(F.when(F.col("_in").isNull(), F.col("n")).otherwise(0)).alias("_outside")))
-    t = tot.join(lab, by, "left").join(outside, by, "left")
-    mp = F.when(F.col("_pred") > 0, F.col("_tp") / F.col("_pred")).otherwise(0.0)
-    mr = F.when(F.col("_sup") > 0, F.col("_tp") / F.col("_sup")).otherwise(0.0)
+    avgs = st.groupBy(*by).agg(
+        F.avg("precision").alias("m_p"), F.avg("recall").alias("m_r"), F.avg("f1").alias("m_f"),
+        (F.sum(F.col("precision") * F.col("support")) / sw).alias("w_p"),
+        (F.sum(F.col("recall") * F.col("support")) / sw).alias("w_r"),
+        (F.sum(F.col("f1") * F.col("support")) / sw).alias("w_f"), sw.cast("bigint").alias("sup"),
+        F.sum("tp").alias("tp"), F.sum("predicted").alias("pred"))
+    outside = union.groupBy(*by).agg(
+        F.sum("support").alias("n"), F.sum("tp").alias("tp_all"),
+        F.sum(F.when(F.col("support") == 0, F.col("predicted")).otherwise(0)).alias("outside"))
+    if labels == "union":
+        outside = outside.withColumn("outside", F.lit(0))
+    t = avgs.join(outside, by)
+    macro = t.select(*by, F.lit("macro avg").alias("label"), F.col("m_p").alias("precision"),
+                     F.col("m_r").alias("recall"), F.col("m_f").alias("f1"), F.col("sup").alias("support"))
+    weighted = t.select(*by, F.lit("weighted avg").alias("label"), F.col("w_p").alias("precision"),
+                        F.col("w_r").alias("recall"), F.col("w_f").alias("f1"), F.col("sup").alias("support"))
+    mp = F.when(F.col("pred") > 0, F.col("tp") / F.col("pred")).otherwise(0.0)
+    mr = F.when(F.col("sup") > 0, F.col("tp") / F.col("sup")).otherwise(0.0)
     mf = F.when(mp + mr > 0, 2 * mp * mr / (mp + mr)).otherwise(0.0)
-    micro = (F.col("_outside") > 0) | (F.col("_sup") < F.col("_n"))
+    micro = (F.col("outside") > 0) | (F.col("sup") < F.col("n"))
     last = t.select(
         *by,
         F.when(micro, F.lit("micro avg")).otherwise(F.lit("accuracy")).alias("label"),
         F.when(micro, mp).alias("precision"), F.when(micro, mr).alias("recall"),
-        F.when(micro, mf).otherwise(F.col("_tp_all") / F.col("_n")).alias("f1"),
-        F.when(micro, F.col("_sup")).otherwise(F.col("_n")).cast("bigint").alias("support"))
+        F.when(micro, mf).otherwise(F.col("tp_all") / F.col("n")).alias("f1"),
+        F.when(micro, F.col("sup")).otherwise(F.col("n")).cast("bigint").alias("support"))
     return _unkey(rows.unionByName(macro).unionByName(weighted).unionByName(last))
 
 
