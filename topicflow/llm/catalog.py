@@ -1,9 +1,9 @@
 """Registered queries of the training-data operators and their SQL."""
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing, token_file
 
-MODULES = (exact_dedup, mixing)
+MODULES = (exact_dedup, packing, token_file, mixing)
 
 
 def queries() -> dict:
