@@ -1,9 +1,9 @@
 """Registered queries of the training-data operators and their SQL."""
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, token_file
+from . import cover_tree, exact_dedup, mixing, packing, token_file, warc
 
-MODULES = (exact_dedup, packing, token_file, mixing)
+MODULES = (warc, exact_dedup, packing, token_file, mixing, cover_tree)
 
 
 def queries() -> dict:
