@@ -1,9 +1,9 @@
 """Registered queries of the training-data operators and their SQL."""
 from __future__ import annotations
 
-from . import cover_tree, exact_dedup, mixing, packing, token_file, warc
+from . import cover_tree, exact_dedup, mixing, packing, secrets, token_file, toxicity, warc
 
-MODULES = (warc, exact_dedup, packing, token_file, mixing, cover_tree)
+MODULES = (warc, toxicity, exact_dedup, packing, token_file, mixing, secrets, cover_tree)
 
 
 def queries() -> dict:
