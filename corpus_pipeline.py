@@ -1,21 +1,52 @@
-"""Corpus pipeline: exact dedup, then mixing (more stages follow)."""
+"""Corpus pipeline over ``documents``: reject toxic texts, drop exact copies,
+keep one document of each near-duplicate group, mix the sources to their target
+weights, pack token sequences. Each stage works on all that its predecessor
+kept and is written before the next one reads it; all but the last return the
+columns of ``documents``.
+
+Edge cases: the stages take the operators' rules for nulls, empty and long
+texts. Rows that repeat both doc_id and text (after white-space normalisation)
+leave one row in the exact stage; in the near-duplicate stage rows that share a
+doc_id stay or go together, and rows with a null doc_id stay if nothing with a
+doc_id is in their group. An empty table gives an empty result.
+"""
 from __future__ import annotations
 
-from topicflow.llm import exact_dedup, mixing
+from pyspark.sql import functions as F
+
 from topicflow.llm import common as C
+from topicflow.llm import exact_dedup, mixing, packing, parity_join, toxicity
+
+
+def reject_toxic(spark, docs, sf_dir):
+    return toxicity.clean_documents(docs, C.read(spark, sf_dir, "labels"))
+
 
+def drop_copies(spark, docs, sf_dir):
+    keep = (exact_dedup.exact_groups(docs).where("kept")
+            .select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha")).distinct())
+    mine = docs.withColumn("__sha", F.sha2(exact_dedup.normalised(F.col("text")), 256))
+    on = F.col("doc_id").eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha"))
+    return mine.join(keep, on).dropDuplicates(["__keep_id", "__keep_sha"]).select(*docs.columns)
 
-def exact(spark, docs, sf_dir):
-    groups = exact_dedup.exact_groups(docs)
-    ids = groups.where("kept").select(groups["doc_id"].alias("__kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept_id"])).drop("__kept_id")
 
+def drop_near_copies(spark, docs, sf_dir):
+    groups = parity_join.jaccard_components(docs).select(
+        F.when(~F.col("no_id"), F.col("doc_id")).alias("__keep_id"), "component_id")
+    keep = groups.where(F.col("__keep_id").eqNullSafe(F.col("component_id"))).select("__keep_id").distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep_id")), "left_semi")
 
-def mix(spark, docs, sf_dir):
+
+def mix_sources(spark, docs, sf_dir):
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("exact dedup", exact), ("mixing", mix)]
+def pack_sequences(spark, docs, sf_dir):
+    return packing.pack_documents(docs)
+
+
+STAGES = [("toxicity", reject_toxic), ("exact dedup", drop_copies), ("n-gram Jaccard join", drop_near_copies),
+          ("mixing sources", mix_sources), ("best-fit packing", pack_sequences)]
 ORACLE_SQL = None
 
 

@@ -1,9 +1,10 @@
 """Registered queries of the training-data operators and their SQL."""
 from __future__ import annotations
 
-from . import cover_tree, exact_dedup, mixing, packing, secrets, token_file, toxicity, warc
+from . import (cover_tree, exact_dedup, mixing, packing, parity_join, prefix_free, secrets, token_file, toxicity,
+               warc)
 
-MODULES = (warc, toxicity, exact_dedup, packing, token_file, mixing, secrets, cover_tree)
+MODULES = (warc, toxicity, exact_dedup, packing, token_file, mixing, parity_join, secrets, cover_tree, prefix_free)
 
 
 def queries() -> dict:

@@ -145,25 +145,26 @@ def sized(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
 
 def plan(rows: DataFrame, block_words=BLOCK_WORDS, shard_words=SHARD_WORDS, weights=WEIGHTS, share=SHARE,
          most=MAX_REPEAT):
-    """Shard every source and set the quotas. ``rows`` (doc_id, source, size)
-    must be a written table. Returns (rows with a shard number, quota frame).
-    The driver sees one number per source and per shard (about one shard per
-    million words), never a document."""
+    """Shards per source and quotas per shard, from a written table of
+    (doc_id, source, size). The driver sees one number per source and per
+    shard (one shard per ``shard_words`` words), never a document."""
     spark = rows.sparkSession
     per = {r[0]: r[1] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
-    cut = [(s, max(1, -(-int(n or 0) // shard_words))) for s, n in per.items()]
-    cuts = spark.createDataFrame(cut, "source string, cuts long") if cut else \
-        spark.createDataFrame([], "source string, cuts long")
-    cuts = cuts.withColumnRenamed("source", "cut_source")
-    dealt = (rows.join(cuts, F.col("source").eqNullSafe(F.col("cut_source"))).drop("cut_source")
-             .withColumn("shard", F.expr("pmod(xxhash64(doc_id), cuts)")).drop("cuts"))
-    shards = [(r[0], r[1], int(r[2])) for r in dealt.groupBy("source", "shard").agg(F.sum("size")).collect()]
+    cuts = spark.createDataFrame([(s, max(1, -(-int(n or 0) // shard_words))) for s, n in per.items()],
+                                 "q_source string, cuts long")
+    shards = [(r[0], r[1], int(r[2])) for r in
+              deal(rows, cuts).groupBy("source", "shard").agg(F.sum("size")).collect()]
     size, goal, blocks, quota = shard_plan(shards, block_words, weights, share, most)
     frame = [(s, k, size[s], float(goal[s]), blocks[s, k], quota[s, k], n) for n, (s, k) in
              enumerate(sorted(blocks, key=lambda x: (x[0] is None, x[0] or "", x[1])))]
-    quotas = spark.createDataFrame(
+    return cuts, spark.createDataFrame(
         frame, "q_source string, q_shard long, source_size long, target double, blocks long, quota long, shard_no long")
-    return dealt, quotas
+
+
+def deal(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Adds the shard of each row."""
+    return (rows.join(cuts, F.col("source").eqNullSafe(F.col("q_source"))).drop("q_source")
+            .withColumn("shard", F.expr("pmod(xxhash64(doc_id), cuts)")).drop("cuts"))
 
 
 def runs_of(pdf: pd.DataFrame, seed: int):
@@ -195,17 +196,16 @@ def take(seed: int):
     return run
 
 
-def placed(rows: DataFrame, seed: int, **how) -> DataFrame:
-    dealt, quotas = plan(rows, **how)
+def placed(rows: DataFrame, cuts: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
     on = F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard"))
-    return (dealt.join(quotas, on).drop("q_source", "q_shard", "shard")
+    return (deal(rows, cuts).join(quotas, on).drop("q_source", "q_shard", "shard")
             .withColumn("order", F.expr(f"xxhash64({seed}L, doc_id, no_id)")))
 
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed: int = SEED, **how) -> DataFrame:
     """What the mix takes: doc_id, size, source_size, target, taken."""
     rows = C.materialize(sized(docs, id_col, text_col, source_col), "sized")
-    return (placed(rows, seed, **how).groupBy("shard_no").applyInPandas(take(seed), TAKEN)
+    return (placed(rows, *plan(rows, **how), seed).groupBy("shard_no").applyInPandas(take(seed), TAKEN)
             .select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "size", "source_size", "target",
                     "taken"))
 
@@ -218,10 +218,10 @@ def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_co
     where present, is set to the length of a text that was cut. Documents that
     nothing is taken of do not appear."""
     names = docs.columns
+    cuts, quotas = plan(C.materialize(sized(docs, id_col, text_col, source_col), "sized"), **how)
     rows = sized(docs, id_col, text_col, source_col, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    rows = C.materialize(rows, "sized-rows")
     out = T.StructType([T.StructField("row", rows.schema["row"].dataType)])
-    return (placed(rows, seed, **how).groupBy("shard_no").applyInPandas(cut_texts(seed, text_col), out)
+    return (placed(rows, cuts, quotas, seed).groupBy("shard_no").applyInPandas(cut_texts(seed, text_col), out)
             .select(*[F.col(f"row.`{c}`").alias(c) for c in names]))
 
 

@@ -336,24 +336,44 @@ def fit_regression(rows: list[list[int]], y: np.ndarray, width: int, ridge: floa
     return w
 
 
-def score_texts(model: Trigrams, names: list[str], weights: np.ndarray):
+def scorer(model: Trigrams, names: list[str], weights: np.ndarray):
+    """Function from a string array to scores."""
     at = {f: i for i, f in enumerate(names)}
-    width = len(names)
+    width = max(1, len(names))
     known: dict = {}
 
     def make(w):
         return tuple({at[f] for f in features(w) if f in at})
 
+    def run(text: pa.Array) -> np.ndarray:
+        values, pos, rows, extra, extra_rows = doc_words(text, known, make, model)
+        f = np.concatenate([np.array(values, np.int64)[pos] if len(pos) else np.zeros(0, np.int64),
+                            np.array(extra, np.int64)])
+        pair = np.unique(np.concatenate([rows, extra_rows]).astype(np.int64) * width + f)
+        total = np.bincount(pair // width, weights[pair % width], minlength=len(text))
+        return 1 / (1 + np.exp(-np.clip(total + weights[-1], -30, 30)))
+    return run
+
+
+def score_texts(model: Trigrams, names: list[str], weights: np.ndarray):
+    score = scorer(model, names, weights)
+
     def run(batches):
         for batch in batches:
             for b in T.slices(batch, 2):
-                values, pos, rows, extra, extra_rows = doc_words(b.column(2), known, make, model)
-                f = np.concatenate([np.array(values, np.int64)[pos] if len(pos) else np.zeros(0, np.int64),
-                                    np.array(extra, np.int64)])
-                pair = np.unique(np.concatenate([rows, extra_rows]).astype(np.int64) * max(1, width) + f)
-                total = np.bincount(pair // max(1, width), weights[pair % max(1, width)], minlength=b.num_rows)
-                p = 1 / (1 + np.exp(-np.clip(total + weights[width], -30, 30)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p)], ["doc_id", "held_out", "score"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score(b.column(2)))],
+                                                 ["doc_id", "held_out", "score"])
+    return run
+
+
+def keep_clean(model: Trigrams, names: list[str], weights: np.ndarray, column: int):
+    """Whole rows whose score is below one half."""
+    score = scorer(model, names, weights)
+
+    def run(batches):
+        for batch in batches:
+            for b in T.slices(batch, column):
+                yield b.filter(pa.array(score(b.column(column)) < 0.5))
     return run
 
 
@@ -389,6 +409,12 @@ def scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def clean_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, all columns."""
+    how = keep_clean(*train(docs, labels, train_rows), docs.columns.index("text"))
+    return docs.mapInArrow(how, docs.schema)
+
+
 def op2_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels"))
 
