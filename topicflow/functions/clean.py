@@ -1,7 +1,8 @@
 """Text cleaning as Spark Column expressions.
 
 Everything here is a composition of built-in ``regexp_replace`` / ``lower`` /
-``trim``: it stays JVM-side inside whole-stage codegen, no Python worker.
+``trim``: it stays in the JVM, no Python worker. Array lambdas (S07, and the
+token functions) are interpreted there, not code-generated.
 
 Python's ``re`` is Unicode-aware by default; Java regex is not. The Java
 spellings below are chosen so Spark gives the same answer as Python ``re``
@@ -24,22 +25,16 @@ from pyspark.sql import functions as F
 #   REPEAT   ^([a-z])\1+$
 # Light placeholders: " [URL] ", " [EMAIL] ", prefixes "hashtag_", "mention_".
 # ---------------------------------------------------------------------------
-PY_PATTERNS = {
-    "url": r"https?://\S+|www\.\S+",
-    "email": r"[\w\.-]+@[\w\.-]+\.\w+",
-    "html": r"<[^>]+>",
-    "hashtag": r"#\w+",
-    "mention": r"@\w+",
-    "repeat": r"^([a-z])\1+$",
-}
-
 # Java (Spark) spellings of the Python classes.
 J_WORD = r"[\p{L}\p{N}_]"
 J_SPACE = r"[\s\x1c-\x1f]"          # used under (?U)
 J_NONSPACE = r"[^\s\x1c-\x1f]"      # used under (?U)
 
 J_URL = rf"(?U)https?://{J_NONSPACE}+|www\.{J_NONSPACE}+"
-J_EMAIL = r"[\p{L}\p{N}_.-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+"
+# The local part starts where a run of its characters starts, or where the last
+# match ended: the only places a leftmost match can start, so a long run
+# without "@" is read once instead of once per character.
+J_EMAIL = r"(?:\G|(?<![\p{L}\p{N}_.-]))[\p{L}\p{N}_.-]++@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+"
 J_HTML = r"<[^>]+>"
 J_HASHTAG = rf"#({J_WORD}+)"
 J_MENTION = rf"@({J_WORD}+)"
@@ -53,6 +48,12 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(c, fn) -> Column:
+    """``fn`` of a Column that is computed once: inside the lambda it is a bound
+    variable, where a plain Python variable would be inlined at every use."""
+    return F.get(F.transform(F.array(_c(c)), fn), F.lit(0))
+
+
 def null_to_empty(c) -> Column:
     """Non-string (null) text becomes the empty string."""
     return F.coalesce(_c(c).cast("string"), F.lit(""))
@@ -63,7 +64,13 @@ def lower(c) -> Column:                       # X01
 
 
 def strip_html(c) -> Column:                  # X02
-    return F.regexp_replace(_c(c), J_HTML, " ")
+    """Only the part up to the last ``>`` can hold a tag; what follows is not
+    searched, so unclosed ``<`` cost nothing."""
+    def tags(x):
+        tail = F.substring_index(x, ">", -1)
+        head = F.substring(x, F.lit(1), F.length(x) - F.length(tail))
+        return F.concat(F.regexp_replace(head, J_HTML, " "), tail)
+    return let(c, tags)
 
 
 def drop_urls(c) -> Column:                   # X03
@@ -145,9 +152,10 @@ J_QUOTE_LINE = r"(writes in|writes:|wrote:|says:|said:|^In article|^Quoted from|
 
 def strip_header(c) -> Column:
     """Text after the first blank line; empty when there is none."""
-    x = _c(c)
-    pos = F.instr(x, "\n\n")
-    return F.when(pos > 0, F.substring(x, pos + 2, 1 << 30)).otherwise(F.lit(""))
+    def after(x):
+        pos = F.instr(x, "\n\n")
+        return F.when(pos > 0, F.substring(x, pos + 2, F.length(x))).otherwise(F.lit(""))
+    return let(c, after)
 
 
 def strip_quotes(c) -> Column:
@@ -164,12 +172,15 @@ J_SEPARATOR = r"(?U)^[\s\x1c-\x1f]*-*[\s\x1c-\x1f]*$"
 def strip_footer(c) -> Column:
     """Cut before the last separator line (blank or dashes) when it is not
     the first line; otherwise keep the text unchanged."""
-    x = _c(c)
-    lines = F.split(F.regexp_replace(x, J_EDGE_SPACES, ""), "\n", -1)
-    idx = F.sequence(F.lit(1), F.size(lines))
-    last = F.array_max(F.filter(idx, lambda i: F.element_at(lines, i).rlike(J_SEPARATOR)))
-    return F.when(F.coalesce(last, F.lit(0)) > 1,
-                  F.array_join(F.slice(lines, 1, last - 1), "\n")).otherwise(x)
+    def cut(x):
+        lines = F.split(F.regexp_replace(x["text"], J_EDGE_SPACES, ""), "\n", -1)
+        return let(F.struct(x["text"].alias("text"), lines.alias("lines")), last_line)
+
+    def last_line(x):
+        last = F.array_max(F.transform(x["lines"], lambda ln, i: F.when(ln.rlike(J_SEPARATOR), i)))
+        return F.when(last > 0, F.array_join(F.slice(x["lines"], 1, last), "\n")).otherwise(x["text"])
+
+    return let(F.struct(_c(c).alias("text")), cut)
 
 
 def newsgroup_body(c) -> Column:

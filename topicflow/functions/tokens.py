@@ -1,14 +1,14 @@
 """Token-level Column expressions.
 
 Token lists are ``array<string>`` columns transformed with higher-order
-functions (``filter`` / ``transform``), which run inside codegen; no UDF.
+functions (``filter`` / ``transform``): interpreted in the JVM, no UDF.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .clean import J_REPEAT, _c, clean_aggressive, clean_light
+from .clean import J_REPEAT, _c, clean_aggressive, clean_light, let
 
 # ---------------------------------------------------------------------------
 # Default English stop list (the public default list shipped
@@ -66,7 +66,7 @@ def _lemma_of(t: Column, lemmas: dict[str, str] | None) -> Column:
 
     The dictionary travels inside the plan as a map literal, so it must be
     small (it is bounded by the parameter we ship); large dictionaries go
-    through :func:`topicflow.operators.features.lemmatize_join`.
+    through :func:`topicflow.operators.features.lemmatize_tokens`.
     """
     if not lemmas:
         return t
@@ -161,12 +161,26 @@ def encode_fixed(ids: Column, length: int, pad_id: int = 0) -> tuple[Column, Col
     return input_ids, mask
 
 
+def _shifted(logits: Column) -> Column:
+    """exp(x - max) per element, the maximum computed once per row."""
+    return let(F.struct(logits.alias("v"), F.array_max(logits).alias("m")),
+               lambda s: F.transform(s["v"], lambda x: F.exp(x - s["m"])))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0).cast("double"), lambda a, x: a + x)
+
+
 def softmax(logits: Column) -> Column:
-    """Numerically stable softmax over an array column."""
-    m = F.array_max(logits)
-    ex = F.transform(logits, lambda x: F.exp(x - m))
-    tot = F.aggregate(ex, F.lit(0.0).cast("double"), lambda a, x: a + x)
-    return F.transform(ex, lambda x: x / tot)
+    """Numerically stable softmax over an array column, linear in its
+    length (maximum and sum are bound once per row)."""
+    return let(_shifted(logits), lambda e: let(F.struct(e.alias("e"), _total(e).alias("t")),
+                                               lambda s: F.transform(s["e"], lambda x: x / s["t"])))
+
+
+def confidence(logits: Column) -> Column:
+    """The largest softmax value, 1 / sum(exp(x - max))."""
+    return F.lit(1.0) / _total(_shifted(logits))
 
 
 def argmax(values: Column) -> Column:

@@ -100,11 +100,11 @@ def list_posts(posts: DataFrame, mode: str = "top", limit: int = 1000, time_filt
     score; search = case-insensitive text match + time filter, newest first.
     Time filters are relative to ``as_of`` (epoch seconds)."""
     if mode not in MODES:
-        raise ValueError(f"Unknown mode: {mode}")
+        raise ValueError(f"mode must be one of {sorted(MODES)}, not {mode!r}")
     if mode == "search" and not query:
-        raise ValueError("search mode requires --query")
+        raise ValueError("a search listing needs a query string")
     if time_filter not in TIME_FILTERS:
-        raise ValueError(f"Unknown time filter: {time_filter}")
+        raise ValueError(f"time_filter must be one of {sorted(TIME_FILTERS)}, not {time_filter!r}")
     df = posts
     span = TIME_FILTERS[time_filter]
     if mode in ("top", "search") and span is not None:

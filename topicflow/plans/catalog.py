@@ -1030,7 +1030,7 @@ def q_softmax_argmax(spark, sf):
     max probability as confidence."""
     e = read_table(spark, sf, "embeddings")
     return e.select("vec_id", "label", K.argmax(F.col("embedding")).cast("int").alias("predicted_id"),
-                    F.round(F.array_max(K.softmax(F.col("embedding"))), 6).alias("confidence"))
+                    F.round(K.confidence(F.col("embedding")), 6).alias("confidence"))
 
 
 @register("score_validation", """
