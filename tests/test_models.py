@@ -3,6 +3,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from topicflow.operators import classify, search
@@ -28,6 +29,31 @@ def test_logistic_floor(spark, lang_split):
     assert scored.where(F.col("confidence") > 1.0 + 1e-9).count() == 0
 
 
+def test_no_empty_class(spark, lang_split):
+    """The model has exactly the training labels as classes; every one can be
+    named, and a label unseen in training does not add one."""
+    train = lang_split.where(F.col("split") == "train")
+    k = train.select("label").distinct().count()
+    model = classify.train_classic(train, lr=classify.LogisticParams(max_iter=20))
+    lr = model.stages[-2]
+    assert lr.numClasses == k and lr.interceptVector.size == k
+    probe = train.limit(3).withColumn("label", F.lit("unseen"))
+    assert all(len(r.p) == k for r in model.transform(probe).select(vector_to_array("probability").alias("p")).collect())
+    dense = classify.train_dense(train, params=classify.DenseParams(vector_size=8, hidden=8, max_iter=3, min_count=5))
+    assert dense.stages[-2].getLayers()[-1] == k
+
+
+@pytest.mark.parametrize("penalty", ["l1", "l2"])
+def test_one_vs_rest_scores(spark, lang_split, penalty):
+    train = lang_split.where(F.col("split") == "train")
+    params = classify.LogisticParams(max_iter=15, penalty=penalty, one_vs_rest=True)
+    model = classify.train_classic(train, lr=params)
+    out = classify.score(lang_split.where(F.col("split") == "val"), model, "ovr")
+    r = out.agg(F.avg((F.col("label") == F.col("predicted_label")).cast("double")).alias("acc"),
+                F.min("confidence").alias("lo"), F.max("confidence").alias("hi")).first()
+    assert r.acc >= 0.9 and 0.0 < r.lo <= r.hi <= 1.0
+
+
 def test_search_points_deterministic_and_in_space(spark):
     a = search.search_points(spark, 20, seed=42).collect()
     b = search.search_points(spark, 20, seed=42).collect()
@@ -43,9 +69,13 @@ def test_search_points_deterministic_and_in_space(spark):
 def test_random_search_and_best(spark, lang_split):
     train = lang_split.where(F.col("split") == "train")
     val = lang_split.where(F.col("split") == "val")
-    trials = search.random_search(train, val, n_trials=2, seed=3, max_iter_cap=30)
+    space = {**search.SPACE, "max_iter": ("cat", ["20"])}
+    trials = search.random_search(train, val, n_trials=2, seed=3, space=space)
     rows = trials.collect()
-    assert len(rows) == 2 and all(r.status in ("ok", "failed") for r in rows)
+    assert len(rows) == 2 and all(r.status == "ok" and r.params["max_iter"] == "20" for r in rows)
+    none_left = {**space, "min_df": ("int", 10**6, 10**6)}
+    failed = search.random_search(train, val, n_trials=1, seed=3, space=none_left).first()
+    assert failed.status == "failed" and failed.val_f1 == 0.0 and failed.message
     best = search.best_trial(trials).first()
     assert best.val_f1 == max(r.val_f1 for r in rows)
 
@@ -69,6 +99,10 @@ def test_registry_latest(spark):
     v = registry.latest_versions(spark.read.parquet(f"{root}/model_versions")).first()
     assert (v.version, v.uri) == (2, "/x/2")
     assert registry.load_model(spark, "/nonexistent", root, "nomodel") is None
+    broken = f"{root}/broken"
+    os.makedirs(broken)
+    with pytest.raises(Exception):                      # a folder that holds no model is not "no model"
+        registry.load_model(spark, broken)
 
 
 def test_stream_scoring_with_rejects(spark, lang_split):
@@ -77,18 +111,19 @@ def test_stream_scoring_with_rejects(spark, lang_split):
     root = tempfile.mkdtemp(prefix="tf-score-")
     docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(-1, ""), (-2, "x" * 10001)], "doc_id long, text string")
+    # no limit is set: a text over 10,000 characters is scored like any other
     docs.unionByName(extra).write.json(f"{root}/in/a")
     from topicflow.functions import tokens
     ingest.score_stream(spark, f"{root}/in/*/*.json", model, "logistic_regression", tokens.tfidf_text("text"),
                         f"{root}/out", f"{root}/rej", f"{root}/ckpt")
     out = spark.read.parquet(f"{root}/out")
     rej = spark.read.parquet(f"{root}/rej")
-    long_docs = docs.where(F.length("text") > 10000).count()
-    assert out.count() == 1000 - long_docs
-    assert {r.doc_id for r in rej.collect()} >= {-1, -2}
-    assert rej.where(F.col("reject_reason") == "too_long").count() == long_docs + 1
+    assert out.count() == 1001 and out.where("doc_id = -2").count() == 1
+    assert [(r.doc_id, r.reject_reason) for r in rej.select("doc_id", "reject_reason").collect()] == [(-1, "empty")]
     summ = spark.read.parquet(f"{root}/out_summary").agg(F.sum("n_rows"), F.sum("n_rejected")).first()
-    assert summ[0] == 1002 and summ[1] == long_docs + 2
+    assert tuple(summ) == (1002, 1)
+    limited = ingest.validate(extra, max_chars=10_000).orderBy("doc_id").collect()
+    assert [r.reject_reason for r in limited] == ["too_long", "empty"]
 
 
 def test_model_save_load_roundtrip(spark, lang_split):

@@ -22,11 +22,11 @@ def test_jsonl_corrupt_line_kept_aside(spark):
     d = tempfile.mkdtemp(prefix="tf-json-")
     with open(f"{d}/part.json", "w", encoding="utf-8") as f:
         f.write('{"text": "caf\\u00e9 ok", "label": "A"}\n{not json\n{"text": "b", "label": "B"}\n')
-    rows = readers.social_posts(spark, d).orderBy("target").collect()
+    rows = readers.social_posts(spark, d, rejects=f"{d}-rejects").orderBy("target").collect()
     assert [(r.text, r.target) for r in rows] == [("café ok", "A"), ("b", "B")]
-    raw = readers.read_jsonl(spark, d, readers.SOCIAL_SCHEMA).collect()
-    # (Spark rejects queries over raw JSON that read only the corrupt column)
-    assert sum(1 for r in raw if r[readers.CORRUPT] is not None) == 1
+    assert [r.line for r in spark.read.parquet(f"{d}-rejects").collect()] == ["{not json"]
+    with pytest.raises(Exception, match="not a JSON line"):          # without a reject folder it is an error
+        readers.social_posts(spark, d).collect()
 
 
 def test_csv_multiline_roundtrip(spark):

@@ -16,3 +16,24 @@ def test_stream_ingest_dedups_across_files(spark):
     expected = derive.posts(spark, SF).where((F.col("copy") == 0) & T.has_text("title", "selftext")).count()
     assert len(ids) == expected
     assert all(r.label for r in rows) and all(r.created_utc.endswith("+00:00") for r in rows)
+
+
+def test_bad_lines_and_old_posts(spark, tmp_path):
+    """A line that is no JSON goes to the reject sink; a post decades older
+    than the newest is kept; ids of earlier runs are not written again."""
+    import json
+
+    from topicflow.streaming import ingest
+
+    def post(i, created):
+        return json.dumps({"id": i, "title": "t", "selftext": "", "subreddit": "s", "created_utc": created,
+                           "permalink": f"/{i}"})
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.json").write_text("\n".join([post("new", 2e9), post("old", 1e8), "{broken", post("new", 2e9)]) + "\n")
+    args = (f"{src}/*.json", f"{tmp_path}/out", f"{tmp_path}/ckpt", None)
+    ingest.ingest_posts(spark, *args)
+    (src / "b.json").write_text("\n".join([post("old", 1e8), post("older", 1e7)]) + "\n")
+    ingest.ingest_posts(spark, *args)
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["new", "old", "older"]
+    assert [r.line for r in spark.read.parquet(f"{tmp_path}/out_rejects").collect()] == ["{broken"]

@@ -969,8 +969,7 @@ def q_jsonl_roundtrip(spark, sf):
     readers.write_jsonl(posts.where(F.col("copy") == 0), path)
     readers.write_jsonl(posts.where(F.col("copy") == 1), path)          # append
     schema = Ty.StructType(readers.RAW_POST_SCHEMA.fields + [Ty.StructField("copy", Ty.IntegerType())])
-    d = readers.read_jsonl(spark, path, schema)
-    return d.where(F.col(readers.CORRUPT).isNull()).drop(readers.CORRUPT)
+    return readers.good_lines(readers.read_jsonl(spark, path, schema))
 
 
 @register("stream_ingest_posts", f"""
@@ -989,7 +988,7 @@ def q_stream_ingest_posts(spark, sf):
     readers.write_jsonl(posts.where(F.col("copy") == 1).drop("copy"), f"{root}/in/f3", "overwrite")
     inv = collect.invert_topic_map(_topic_map(spark, sf))
     ingest.ingest_posts(spark, f"{root}/in/*/*.json", f"{root}/out", f"{root}/ckpt", inv)
-    return spark.read.parquet(f"{root}/out")
+    return spark.read.parquet(f"{root}/out").drop("batch")
 
 
 # ---------------------------------------------------------------------------
@@ -1039,7 +1038,7 @@ SELECT doc_id, CAST(length(coalesce(text, '')) AS INTEGER) AS n_chars,
 FROM documents""")
 def q_score_validation(spark, sf):
     """Scoring input must hold 1..10,000 characters; rejects get a reason."""
-    d = ingest.validate(read_table(spark, sf, "documents"))
+    d = ingest.validate(read_table(spark, sf, "documents"), max_chars=10_000)     # the limit is the feature here
     return d.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), "reject_reason")
 
 

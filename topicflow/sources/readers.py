@@ -69,10 +69,27 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).option("encoding", "UTF-8").json(path)
 
 
-def social_posts(spark: SparkSession, path: str) -> DataFrame:
+def good_lines(raw: DataFrame, rejects: str | None = None) -> DataFrame:
+    """The parsed lines of a :func:`read_jsonl` frame. Bad lines are never
+    dropped unseen: they are written to ``rejects`` where the caller names a
+    folder, otherwise the first action on any of them fails the job."""
+    if rejects is not None:
+        kept = raw.cache()        # Spark refuses a query on raw JSON that reads the corrupt column alone
+        try:
+            kept.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line")) \
+                .write.mode("overwrite").parquet(rejects)
+        finally:
+            kept.unpersist()
+        return raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    fine = F.when(F.col(CORRUPT).isNull(), F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("not a JSON line: "), F.substring(CORRUPT, 1, 200))).cast("boolean"))
+    return raw.where(fine).drop(CORRUPT)
+
+
+def social_posts(spark: SparkSession, path: str, rejects: str | None = None) -> DataFrame:
     """S02 for the social loader: keep ``text`` and ``label`` -> ``target``."""
-    d = read_jsonl(spark, path, SOCIAL_SCHEMA)
-    return d.where(F.col(CORRUPT).isNull()).select("text", F.col("label").alias("target"))
+    d = good_lines(read_jsonl(spark, path, SOCIAL_SCHEMA), rejects)
+    return d.select("text", F.col("label").alias("target"))
 
 
 def class_names(df: DataFrame, id_col: str, names: Sequence[str], out: str = "target") -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .readers import existing_paths
+
 RUNS_SCHEMA = "run_id string, experiment string, start_time double, artifacts array<string>"
 PARAMS_SCHEMA = "run_id string, key string, value string"
 METRICS_SCHEMA = "run_id string, key string, value double"
@@ -50,13 +52,13 @@ def latest_run_with_artifact(runs_df: DataFrame, artifact: str) -> DataFrame:
 
 
 def register_version(spark: SparkSession, root: str, model: str, uri: str, run_id: str | None = None) -> int:
-    """Append a new model version (next integer)."""
+    """Append a new model version (next integer). One writer per registry: two
+    that register at once may get the same number."""
     path = f"{root}/model_versions"
-    try:
+    cur = 0
+    if existing_paths(spark, [path]):
         cur = spark.read.schema(VERSIONS_SCHEMA).parquet(path).where(F.col("model") == model) \
             .agg(F.max("version")).first()[0] or 0
-    except Exception:  # noqa: BLE001 - first version
-        cur = 0
     spark.createDataFrame([(model, cur + 1, uri, run_id)], VERSIONS_SCHEMA).write.mode("append").parquet(path)
     return cur + 1
 
@@ -75,18 +77,13 @@ def save_model(model: PipelineModel, path: str) -> None:
 def load_model(spark: SparkSession, local_path: str | None, root: str | None = None,
                model: str | None = None) -> PipelineModel | None:
     """Load from the local path first, then the registry's newest
-    version; ``None`` when neither exists (the evaluation skips it)."""
-    if local_path:
-        try:
-            return PipelineModel.load(local_path)
-        except Exception:  # noqa: BLE001 - fall back to the registry
-            pass
-    if root and model:
-        try:
-            v = spark.read.schema(VERSIONS_SCHEMA).parquet(f"{root}/model_versions")
-            row = latest_versions(v.where(F.col("model") == model)).first()
-            if row is not None:
-                return PipelineModel.load(row.uri)
-        except Exception:  # noqa: BLE001
-            return None
+    version; ``None`` when neither exists (the evaluation skips it). A path
+    that exists but cannot be read is an error."""
+    if local_path and existing_paths(spark, [local_path]):
+        return PipelineModel.load(local_path)
+    if root and model and existing_paths(spark, [f"{root}/model_versions"]):
+        v = spark.read.schema(VERSIONS_SCHEMA).parquet(f"{root}/model_versions")
+        row = latest_versions(v.where(F.col("model") == model)).first()
+        if row is not None:
+            return PipelineModel.load(row.uri)
     return None

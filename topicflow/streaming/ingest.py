@@ -1,15 +1,17 @@
 """Structured Streaming jobs.
 
-R01 incremental post ingest: JSON files -> text filter (P06) -> watermark on
-the post time + ``dropDuplicatesWithinWatermark("id")`` (ids seen in earlier
-micro-batches are skipped; the reference kept that state only in one process)
--> labels (P10 via a stream-static broadcast join) -> serialized rows,
-appended to Parquet with a checkpoint, so a restart resumes exactly.
+R01 incremental post ingest: JSON files -> text filter (P06) -> ids that the
+sink does not hold yet (the reference kept seen ids only in one process) ->
+labels (P10) -> serialized rows. The seen ids are the sink itself: each
+micro-batch drops its own repeats and is anti-joined with the ids written by
+earlier batches, so nothing is forgotten or dropped as late, whatever a post's
+age, and no state store has to hold ids. Lines that are not valid JSON go to a
+reject sink. Both sinks are written per batch id, so a replayed batch
+overwrites its own output instead of duplicating it.
 
 R02 continuous scoring: files of texts -> validation (P13) -> the *same*
 cleaning Column as training -> ``PipelineModel.transform`` -> Parquet; invalid
-rows go to a reject sink. Both sinks are written in ``foreachBatch`` with the
-batch id in the path, so a replayed batch overwrites instead of duplicating.
+rows go to a reject sink, a summary row per batch to a third (G17).
 """
 from __future__ import annotations
 
@@ -20,33 +22,51 @@ from pyspark.sql import types as Ty
 
 from ..functions import text as T
 from ..operators import collect
-from ..sources.readers import RAW_POST_SCHEMA
-
-MAX_TEXT_CHARS = 10_000
+from ..sources.readers import CORRUPT, RAW_POST_SCHEMA, existing_paths
 
 
 def posts_stream(spark: SparkSession, source_glob: str, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(RAW_POST_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
-            .json(source_glob))
+    """The raw posts; a line that is no JSON object is kept in ``CORRUPT``."""
+    schema = Ty.StructType(RAW_POST_SCHEMA.fields + [Ty.StructField(CORRUPT, Ty.StringType())])
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+            .option("columnNameOfCorruptRecord", CORRUPT).json(source_glob))
 
 
-def dedup_posts(stream: DataFrame, watermark: str = "3650 days") -> DataFrame:
-    """P06 + R01 state: keep posts with text, drop ids already seen while the
-    watermark holds them."""
-    s = stream.where(T.has_text("title", "selftext"))
-    s = s.withColumn("event_time", F.timestamp_seconds(F.col("created_utc")))
-    return s.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["id"])
+def _earlier_ids(spark: SparkSession, sink: str, batch_id: int) -> DataFrame | None:
+    """Ids written by batches before this one (a replayed batch must not see
+    its own rows)."""
+    if not existing_paths(spark, [sink]):
+        return None
+    return spark.read.option("basePath", sink).parquet(sink).where(F.col("batch") < batch_id).select("id")
 
 
 def ingest_posts(spark: SparkSession, source_glob: str, sink: str, checkpoint: str,
                  inverted_map: DataFrame | None, label_mode: str = "hybrid",
-                 include_title: bool = True, available_now: bool = True, files_per_trigger: int = 8):
-    """Start (and with ``available_now`` drain) the ingest query."""
-    s = dedup_posts(posts_stream(spark, source_glob, files_per_trigger))
-    labeled = collect.assign_label(s, inverted_map, label_mode)
-    out = collect.serialize_posts(labeled, include_title, True, keep=["label"])
-    w = out.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
-    q = (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start(sink)
+                 include_title: bool = True, available_now: bool = True, files_per_trigger: int = 8,
+                 rejects: str | None = None):
+    """Start (and with ``available_now`` drain) the ingest query.
+    ``rejects`` (default: ``<sink>_rejects``) gets the lines that are not JSON."""
+    bad_sink = rejects or f"{sink}_rejects"
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            batch.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line")) \
+                .write.mode("overwrite").parquet(f"{bad_sink}/batch={batch_id}")
+            posts = batch.where(F.col(CORRUPT).isNull() & T.has_text("title", "selftext")).drop(CORRUPT)
+            new = collect.dedup_first_seen(posts, ["created_utc", "subreddit", "title", "selftext"])
+            seen = _earlier_ids(spark, sink, batch_id)
+            if seen is not None:
+                new = new.join(seen, "id", "left_anti")
+            out = collect.serialize_posts(collect.assign_label(new, inverted_map, label_mode), include_title, True,
+                                          keep=["label"])
+            out.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    w = (posts_stream(spark, source_glob, files_per_trigger).writeStream.foreachBatch(write_batch)
+         .option("checkpointLocation", checkpoint))
+    q = (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
     if available_now:
         q.awaitTermination()
     return q
@@ -55,21 +75,23 @@ def ingest_posts(spark: SparkSession, source_glob: str, sink: str, checkpoint: s
 TEXT_SCHEMA = Ty.StructType([Ty.StructField("doc_id", Ty.LongType()), Ty.StructField("text", Ty.StringType())])
 
 
-def validate(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Text length must be 1..10,000 characters; adds ``reject_reason``."""
+def validate(df: DataFrame, text_col: str = "text", max_chars: int | None = None) -> DataFrame:
+    """The text must have at least one character and, where the caller
+    sets a limit, at most ``max_chars``; adds ``reject_reason``."""
     n = F.length(F.coalesce(F.col(text_col), F.lit("")))
-    reason = (F.when(n < 1, F.lit("empty"))
-              .when(n > MAX_TEXT_CHARS, F.lit("too_long")))
+    reason = F.when(n < 1, F.lit("empty"))
+    if max_chars is not None:
+        reason = reason.when(n > max_chars, F.lit("too_long"))
     return df.withColumn("reject_reason", reason)
 
 
 def score_stream(spark: SparkSession, source_glob: str, model: PipelineModel, model_name: str,
                  clean_col, out_dir: str, reject_dir: str, checkpoint: str,
-                 available_now: bool = True):
+                 available_now: bool = True, max_chars: int | None = None):
     """Validation, training-time cleaning, scoring, two sinks."""
     from pyspark.ml.functions import vector_to_array
     src = spark.readStream.schema(TEXT_SCHEMA).json(source_glob)
-    checked = validate(src)
+    checked = validate(src, max_chars=max_chars)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         import time
