@@ -169,7 +169,7 @@ def compare(cosine: float):
             return pd.DataFrame({"kind": [], "a": [], "b": []})
         x, y = unit(p["v"]), unit(q["v"])
         cx, cy, (u, r) = links(x, p["n"].to_numpy(), y, q["n"].to_numpy(), lo == hi, cosine)
-        ids = np.concatenate([p["cid"].to_numpy(), [] if lo == hi else q["cid"].to_numpy()]).astype(np.int64)
+        ids = p["cid"].to_numpy() if lo == hi else np.concatenate([p["cid"].to_numpy(), q["cid"].to_numpy()])
         n = np.concatenate([cx, cy]) if lo != hi else cx
         on = np.flatnonzero(n)
         return pd.DataFrame({"kind": np.repeat([0, 1], [len(on), len(u)]),

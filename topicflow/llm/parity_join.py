@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -215,61 +215,63 @@ def emit_keys(parts: int, fine: bool):
 GROUPS = "scheme int, key long, members array<long>"
 
 
-def group_keys(batches):
+def group_keys(small: int):
     """Members of each key of a reduce partition: small groups once per set of
     members, larger ones in chunks, with the key. Scheme -1: the classes that
     share a key with ``key`` as its first class, once per partition."""
-    cids, keys = [], []
-    for b in batches:
-        for c, n, k in zip(b.column(1), b.column(2), b.column(3)):
-            cids.append(np.repeat(np.frombuffer(c.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.uint32)))
-            raw = np.zeros((len(cids[-1]), 8), np.uint8)
-            raw[:, :6] = np.frombuffer(k.as_buffer(), np.uint8).reshape(-1, 6)
-            keys.append(raw.view(np.uint64)[:, 0])
-    if not keys:
-        return
-    key, cid = np.concatenate(keys), np.concatenate(cids)
-    del keys, cids
-    order = np.argsort(key)
-    key, cid = key[order], cid[order]
-    same = key[1:] == key[:-1]
-    many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    key, cid = key[many], cid[many]
-    order = np.lexsort((cid, key))
-    key, cid = key[order], cid[order]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])])[:len(key)]     # one class, several tasks
-    key, cid = key[new], cid[new]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[:len(key)]
-    size = np.diff(np.append(start, len(key)))
-    rest = np.ones(len(key), bool)
-    rest[start] = False
-    star = np.unique(np.stack([np.repeat(cid[start], size)[rest], cid[rest]], axis=1), axis=0)
-    for i in range(0, len(star), 100_000):
-        lead, at = np.unique(star[i:i + 100_000, 0], return_index=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(lead), -1, np.int32)), pa.array(lead),
-             pa.ListArray.from_arrays(pa.array(np.append(at, len(star[i:i + 100_000])).astype(np.int32)),
-                                      pa.array(star[i:i + 100_000, 1]))], ["scheme", "key", "members"])
-    for g in np.unique(size[size > 1]):
-        at = start[size == g]
-        if g <= SMALL:
-            rows = np.unique(cid[at[:, None] + np.arange(g)], axis=0)
+    def run(batches):
+        cids, keys = [], []
+        for b in batches:
+            for c, n, k in zip(b.column(1), b.column(2), b.column(3)):
+                cids.append(np.repeat(np.frombuffer(c.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.uint32)))
+                raw = np.zeros((len(cids[-1]), 8), np.uint8)
+                raw[:, :6] = np.frombuffer(k.as_buffer(), np.uint8).reshape(-1, 6)
+                keys.append(raw.view(np.uint64)[:, 0])
+        if not keys:
+            return
+        key, cid = np.concatenate(keys), np.concatenate(cids)
+        del keys, cids
+        order = np.argsort(key)
+        key, cid = key[order], cid[order]
+        same = key[1:] == key[:-1]
+        many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        key, cid = key[many], cid[many]
+        order = np.lexsort((cid, key))
+        key, cid = key[order], cid[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])])[:len(key)]     # one class, several tasks
+        key, cid = key[new], cid[new]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[:len(key)]
+        size = np.diff(np.append(start, len(key)))
+        rest = np.ones(len(key), bool)
+        rest[start] = False
+        star = np.unique(np.stack([np.repeat(cid[start], size)[rest], cid[rest]], axis=1), axis=0)
+        for i in range(0, len(star), 100_000):
+            lead, at = np.unique(star[i:i + 100_000, 0], return_index=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(rows), np.int32)), pa.nulls(len(rows), pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * int(g)), pa.array(rows.reshape(-1)))],
-                ["scheme", "key", "members"])
-        else:
-            for a in at:
-                parts = [cid[i:min(i + 1000, a + g)].tolist() for i in range(a, a + g, 1000)]
+                [pa.array(np.full(len(lead), -1, np.int32)), pa.array(lead),
+                 pa.ListArray.from_arrays(pa.array(np.append(at, len(star[i:i + 100_000])).astype(np.int32)),
+                                          pa.array(star[i:i + 100_000, 1]))], ["scheme", "key", "members"])
+        for g in np.unique(size[size > 1]):
+            at = start[size == g]
+            if g <= small:
+                rows = np.unique(cid[at[:, None] + np.arange(g)], axis=0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(key[a]) >> SHIFT] * len(parts), pa.int32()), pa.array([int(key[a])] * len(parts), pa.int64()),
-                     pa.array(parts, pa.list_(pa.int64()))], ["scheme", "key", "members"])
+                    [pa.array(np.zeros(len(rows), np.int32)), pa.nulls(len(rows), pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * int(g)), pa.array(rows.reshape(-1)))],
+                    ["scheme", "key", "members"])
+            else:
+                for a in at:
+                    parts = [cid[i:min(i + 1000, a + g)].tolist() for i in range(a, a + g, 1000)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([int(key[a]) >> SHIFT] * len(parts), pa.int32()), pa.array([int(key[a])] * len(parts), pa.int64()),
+                         pa.array(parts, pa.list_(pa.int64()))], ["scheme", "key", "members"])
+    return run
 
 
-def candidate_groups(docs: DataFrame, fine: bool = False) -> DataFrame:
+def candidate_groups(docs: DataFrame, fine: bool = False, small: int = SMALL) -> DataFrame:
     parts = C.partitions(docs.sparkSession)
     return (docs.select("body").mapInArrow(emit_keys(parts, fine), EXCHANGE)
-            .repartitionById(parts, F.col("pid")).mapInArrow(group_keys, GROUPS))
+            .repartitionById(parts, F.col("pid")).mapInArrow(group_keys(small), GROUPS))
 
 
 def by_sketch(batches):
@@ -340,42 +342,57 @@ def pairs_of(groups: DataFrame, roots: DataFrame) -> DataFrame:
         "y -> struct(x.cid as a, y.cid as b))))")).alias("p")).select("p.*").distinct()
 
 
+def sketch_matrix(sketches) -> np.ndarray:
+    """Bit sketches as rows of words, folded to the shortest among them."""
+    rows = [np.frombuffer(x, np.uint64) for x in sketches]
+    width = min(map(len, rows))
+    return np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in rows])
+
+
 def block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pairs of one large key between two blocks, allowed by size and sketch."""
     lo, hi = int(pdf["lo"].iat[0]), int(pdf["hi"].iat[0])
-    p = pdf[pdf["block"] == lo]
-    q = pdf[pdf["block"] == hi]
-    a, b = [], []
-    for c, n, root, s in zip(p["cid"], p["n"], p["root"], p["sketch"]):
-        near = q[(q["root"] != root) & (4 * q["n"] >= 3 * n) & (4 * n >= 3 * q["n"]) & ((q["cid"] > c) | (lo != hi))]
-        for d, m, t in zip(near["cid"], near["n"], near["sketch"]):
-            if 7 * hamming(s, t) <= n + m:
-                a.append(min(c, d))
-                b.append(max(c, d))
-    return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+    cid, n, root = (pdf[c].to_numpy() for c in ("cid", "n", "root"))
+    bits_ = sketch_matrix(pdf["sketch"])
+    p, q = np.flatnonzero(pdf["block"] == lo), np.flatnonzero(pdf["block"] == hi)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in p:
+        j = q if lo != hi else q[q > i]
+        j = j[(root[j] != root[i]) & (4 * n[j] >= 3 * n[i]) & (4 * n[i] >= 3 * n[j])]
+        j = j[7 * np.bitwise_count(bits_[j] ^ bits_[i]).sum(axis=1, dtype=np.int64) <= n[j] + n[i]]
+        a.append(np.minimum(cid[i], cid[j]))
+        b.append(np.maximum(cid[i], cid[j]))
+    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
 def large_pairs(hot: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of large keys among classes that have too few other parts. A
-    component that fills a key is represented in it by all its members, but
-    only against members of other components."""
+    """Pairs of large keys among classes that have too few other parts.
+
+    Such a class has ``parts`` filled parts, ``hot`` of them in large keys, and
+    may differ in ``most``. A pair without a shared small key shares at least
+    parts - most large ones, so the first hot - (parts - most) + 1 of each (in
+    the order of the keys) hold a common one: only those are compared. Members
+    of one component are not compared with each other."""
     member = hot.select("scheme", "key", F.explode("members").alias("cid"))
     count = member.groupBy("scheme", "cid").agg(F.count("*").alias("hot"))
     short = (classes.select("cid", "n", "sketch", F.explode("slack").alias("s")).select("cid", "n", "sketch", "s.*")
-             .join(count, ["scheme", "cid"]).where("parts - hot <= most").select("scheme", "cid", "n", "sketch"))
-    rows = (member.join(short, ["scheme", "cid"]).join(roots, "cid", "left")
-            .select("key", "cid", "n", "sketch", F.coalesce("root", "cid").alias("root")))
-    rows = C.materialize(rows, "large")
-    open_ = (rows.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+             .join(count, ["scheme", "cid"]).where("parts - hot <= most")
+             .select("scheme", "cid", "n", "sketch", F.expr("hot - greatest(parts - most, 1) + 1").alias("first")))
+    keys = member.join(short.select("scheme", "cid", "first"), ["scheme", "cid"])
+    own = Window.partitionBy("scheme", "cid").orderBy(F.xxhash64("key"), "key")
+    keys = C.materialize(keys.withColumn("at", F.row_number().over(own)).where(F.col("at") <= F.col("first"))
+                         .join(roots, "cid", "left").select("scheme", "key", "cid", F.coalesce("root", "cid").alias("root")), "large")
+    open_ = (keys.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
              .where("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    dealt = (rows.join(open_, "key").withColumn("block", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
+    dealt = (keys.join(open_, "key").join(short.select("scheme", "cid", "n", "sketch"), ["scheme", "cid"])
+             .withColumn("block", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
              .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
              .select("key", "cid", "n", "sketch", "root", "block", F.least("block", "other").alias("lo"),
                      F.greatest("block", "other").alias("hi")))
     return dealt.groupBy("key", "lo", "hi").applyInPandas(block_pairs, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", small: int = SMALL) -> DataFrame:
     """no_id, doc_id, n_shingles, component_id (null for null ids) per row."""
     d = docs.select(F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"),
                     F.col(text_col).alias("body"))
@@ -386,10 +403,10 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
                                                    F.first("slack").alias("slack"), least.alias("r"))
                             .select("cid", "n", "sketch", "slack", F.col("r.no_id").alias("rep_null"), F.col("r.doc_id").alias("rep")),
                             "classes")
-    groups = C.materialize(candidate_groups(d), "groups")
+    groups = C.materialize(candidate_groups(d, small=small), "groups")
     few = classes.where(F.exists("slack", lambda s: s["parts"] <= s["most"])).select("cid")
     if not few.isEmpty():                                    # sets with too few filled parts: keys of single shingles
-        fine = C.materialize(candidate_groups(d, fine=True), "fine-groups")
+        fine = C.materialize(candidate_groups(d, fine=True, small=small), "fine-groups")
         extra = (fine.withColumn("g", F.monotonically_increasing_id())
                  .where("scheme >= 0").select("g", "members", F.explode("members").alias("cid")).join(few, "cid").select("cid", "members")
                  .select("cid", F.explode("members").alias("b")).where("cid <> b"))
