@@ -244,7 +244,7 @@ def cut_texts(seed: int, text_col: str):
                 for a, b in r:
                     part = text[at[a][0]:at[b - 1][1]]
                     out.append({**row, text_col: part, **({"n_chars": len(part)} if "n_chars" in row else {})})
-        return pd.DataFrame({"row": out})
+        return pd.DataFrame({"row": pd.Series(out, dtype=object)})
     return run
 
 
