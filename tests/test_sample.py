@@ -18,7 +18,7 @@ def test_split_sizes_formula():
 def test_stratified_split_complete_and_exact(spark):
     rows = [(i, f"g{i % 7}") for i in range(700)] + [(1000 + i, "small") for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, domain string")
-    out = sample.stratified_split(df, by="domain")
+    out = sample.stratified_split(df, by="domain", with_rank=True)
     assert out.count() == len(rows)
     assert out.select("doc_id").distinct().count() == len(rows)
     c = {(r.domain, r.split): r.n for r in out.groupBy("domain", "split").agg(F.count("*").alias("n")).collect()}
@@ -58,3 +58,29 @@ def test_fraction_sample_half_even(spark):
     base = spark.range(0, 10).select(F.col("id").alias("doc_id"))
     assert sample.fraction_sample(base, 0.25).count() == 2      # round(2.5) = 2
     assert sample.fraction_sample(base, 0.75).count() == 8      # round(7.5) = 8
+
+
+def test_cut_keys_choose_the_ranked_rows(spark):
+    """Samples and splits by cut keys hold exactly the rows that ranks give,
+    also for strata of one or two rows."""
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("case when id < 3 then concat('t', id % 2) else concat('d', id % 3) end").alias("domain"))
+
+    def rows(x, *cols):
+        return sorted(tuple(r) for r in x.select(*cols).collect())
+    assert rows(sample.stratified_split(df), "doc_id", "split") == rows(sample.stratified_split(df, with_rank=True), "doc_id", "split")
+    assert rows(sample.balanced_rows(df), "doc_id") == rows(sample.balanced_sample(df), "doc_id")
+    assert rows(sample.size_shares(df), "doc_id", "pct") == rows(sample.nested_size_samples(df), "doc_id", "pct")
+    assert sample.stratified_split(df.limit(0)).count() == 0 and sample.balanced_rows(df.limit(0)).count() == 0
+
+
+def test_splits_shuffle_no_text(spark):
+    """No exchange of the preparation chain or a labelled split carries a text."""
+    import re
+    from topicflow.plans import catalog, prepare
+    from topicflow.sources import derive
+    sf = "/root/testdata/sf0.001"
+    for q in (prepare.prepare(derive.corpus(spark, sf), derive.derived_taxonomy(spark, sf)), catalog._labelled_split(spark, sf)):
+        q.collect()
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+        assert not any("text" in m for m in moved) and "SortMergeJoin" not in plan

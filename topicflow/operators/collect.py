@@ -91,14 +91,22 @@ def _hot(score: Column, created: Column) -> Column:
     return F.signum(s) * order + (created - HOT_EPOCH) / HOT_SCALE
 
 
+def matches(query: str) -> Column:
+    """Case-insensitive match of a query in title and body."""
+    hay = F.lower(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("selftext", F.lit(""))))
+    return F.instr(hay, query.lower()) > 0
+
+
 def list_posts(posts: DataFrame, mode: str = "top", limit: int = 1000, time_filter: str = "year",
-               query: str | None = None, as_of: float | None = None,
+               query: str | None = None, as_of: float | None = None, match: Column | None = None,
                sub_col: str = "subreddit", tie_break: Sequence[str] = ("copy",)) -> DataFrame:
     """Per-subreddit listing with ``listing_rank`` 1..limit.
 
     new = newest first; hot = public hot score; top = time filter, then
     score; search = case-insensitive text match + time filter, newest first.
-    Time filters are relative to ``as_of`` (epoch seconds)."""
+    Time filters are relative to ``as_of`` (epoch seconds). ``match`` replaces
+    the text match by a column computed before, so the listing can rank narrow
+    rows without their texts."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {sorted(MODES)}, not {mode!r}")
     if mode == "search" and not query:
@@ -112,8 +120,7 @@ def list_posts(posts: DataFrame, mode: str = "top", limit: int = 1000, time_filt
             raise ValueError("time filters need as_of")
         df = df.where(F.col("created_utc") > F.lit(float(as_of - span)))
     if mode == "search":
-        hay = F.lower(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("selftext", F.lit(""))))
-        df = df.where(F.instr(hay, query.lower()) > 0)
+        df = df.where(matches(query) if match is None else match)
     # ties: post id, then any extra tie-break columns the table carries
     ties = [F.asc(c) for c in ("id", *tie_break) if c in df.columns]
     order = {
@@ -174,19 +181,22 @@ def collect_by_topic(posts: DataFrame, topic_map: DataFrame, target_count: int =
     return serialize_posts(labeled, include_title, full, keep=["topic", "topic_rank", "label"])
 
 
-def collect_by_subreddit(posts: DataFrame, subreddits: Sequence[str], target_count: int = 15000,
+def collect_by_subreddit(posts: DataFrame, subreddits: Sequence[str] | DataFrame, target_count: int = 15000,
                          per_subreddit_limit: int = 2000, mode: str = "top", time_filter: str = "year",
                          query: str | None = None, as_of: float | None = None, label_mode: str = "hybrid",
                          include_title: bool = True, full: bool = True) -> DataFrame:
     """W06, subreddit mode: subreddits in the given order, per-subreddit
     target ``max(1, target // subs)``, total capped at ``target``; labels
-    without a topic map (flair else subreddit)."""
-    spark = posts.sparkSession
-    subs = [x.strip() for x in subreddits if x.strip()]
-    per_sub = max(1, target_count // max(1, len(subs)))
-    order = spark.createDataFrame([(s_.lower(), i + 1) for i, s_ in enumerate(subs)], "_sub_key string, sub_pos int")
-    # the subreddit list is the caller's parameter (one row per name)
-    p = posts.withColumn("_sub_key", F.lower("subreddit")).join(F.broadcast(order), "_sub_key").drop("_sub_key")
+    without a topic map (flair else subreddit). The subreddits are a list, or a
+    DataFrame (subreddit, sub_pos) that never visits the driver."""
+    if isinstance(subreddits, DataFrame):
+        order = subreddits.select(F.lower("subreddit").alias("_sub_key"), F.col("sub_pos").cast("int").alias("sub_pos"))
+    else:
+        names = [x.strip() for x in subreddits if x.strip()]
+        order = posts.sparkSession.createDataFrame([(x.lower(), i + 1) for i, x in enumerate(names)],
+                                                   "_sub_key string, sub_pos int")
+    per_sub = max(1, target_count // max(1, order.count()))
+    p = posts.withColumn("_sub_key", F.lower("subreddit")).join(order, "_sub_key").drop("_sub_key")
     listed = list_posts(p, mode, per_subreddit_limit, time_filter, query, as_of)
     listed = listed.where(T.has_text("title", "selftext"))
     first = dedup_first_seen(listed, ["sub_pos", "listing_rank"])

@@ -180,7 +180,7 @@ SELECT doc_id, domain, rank,
             WHEN rank <= n - hold + (hold - (hold + 1) // 2) THEN 'val' ELSE 'test' END AS split
 FROM s""")
 def q_stratified_split(spark, sf):
-    return sample.stratified_split(derive.corpus(spark, sf).select("doc_id", "domain"))
+    return sample.stratified_split(derive.corpus(spark, sf).select("doc_id", "domain"), with_rank=True)
 
 
 @register("size_samples", f"""
@@ -271,8 +271,8 @@ FROM s"""
 
 @register("version_splits", _split_sql())
 def q_version_splits(spark, sf):
-    v = prepare.cleaned_versions(derive.corpus(spark, sf))
-    return prepare.split_versions(v).select("doc_id", "domain", "version", "rank", "split")
+    v = prepare.narrow_versions(prepare.cleaned_versions(derive.corpus(spark, sf)))
+    return prepare.split_versions(v, with_rank=True).select("doc_id", "domain", "version", "rank", "split")
 
 
 @register("split_audit", "WITH sp AS (" + _split_sql() + """)
@@ -288,7 +288,7 @@ SELECT version,
        round(sum(CASE WHEN split = 'test' THEN 1 ELSE 0 END) / count(*), 6) AS test_pct
 FROM sp GROUP BY version""")
 def q_split_audit(spark, sf):
-    v = prepare.cleaned_versions(derive.corpus(spark, sf))
+    v = prepare.narrow_versions(prepare.cleaned_versions(derive.corpus(spark, sf)))
     return prepare.split_audit(prepare.split_versions(v))
 
 
@@ -309,9 +309,8 @@ FROM sp""")
 def q_prepared_corpus(spark, sf):
     """SURVEY §3.1 end to end: W01 balance -> P03 topics -> X18/X12/X19 ->
     P05 -> W03 split per version (the cleaned text is reported by length)."""
-    out = prepare.prepare(derive.corpus(spark, sf), derive.derived_taxonomy(spark, sf))
-    return out.select("doc_id", "domain", "raw_target", "topic", "version",
-                      F.length("clean_text").alias("clean_chars"), "rank", "split")
+    out = prepare.prepare(derive.corpus(spark, sf), derive.derived_taxonomy(spark, sf), texts=False)
+    return out.select("doc_id", "domain", "raw_target", "topic", "version", "clean_chars", "rank", "split")
 
 
 def _run_log_sql() -> str:
@@ -338,7 +337,7 @@ def q_run_log(spark, sf):
     owning the artifact is found and its metrics are returned."""
     root = scratch_path(spark, "runs")
     versions = prepare.cleaned_versions(derive.corpus(spark, sf))
-    prepare.log_preparation(spark, root, versions, prepare.split_versions(versions))
+    prepare.log_preparation(spark, root, versions, prepare.split_versions(prepare.narrow_versions(versions)))
     registry.log_run(spark, root, "evaluation", {"model": "none"}, {"accuracy": 0.0}, [])
     latest = registry.latest_run_with_artifact(registry.runs(spark, root), "cleaned_data").select("run_id")
     m = spark.read.parquet(f"{root}/run_metrics")
@@ -716,12 +715,13 @@ SELECT mode, id, copy, subreddit, CAST(listing_rank AS INTEGER) AS listing_rank
 def q_posts_listing(spark, sf):
     """New and hot (limit 25), top of the last week, search 'the' in the
     last month; time filters relative to the newest post."""
-    posts = derive.posts(spark, sf).persist()       # read by four listings and the as_of scalar
+    posts = derive.posts(spark, sf).select("id", "copy", "subreddit", "score", "created_utc",
+                                           collect.matches("the").alias("found"))   # narrow: no text is ranked
     as_of = posts.agg(F.max("created_utc")).first()[0]
     out = None
     for mode, tf, qy in (("new", "all", None), ("hot", "all", None), ("top", "week", None),
                          ("search", "month", "the")):
-        lst = collect.list_posts(posts, mode, 25, tf, qy, as_of).select(
+        lst = collect.list_posts(posts, mode, 25, tf, qy, as_of, match=F.col("found")).select(
             F.lit(mode).alias("mode"), "id", "copy", "subreddit", "listing_rank")
         out = lst if out is None else out.unionByName(lst)
     return out
@@ -787,10 +787,11 @@ SELECT CAST(sub_pos AS INTEGER) AS sub_pos, CAST(sub_rank AS INTEGER) AS sub_ran
 def q_posts_collect_subreddit(spark, sf):
     """W06 subreddit mode over every subreddit of the table (ordered by number)."""
     posts = derive.posts(spark, sf)
-    subs = (read_table(spark, sf, "documents").select("source").distinct()
-            .orderBy(F.regexp_extract("source", r"^src(\d+)$", 1).cast("int"), "source"))
-    names = [r.source for r in subs.collect()]          # the subreddit list (bounded, a parameter)
-    return collect.collect_by_subreddit(posts, names, mode="new", **QUOTA)
+    number = F.regexp_extract("source", r"^src(\d+)$", 1).cast("int")
+    subs = read_table(spark, sf, "documents").select("source").distinct()
+    subs = subs.select(F.col("source").alias("subreddit"),
+                       F.row_number().over(Window.orderBy(number, "source")).alias("sub_pos"))   # one row per subreddit
+    return collect.collect_by_subreddit(posts, subs, mode="new", **QUOTA)
 
 
 # ---------------------------------------------------------------------------
@@ -849,13 +850,14 @@ def q_improvement_rates(spark, sf):
 # Models (no SQL oracle: fitted by iterative optimisers)
 # ---------------------------------------------------------------------------
 def _labelled_split(spark, sf, version: str = "tfidf") -> DataFrame:
-    """Cleaned text of one version, label = language, W03 split by domain;
-    checkpointed once because every fit reads it several times."""
+    """Cleaned text of one version, label = language, W03 split by domain. The
+    text is cleaned and written once, as every fit reads it several times; the
+    split is told by cut keys as the rows are read."""
     c = derive.corpus(spark, sf)
     v = c.select("doc_id", "domain", F.col("domain").alias("label"),
                  prepare.version_text(version, "text").alias("text"))
     v = materialize(v.where(clean.is_nonempty("text")), "clean")
-    return materialize(sample.stratified_split(v, by="domain"), "split")
+    return sample.stratified_split(v, by="domain")
 
 
 def _eval_summary(scored: DataFrame, model: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Corpus preparation: combine -> balance -> map -> clean x3 ->
 filter -> split, as one lazy DataFrame chain.
 
-Shuffles: the W00 bucket counts (narrow, partially aggregated) and the
-per-bucket rank. Text is cleaned after sampling so only kept rows pay for
-the regexes.
+Shuffles: the W00 bucket counts (narrow, partially aggregated) and the keys of
+the buckets that hold a cut. Texts are never shuffled, and cleaned after
+sampling so only kept rows pay for the regexes.
 """
 from __future__ import annotations
 
@@ -63,22 +63,20 @@ def cleaning_audit(versions_df: DataFrame) -> DataFrame:
 
 
 def split_versions(versions_df: DataFrame, by: str = "domain", id_col: str = "doc_id",
-                   seed: int = 42) -> DataFrame:
+                   seed: int = 42, with_rank: bool = False) -> DataFrame:
     """P05 + W03 per version: every version is filtered and split on its own,
     as the reference does; the key-based rank keeps a document on nearly the
-    same side in all versions. The cleaned rows are read twice (bucket
-    counts, then ranks), so they are checkpointed once first."""
-    kept = materialize(versions_df.where(clean.is_nonempty("clean_text")), "versions")
-    offs = sample.bucket_offsets(kept, ["version", by], id_col, seed)
-    sizes = sample.group_sizes(offs, ["version", by])
-    n_train, n_val, _ = sample.split_sizes(F.col("n"))
-    sizes = sizes.select("version", by, n_train.alias("_n_train"), n_val.alias("_n_val"))
-    ranked = sample.exact_rank(kept, ["version", by], id_col, seed, offsets=offs)
-    j = ranked.join(F.broadcast(sizes), ["version", by])   # one row per stratum (<= offsets, size-checked)
-    split = (F.when(F.col("rank") <= F.col("_n_train"), "train")
-             .when(F.col("rank") <= F.col("_n_train") + F.col("_n_val"), "val")
-             .otherwise("test"))
-    return j.withColumn("split", split).drop("_n_train", "_n_val")
+    same side in all versions. The cleaned rows are read twice (bucket counts,
+    then labels), so they are written once first; the texts are not shuffled.
+    ``with_rank`` is for narrow rows (see :func:`narrow_versions`)."""
+    kept = versions_df.where(clean.is_nonempty("clean_text")) if "clean_text" in versions_df.columns else versions_df
+    return sample.stratified_split(materialize(kept, "versions"), ["version", by], id_col, seed, with_rank)
+
+
+def narrow_versions(versions_df: DataFrame) -> DataFrame:
+    """P05, then the length in place of the text: enough for ranks and audits."""
+    return (versions_df.where(clean.is_nonempty("clean_text"))
+            .withColumn("clean_chars", F.length("clean_text")).drop("clean_text"))
 
 
 def split_audit(splits: DataFrame) -> DataFrame:
@@ -102,7 +100,7 @@ def balanced_topic_counts(corpus: DataFrame, tax: DataFrame) -> DataFrame:
 
     corpus -> W01 balanced sample by domain -> P03 topic map -> X12 light
     clean -> P05 -> counts per (domain, topic) with retention."""
-    bal = sample.balanced_sample(corpus, by="domain")
+    bal = sample.balanced_rows(corpus, by="domain")
     mapped = taxonomy.map_topics(bal, tax)
     kept = clean.is_nonempty(clean.clean_light("text"))
     return (mapped.groupBy("domain", "topic")
@@ -111,12 +109,14 @@ def balanced_topic_counts(corpus: DataFrame, tax: DataFrame) -> DataFrame:
             .withColumn("retention", F.round(F.col("n_kept") / F.col("n_sampled"), 6)))
 
 
-def prepare(corpus: DataFrame, tax: DataFrame, versions=VERSIONS) -> DataFrame:
+def prepare(corpus: DataFrame, tax: DataFrame, versions=VERSIONS, texts: bool = True) -> DataFrame:
     """The whole §3.1 chain: balanced, mapped, cleaned x3, filtered, split.
-    Columns: doc_id, domain, raw_target, topic, version, clean_text, rank, split."""
-    bal = sample.balanced_sample(corpus, by="domain").drop("rank")
-    mapped = taxonomy.map_topics(bal, tax)
-    return split_versions(cleaned_versions(mapped, versions))
+    Columns: doc_id, domain, raw_target, topic, version, clean_text, split; no
+    text is shuffled. Without ``texts``: clean_chars in place of the text, and
+    the rank that the split was cut from."""
+    mapped = taxonomy.map_topics(sample.balanced_rows(corpus, by="domain"), tax)
+    v = cleaned_versions(mapped, versions)
+    return split_versions(v) if texts else split_versions(narrow_versions(v), with_rank=True)
 
 
 def write_splits(prepared: DataFrame, path: str, mode: str = "overwrite") -> None:
