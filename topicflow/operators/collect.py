@@ -14,12 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .common import broadcast_if_small
+from .common import broadcast_if_small, materialize
 
 # Listing time filters in seconds; "all" means no filter.
 TIME_FILTERS = {"all": None, "year": 365 * 86400, "month": 30 * 86400, "week": 7 * 86400,
@@ -149,7 +148,7 @@ def _cap_by_prefix(df: DataFrame, group: str, group_pos: str, rank: str, quota:
     count table instead of a global window."""
     # at most quota rows per group (bounded by the quota parameters); read twice
     # below, so kept once instead of re-running listing, dedup and ranking
-    kept = df.where(F.col(rank) <= quota).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = materialize(df.where(F.col(rank) <= quota), "quota")
     counts = kept.groupBy(group, group_pos).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy(group_pos, group).rowsBetween(Window.unboundedPreceding, -1)
     budget = counts.select(group, F.greatest(F.lit(0), F.lit(total) - F.coalesce(F.sum("_n").over(w), F.lit(0)))

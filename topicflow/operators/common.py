@@ -1,24 +1,30 @@
 """Shared planning helpers."""
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when its row count was checked against this bound.
+# A side is broadcast only when its rows and bytes were checked against these bounds.
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Persist a small side, count it, and add a broadcast hint only when the
-    count proves it small. Beyond the bound the plan keeps a shuffle join.
-
-    The side is persisted (memory and disk), not checkpointed locally: a lost
-    executor recomputes it from lineage.
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                       max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Write a small side once, check its rows and bytes, and add a broadcast
+    hint only when they prove it small. Beyond a bound the plan keeps a shuffle
+    join. The side is a written table: nothing stays cached on the executors,
+    and a lost one costs nothing.
     """
-    side = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = side.count()
-    return F.broadcast(side) if n <= max_rows else side
+    side = materialize(df, "side")
+    if side.count() > max_rows or written_bytes(side) > max_bytes:
+        return side
+    return F.broadcast(side)
+
+
+def written_bytes(table: DataFrame) -> int:
+    """Size of a written table's files, as Spark's scan knows it."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -87,7 +87,7 @@ def classification_report(preds: DataFrame, by: Sequence[str] = (), labels: str
     present labels are those with support, and predictions outside the label
     set are the predictions of labels without support."""
     preds, by = _keyed(preds, by)
-    union = label_stats(confusion_counts(preds, by, y, p), by, "union").persist()
+    union = label_stats(confusion_counts(preds, by, y, p), by, "union")
     st = union if labels == "union" else union.where(F.col("support") > 0)
     rows = st.select(*by, "label", "precision", "recall", "f1", "support")
     sw = F.sum("support")

@@ -5,7 +5,9 @@ from it. Local defaults (tests, bench) are applied only where unset.
 """
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -45,10 +47,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not d:
         master = spark.sparkContext.master if hasattr(spark, "sparkContext") else ""
-        if not str(master).startswith("local"):
+        if str(master).split("[")[0] != "local":
             raise RuntimeError("Set spark.checkpoint.dir to a shared folder: lineage cuts and stream "
                                "checkpoints must survive executor loss.")
         d = tempfile.mkdtemp(prefix="topicflow-ckpt-")     # local mode only (tests, bench)
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", d)
     try:
         spark.sparkContext.setCheckpointDir(d)
