@@ -19,7 +19,11 @@ def test_no_python_evaluation(spark, name):
 
 
 def test_quota_cascade_uses_group_limits(spark):
-    p = _plan(catalog.QUERIES["posts_collect_topic"](spark, SF))
+    """The listing's per-subreddit limit acts before the shuffle (what the
+    cascade keeps is written, so the listing's plan is looked at)."""
+    from topicflow.operators import collect
+    from topicflow.sources import derive
+    p = _plan(collect.list_posts(derive.posts(spark, SF), "top", 25, "all"))
     assert "WindowGroupLimit" in p
 
 

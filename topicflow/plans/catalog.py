@@ -1069,7 +1069,7 @@ def q_stream_scoring(spark, sf):
     return scored.unionByName(rejected).withColumns({"n_rows": F.lit(total.n).cast("long"), "n_rejected": F.lit(total.bad).cast("long")})
 
 
-@register("lemma_join", """
+@register("lemma_join", r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS t FROM documents)
 SELECT doc_id, array_to_string(list_transform(t, lambda x: CASE WHEN length(x) > 3 AND suffix(x, 's') THEN left(x, length(x) - 1) ELSE x END), ' ')
        AS lemma_text FROM w""")
