@@ -247,7 +247,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     more = found.where("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("more"))
     comp = C.connected_components(found.where("kind = 1").select("a", "b"))
     linked = classes.select("cid", "rep").join(comp.withColumnRenamed("id", "cid"), "cid")
-    least = linked.groupBy("component_id").agg(F.min("rep").alias("low"))
+    # written, so that both sides of the next join are exchanges that may be split at a large component
+    least = C.materialize(linked.groupBy("component_id").agg(F.min("rep").alias("low")), "least")
     low = linked.join(least, "component_id").select("cid", "low")
     known = C.materialize(classes.join(more, "cid", "left").join(low, "cid", "left")
                           .select("v", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"),

@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -44,6 +44,7 @@ WORDS = 5
 SMALL = 32                 # members of a key that are compared pair by pair
 FINE = 64                  # sets below this size have one part per shingle
 BLOCK = 2048               # members of a large key compared as one block
+HEAD = 256                 # first large keys by which a pair's first common one is told
 FLUSH = 2_000_000          # keys a task holds before it passes them on
 SHIFT = 42                 # a key's low bits; the scheme's number stands above them
 M = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
@@ -216,9 +217,10 @@ GROUPS = "scheme int, key long, members array<long>"
 
 
 def group_keys(small: int):
-    """Members of each key of a reduce partition: small groups once per set of
-    members, larger ones in chunks, with the key. Scheme -1: the classes that
-    share a key with ``key`` as its first class, once per partition."""
+    """What the keys of a reduce partition tell. Without ``key``: the members of
+    a small group, once per set of members. Scheme -1: the classes that share a
+    key with class ``key`` as its first, once per partition. Other schemes: the
+    large keys of class ``key``."""
     def run(batches):
         cids, keys = [], []
         for b in batches:
@@ -251,20 +253,24 @@ def group_keys(small: int):
                 [pa.array(np.full(len(lead), -1, np.int32)), pa.array(lead),
                  pa.ListArray.from_arrays(pa.array(np.append(at, len(star[i:i + 100_000])).astype(np.int32)),
                                           pa.array(star[i:i + 100_000, 1]))], ["scheme", "key", "members"])
-        for g in np.unique(size[size > 1]):
+        for g in np.unique(size[(size > 1) & (size <= small)]):
             at = start[size == g]
-            if g <= small:
-                rows = np.unique(cid[at[:, None] + np.arange(g)], axis=0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(rows), np.int32)), pa.nulls(len(rows), pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * int(g)), pa.array(rows.reshape(-1)))],
-                    ["scheme", "key", "members"])
-            else:
-                for a in at:
-                    parts = [cid[i:min(i + 1000, a + g)].tolist() for i in range(a, a + g, 1000)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(key[a]) >> SHIFT] * len(parts), pa.int32()), pa.array([int(key[a])] * len(parts), pa.int64()),
-                         pa.array(parts, pa.list_(pa.int64()))], ["scheme", "key", "members"])
+            rows = np.unique(cid[at[:, None] + np.arange(g)], axis=0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(len(rows), np.int32)), pa.nulls(len(rows), pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * int(g)), pa.array(rows.reshape(-1)))],
+                ["scheme", "key", "members"])
+        large = np.repeat(size, size) > small
+        if large.any():
+            k, c = key[large], cid[large]
+            scheme = (k >> np.uint64(SHIFT)).astype(np.int32)
+            order = np.lexsort((k, c, scheme))
+            k, c, scheme = k[order], c[order], scheme[order]
+            at = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (scheme[1:] != scheme[:-1])]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(scheme[at]), pa.array(c[at]),
+                 pa.ListArray.from_arrays(pa.array(np.append(at, len(k)).astype(np.int32)), pa.array(k.astype(np.int64)))],
+                ["scheme", "key", "members"])
     return run
 
 
@@ -349,15 +355,34 @@ def sketch_matrix(sketches) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in rows])
 
 
+def met_before(p_heads, q_heads, limit: int) -> np.ndarray:
+    """Marks the pairs (row of p, row of q) that share a key below ``limit``,
+    so that a pair is given by its first common key only."""
+    done = np.zeros((len(p_heads), len(q_heads)), bool)
+    sides = []
+    for heads in (p_heads, q_heads):
+        heads = [np.asarray(h, np.int64) for h in heads]
+        value, row = np.concatenate(heads), np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+        low = value < limit
+        order = np.argsort(value[low], kind="stable")
+        sides.append((value[low][order], row[low][order]))
+    for v in np.intersect1d(sides[0][0], sides[1][0]):
+        rows = [row[np.searchsorted(value, v):np.searchsorted(value, v, side="right")] for value, row in sides]
+        done[np.ix_(*rows)] = True
+    return done
+
+
 def block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pairs of one large key between two blocks, allowed by size and sketch."""
     lo, hi = int(pdf["lo"].iat[0]), int(pdf["hi"].iat[0])
-    cid, n, root = (pdf[c].to_numpy() for c in ("cid", "n", "root"))
+    cid, n, root, head = (pdf[c].to_numpy() for c in ("cid", "n", "root", "head"))
     bits_ = sketch_matrix(pdf["sketch"])
     p, q = np.flatnonzero(pdf["block"] == lo), np.flatnonzero(pdf["block"] == hi)
+    done = met_before(head[p], head[q], int(pdf["rank"].iat[0]))
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in p:
-        j = q if lo != hi else q[q > i]
+    for at, i in enumerate(p):
+        j = q[~done[at]]
+        j = j if lo != hi else j[j > i]
         j = j[(root[j] != root[i]) & (4 * n[j] >= 3 * n[i]) & (4 * n[i] >= 3 * n[j])]
         j = j[7 * np.bitwise_count(bits_[j] ^ bits_[i]).sum(axis=1, dtype=np.int64) <= n[j] + n[i]]
         a.append(np.minimum(cid[i], cid[j]))
@@ -371,23 +396,26 @@ def large_pairs(hot: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFra
     Such a class has ``parts`` filled parts, ``hot`` of them in large keys, and
     may differ in ``most``. A pair without a shared small key shares at least
     parts - most large ones, so the first hot - (parts - most) + 1 of each (in
-    the order of the keys) hold a common one: only those are compared. Members
-    of one component are not compared with each other."""
-    member = hot.select("scheme", "key", F.explode("members").alias("cid"))
-    count = member.groupBy("scheme", "cid").agg(F.count("*").alias("hot"))
+    the order of the keys' hashes) hold a common one: only those are compared.
+    Members of one component are not compared with each other, and a pair is
+    compared by its first common key (as far as that is among the first HEAD of
+    both; beyond, it may be given more than once)."""
+    own = hot.groupBy("scheme", F.col("key").alias("cid")).agg(F.flatten(F.collect_list("members")).alias("keys"))
     short = (classes.select("cid", "n", "sketch", F.explode("slack").alias("s")).select("cid", "n", "sketch", "s.*")
-             .join(count, ["scheme", "cid"]).where("parts - hot <= most")
-             .select("scheme", "cid", "n", "sketch", F.expr("hot - greatest(parts - most, 1) + 1").alias("first")))
-    keys = member.join(short.select("scheme", "cid", "first"), ["scheme", "cid"])
-    own = Window.partitionBy("scheme", "cid").orderBy(F.xxhash64("key"), "key")
-    keys = C.materialize(keys.withColumn("at", F.row_number().over(own)).where(F.col("at") <= F.col("first"))
-                         .join(roots, "cid", "left").select("scheme", "key", "cid", F.coalesce("root", "cid").alias("root")), "large")
+             .join(own, ["scheme", "cid"]).where("parts - size(keys) <= most")
+             .withColumn("ranked", F.expr("slice(array_sort(transform(keys, k -> struct(xxhash64(k) as rank, k as key))), 1, "
+                                          "cast(size(keys) - greatest(parts - most, 1) + 1 as int))"))
+             .join(roots, "cid", "left"))
+    short = C.materialize(short.select("cid", "n", "sketch", F.coalesce("root", "cid").alias("root"), "ranked",
+                                       F.expr(f"transform(slice(ranked, 1, {HEAD}), x -> x.rank)").alias("head")), "large")
+    keys = short.select("cid", "n", "sketch", "root", "head", F.explode("ranked").alias("r")).select(
+        "cid", "n", "sketch", "root", "head", "r.rank", "r.key")
     open_ = (keys.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
              .where("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    dealt = (keys.join(open_, "key").join(short.select("scheme", "cid", "n", "sketch"), ["scheme", "cid"])
+    dealt = (keys.join(open_, "key")
              .withColumn("block", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
              .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-             .select("key", "cid", "n", "sketch", "root", "block", F.least("block", "other").alias("lo"),
+             .select("key", "rank", "cid", "n", "sketch", "head", "root", "block", F.least("block", "other").alias("lo"),
                      F.greatest("block", "other").alias("hi")))
     return dealt.groupBy("key", "lo", "hi").applyInPandas(block_pairs, "a long, b long").distinct()
 
@@ -407,9 +435,11 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", small:
     few = classes.where(F.exists("slack", lambda s: s["parts"] <= s["most"])).select("cid")
     if not few.isEmpty():                                    # sets with too few filled parts: keys of single shingles
         fine = C.materialize(candidate_groups(d, fine=True, small=small), "fine-groups")
-        extra = (fine.withColumn("g", F.monotonically_increasing_id())
-                 .where("scheme >= 0").select("g", "members", F.explode("members").alias("cid")).join(few, "cid").select("cid", "members")
-                 .select("cid", F.explode("members").alias("b")).where("cid <> b"))
+        both = (fine.where("key is null").select("members", F.explode("members").alias("cid")).join(few, "cid")
+                .select("cid", F.explode("members").alias("b")))
+        keyed = fine.where("scheme >= 0 and key is not null").select(F.col("key").alias("b"), F.explode("members").alias("k"))
+        extra = both.union(keyed.join(few.withColumnRenamed("cid", "b"), "b").select(F.col("b").alias("cid"), "k")
+                           .join(keyed, "k").select("cid", "b")).where("cid <> b")
         few_pairs = extra.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
     else:
         few_pairs = None
@@ -424,7 +454,8 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", small:
         edges = edges.union(linked(rest, classes, d))
         roots = with_components(classes, edges)
     named = classes.join(roots, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"), "rep_null", "rep")
-    low = named.groupBy("root").agg(F.min(F.when(~F.col("rep_null"), F.col("rep"))).alias("low"))
+    # written, so that both sides of the next join are exchanges that may be split at a large component
+    low = C.materialize(named.groupBy("root").agg(F.min(F.when(~F.col("rep_null"), F.col("rep"))).alias("low")), "low")
     answer = C.materialize(named.join(low, "root").select("cid", "low"), "answer")
     mine = some.join(answer, "cid").select("no_id", "doc_id", "n", "low")
     alone = sets.where("n = 0").select("no_id", "doc_id", "n", F.when(~F.col("no_id"), F.col("doc_id")).alias("low"))
