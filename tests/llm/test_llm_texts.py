@@ -186,6 +186,25 @@ def test_repeated_substrings(spark, many):
     assert prefix_free.remove_repeats(table(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("many", [256, 2])
+def test_rows_that_repeat_id_and_text_are_one_document(spark, many):
+    """Repeated rows lose what an earlier document holds, not what only their
+    own copies hold; in one task and in several."""
+    rnd = random.Random(7)
+    base, line = words(rnd, 150), words(rnd, 30)
+    docs = [(1, words(rnd, 120)), (2, line + " " + words(rnd, 60)), (3, base)]
+    docs += [(10 + i, edited(rnd, base, 0.03) + "\n" + line + "\n" + words(rnd, 9)) for i in range(8)]
+    docs += [(30, "ab" * 300), (None, words(rnd, 90) + " " + line)]
+    rows = [r for r in docs for _ in range(3)]
+    want = dict(zip([str(d) for d in sorted(docs, key=lambda d: str(d[0]))], sorted(repeats(docs), key=lambda r: str(r[0]))))
+    assert want[str(docs[0])][2] == 0 and 0 < want[str(docs[-1])][2] < 300
+    for d in (table(spark, rows).coalesce(1), table(spark, rows * 2).repartition(5)):
+        got = prefix_free.remove_repeats(d, many=many)
+        have = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()]
+        n = len(have) // len(docs)
+        assert n in (3, 6) and sorted(have, key=str) == sorted([w for w in want.values() for _ in range(n)], key=str)
+
+
 def test_phrases_parse_every_string_once(monkeypatch):
     """Pieces and phrases cover each 100-byte string of a text exactly once,
     and equal strings get equal triggers, wherever a piece ends."""

@@ -204,6 +204,17 @@ def equal_groups(*keys) -> np.ndarray:
     return np.concatenate([[True], differ])
 
 
+def occurrences(c: dict, *keys) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the first occurrence of each key in corpus order and of the
+    later ones. Records of equal (doc, tie, start) come from rows that repeat
+    id and text: they are one occurrence, of which one record is returned."""
+    order = corpus_order(c, *keys)
+    by = [c[k][order] for k in keys]
+    first = equal_groups(*by)
+    later = equal_groups(*by, *(c[k][order] for k in ("doc", "tie", "start"))) & ~first
+    return order[first], order[later]
+
+
 def repeated(key: np.ndarray) -> np.ndarray:
     """Indexes of records whose key occurs more than once."""
     order = np.argsort(key, kind="stable")
@@ -233,12 +244,13 @@ def map_phrases(parts: int):
     trigger's partition (kind 0); the others are repeats already (kind 1)."""
     def flush(held):
         c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-        again = np.zeros(len(c["doc"]), bool)
+        kept, again = np.ones(len(c["doc"]), bool), np.zeros(len(c["doc"]), bool)
         dup = repeated(c["key"] ^ mix(c["content"]))
-        sub = pick(c, dup)
-        order = corpus_order(sub, "key", "content")
-        again[dup[order[~equal_groups(sub["key"][order], sub["content"][order])]]] = True
-        one = pick(c, ~again)
+        first, later = occurrences(pick(c, dup), "key", "content")
+        kept[dup] = False
+        kept[dup[first]] = True
+        again[dup[later]] = True
+        one = pick(c, kept)
         yield from send((one["key"] % np.uint64(parts)).astype(np.int32), 0, one)
         yield from to_doc(pick(c, again), parts, 1)
 
@@ -269,9 +281,8 @@ def reduce_phrases(parts: int, many: int):
             return
         c = got.pop(0)
         c = pick(c, repeated(c["key"]))
-        c = pick(c, corpus_order(c, "key", "content"))
-        first = equal_groups(c["key"], c["content"])
-        yield from to_doc(pick(c, ~first), parts, 1)
+        first, later = occurrences(c, "key", "content")
+        yield from to_doc(pick(c, later), parts, 1)
         c = pick(c, first)
         new = equal_groups(c["key"])
         size = np.diff(np.append(np.flatnonzero(new), len(new)))
@@ -307,15 +318,20 @@ def map_strings(parts: int):
     bytes (kind 0); strings of very common triggers go by their hash (kind 2)."""
     def common(held):
         c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-        c = pick(c, corpus_order(c, "key"))
-        first = equal_groups(c["key"])
+        first, later = occurrences(c, "key")
         one = pick(c, first)
         yield from send((one["key"] % np.uint64(parts)).astype(np.int32), 2, one)
-        yield from to_doc(pick(c, ~first), parts, 1)
+        yield from to_doc(pick(c, later), parts, 1)
 
     def run(batches):
         held, n = [], 0
+        seen: set = set()                                    # one of the rows that repeat id and text is enough
         for b in batches:
+            new = []
+            for k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                new.append(k not in seen)
+                seen.add(k)
+            b = b.filter(pa.array(new, pa.bool_()))
             doc, tie, bodies = rows_of(b)
             marks = [dict(zip(np.frombuffer(s, np.uint32).tolist(), np.frombuffer(t, np.uint8).tolist()))
                      for s, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
@@ -371,9 +387,7 @@ def later_strings(c: dict) -> dict:
         _, rank = np.unique(suffix, return_inverse=True)
         w = {"rank": rank, "doc": np.repeat(c["doc"][own], k), "tie": np.repeat(c["tie"][own], k),
              "start": (np.repeat(c["start"][own], k) + inner).astype(np.uint32)}
-        o = corpus_order(w, "rank")
-        later = o[~equal_groups(rank[o])]
-        found.append(pick(w, later))
+        found.append(pick(w, occurrences(w, "rank")[1]))
         lo = hi
     out = {k: np.concatenate([f[k] for f in found]) for k in ("doc", "tie", "start")}
     return out | {"count": np.ones(len(out["doc"]), np.uint8)}
@@ -388,8 +402,7 @@ def reduce_strings(parts: int):
             yield from to_doc(runs(later_strings(got[0])), parts, 1)
         if 2 in got:
             c = got[2]
-            c = pick(c, corpus_order(c, "key"))
-            yield from to_doc(runs(pick(c, ~equal_groups(c["key"]))), parts, 1)
+            yield from to_doc(runs(pick(c, occurrences(c, "key")[1])), parts, 1)
     return run
 
 
