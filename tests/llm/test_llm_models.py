@@ -47,6 +47,20 @@ def test_spaced_letters_and_long_tokens(model):
     assert toxicity.viterbi("1" * 4000 + "a", model)
 
 
+@pytest.mark.parametrize("token, word", [("iiddiioott", "idiot"), ("sttupid", "stupid"), ("moronn,", "moron"), ("green", "green"),
+                                         ("worthless", "worthless")])
+def test_doubled_letters(model, token, word):
+    assert toxicity.restored(token, model) == (word,)
+
+
+@pytest.mark.parametrize("text, word", [("the s t u p i d, river", "stupid"), ("the 'm o r o n' river", "moron"), ("i d i o t!", "idiot"),
+                                        ("an i d i o t ! after", "idiot"), ("s. t. u. p. i. d.", "stupid"), ("river 1 d 1 0 t.", "idiot")])
+def test_marks_do_not_end_spaced_words(model, text, word):
+    import pyarrow as pa
+    _, _, _, extra, rows = toxicity.doc_words(pa.array(["water", None, text]), {}, lambda w: (w,), model)
+    assert word in extra and set(rows.tolist()) == {2}
+
+
 def test_toxicity(spark):
     rnd = random.Random(1)
     rows, labels = [], []

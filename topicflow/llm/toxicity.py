@@ -1,8 +1,8 @@
 """Toxicity scores of deobfuscated text.
 
 1. A character trigram model is counted over every text of the corpus.
-2. Suspicious tokens (digits and signs among letters, letters drawn out, single
-   letters set apart by marks or spaces) become lattices of the characters
+2. Suspicious tokens (digits and signs among letters, letters doubled or drawn
+   out, single letters set apart by marks or spaces) become lattices of the characters
    they may stand for; a Viterbi search under the trigram model with channel
    costs picks the restored word or words. Other tokens have one path and
    stay as they are, so only suspicious ones are searched.
@@ -108,9 +108,7 @@ def readings(c: str, n: int, spaced: bool) -> list[tuple[str, float]]:
         if n == 1:
             found.append((x, cost))
         elif n == 2:
-            found.append((x + x, cost))
-            if spaced or not c.isalpha():
-                found.append((x, cost + TWICE_COST))
+            found += [(x + x, cost), (x, cost + TWICE_COST)]
         else:
             found += [(x, cost + ONCE_COST), (x + x, cost + TWICE_COST)]
     if not found:
@@ -164,7 +162,7 @@ def core(token: str) -> str:
 
 
 def suspicious(t: str) -> bool:
-    if len(t) < 3 or t.isalpha() and not any(n > 2 for _, n in runs(t)):
+    if len(t) < 3 or t.isalpha() and not any(n > 1 for _, n in runs(t)):
         return False
     letters = sum(c.isalpha() for c in t)
     return letters > 0 and (letters * 3 >= len(t) or any(c in MARKS for c in t))
@@ -202,17 +200,23 @@ def doc_words(text: pa.Array, known: dict, make, model: Trigrams):
     n = lens[at[some]]
     pos = np.repeat(start[at[some]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     rows = np.repeat(row[some], n)
-    # single letters in a row, set apart by spaces
-    one = pc.equal(pc.utf8_length(flat), 1).to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0, bool)
+    # single letters in a row, set apart by spaces; marks around a letter don't end the row
+    bare = pc.less_equal(pc.utf8_length(pc.utf8_trim(coded.dictionary, EDGE)), 1).to_numpy(zero_copy_only=False)
+    letter = {k: names[k] if len(names[k]) == 1 else core(names[k]) for k in np.flatnonzero(bare).tolist()}
+    single = np.zeros(len(names), bool)
+    single[[k for k, c in letter.items() if len(c) == 1]] = True
+    one = single[at]
     extra, extra_rows = [], []
     if one.any():
         edge = np.flatnonzero(np.diff(np.concatenate([[0], (one * (row + 1)), [0]])))
         for a, b in zip(edge[:-1], edge[1:]):
             if one[a] and b - a >= SPACED:
-                for w in viterbi("".join(flat.slice(int(a), int(b - a)).to_pylist()), model, True).split():
-                    got = make(w)
-                    extra += got
-                    extra_rows += [row[a]] * len(got)
+                joined = "".join(letter[k] for k in at[a:b].tolist())
+                for t in dict.fromkeys((joined, core(joined))):          # with and without lone marks at its ends
+                    for w in viterbi(t, model, True).split() if t else ():
+                        got = make(w)
+                        extra += got
+                        extra_rows += [row[a]] * len(got)
     return values, pos, rows, extra, np.array(extra_rows, dtype=np.int64)
 
 
