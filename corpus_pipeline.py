@@ -6,9 +6,10 @@ columns of ``documents``.
 
 Edge cases: the stages take the operators' rules for nulls, empty and long
 texts. Rows that repeat both doc_id and text (after white-space normalisation)
-leave one row in the exact stage; in the near-duplicate stage rows that share a
-doc_id stay or go together, and rows with a null doc_id stay if nothing with a
-doc_id is in their group. An empty table gives an empty result.
+leave one row in the exact stage; the near-duplicate stage takes rows by doc_id
+and text, so rows that share a doc_id are judged each, and one row of a group
+of null doc_ids stays if nothing with a doc_id is in it. An empty table gives
+an empty result.
 """
 from __future__ import annotations
 
@@ -31,10 +32,12 @@ def drop_copies(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    groups = parity_join.jaccard_components(docs).select(
-        F.when(~F.col("no_id"), F.col("doc_id")).alias("__keep_id"), "component_id")
-    keep = groups.where(F.col("__keep_id").eqNullSafe(F.col("component_id"))).select("__keep_id").distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep_id")), "left_semi")
+    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    groups = parity_join.jaccard_components(keyed, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))
+    keep = (keyed.select("doc_id", "__row").distinct().join(groups, "__row").groupBy("component_id").agg(first.alias("r"))
+            .select("r.__row"))
+    return keyed.join(keep, "__row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark, docs, sf_dir):

@@ -244,6 +244,22 @@ def test_inflate_reads_any_member_layout():
 # --- pipeline
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as P
+    rnd = random.Random(9)
+
+    def group():
+        w = [f"w{rnd.randrange(300)}" for _ in range(60)]
+        return [" ".join([*w, x]) for x in ("one", "two", "three")]
+    a, b, c, d = (group() for _ in range(4))
+    docs = table(spark, [(5, a[0]), (None, a[1]), (None, b[0]), (None, b[1]), (None, b[2]), (7, c[0]), (7, d[0]), (6, c[1]), (8, d[1]),
+                         (9, "alone here"), (None, "alone there")])
+    got = sorted(((r.doc_id, r.text) for r in P.drop_near_copies(spark, docs, None).collect()), key=str)
+    low = [t for i, t in got if t in b]
+    assert len(low) == 1
+    assert got == sorted([(5, a[0]), (None, low[0]), (6, c[1]), (7, d[0]), (9, "alone here"), (None, "alone there")], key=str)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
     from topicflow.llm import packing, parity_join
