@@ -128,6 +128,19 @@ def test_secrets(spark):
     assert secrets.find_secrets(table(spark, rows).limit(0)).count() == 0
 
 
+def test_runs_covered_in_part_are_candidates(spark):
+    hexes = "0123456789abcdef" * 2
+    text = f"x KEYZZ{hexes}QWERTYUIOP and {hexes} and mytoken={hexes} and QWERTYUIOPASDFGH"
+    got = secrets.candidates(text, secrets.base_spans(text))
+    assert [(text[s:e], f) for s, e, f in got if not f] == [(f"KEYZZ{hexes}QWERTYUIOP", None), (f"mytoken={hexes}", None),
+                                                            ("QWERTYUIOPASDFGH", False)]
+    rnd = random.Random(4)
+    rows = [(i, "token=" + "".join(rnd.choice("abcdefghjkmnpqrstuvwxyz23456789") for _ in range(32))) for i in range(60)]
+    rows += [(100 + i, "some " + "word" * 6 + rnd.choice("abcdefgh") * 3) for i in range(60)] + [(200, text)]
+    by = {r.doc_id: r for r in secrets.find_secrets(table(spark, rows)).collect()}
+    assert f"cnn:{text.index('KEYZZ')}:{text.index(' and')}" in by[200].spans.split(",")
+
+
 def test_network_finds_bare_secrets():
     rnd = random.Random(3)
 
