@@ -128,17 +128,31 @@ def test_secrets(spark):
     assert secrets.find_secrets(table(spark, rows).limit(0)).count() == 0
 
 
+def test_sample_holds_each_window_once(spark):
+    hexes = [f"{i:032x}" for i in range(1, 13)]
+    texts = [f"a {h} b" for h in hexes for _ in range(20)]
+    seen = []
+    rows = table(spark, list(enumerate(texts))).select("doc_id", "text").mapInArrow(secrets.scan, secrets.SCAN)
+    find = secrets.train
+    try:
+        secrets.train = lambda found, other: seen.append((found, other))
+        secrets.fit(rows, 12)
+    finally:
+        secrets.train = find
+    assert sorted(t for t, _, _ in seen[0][0]) == sorted(f"a {h} b" for h in hexes) and seen[0][1] == []
+
+
 def test_runs_covered_in_part_are_candidates(spark):
     hexes = "0123456789abcdef" * 2
     text = f"x KEYZZ{hexes}QWERTYUIOP and {hexes} and mytoken={hexes} and QWERTYUIOPASDFGH"
     got = secrets.candidates(text, secrets.base_spans(text))
     assert [(text[s:e], f) for s, e, f in got if not f] == [(f"KEYZZ{hexes}QWERTYUIOP", None), (f"mytoken={hexes}", None),
                                                             ("QWERTYUIOPASDFGH", False)]
-    rnd = random.Random(4)
-    rows = [(i, "token=" + "".join(rnd.choice("abcdefghjkmnpqrstuvwxyz23456789") for _ in range(32))) for i in range(60)]
-    rows += [(100 + i, "some " + "word" * 6 + rnd.choice("abcdefgh") * 3) for i in range(60)] + [(200, text)]
-    by = {r.doc_id: r for r in secrets.find_secrets(table(spark, rows)).collect()}
-    assert f"cnn:{text.index('KEYZZ')}:{text.index(' and')}" in by[200].spans.split(",")
+    net = secrets.Network()
+    net.threshold = 0.0                                              # every scored candidate is added
+    [row] = (table(spark, [(1, text)]).select("doc_id", "text").mapInArrow(secrets.scan, secrets.SCAN)
+             .mapInArrow(secrets.decide(net), secrets.RESULT).collect())
+    assert f"cnn:{text.index('KEYZZ')}:{text.index(' and')}" in row.spans.split(",") and row.n_added == 3
 
 
 def test_network_finds_bare_secrets():
