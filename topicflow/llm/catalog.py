@@ -1,10 +1,11 @@
 """Registered queries of the training-data operators and their SQL."""
 from __future__ import annotations
 
-from . import (cover_tree, exact_dedup, mixing, packing, parity_join, prefix_free, secrets, token_file, toxicity,
-               warc)
+from . import (cover_tree, exact_dedup, fill_middle, mixing, packing, parity_join, prefix_free, quality, secrets, token_file,
+               toxicity, warc, whitening)
 
-MODULES = (warc, toxicity, exact_dedup, packing, token_file, mixing, parity_join, secrets, cover_tree, prefix_free)
+MODULES = (warc, toxicity, exact_dedup, packing, token_file, mixing, parity_join, secrets, cover_tree, prefix_free, fill_middle,
+           whitening, quality)
 
 
 def queries() -> dict:
