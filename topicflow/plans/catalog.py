@@ -1094,6 +1094,16 @@ def q_csv_roundtrip(spark, sf):
     return readers.read_csv(spark, path)
 
 
+@register("csv_split_scan", "SELECT doc_id, text, source AS target FROM documents")
+def q_csv_split_scan(spark, sf):
+    """S01 by split: one CSV file of all documents, read by as many tasks as
+    it has splits although its texts hold newlines and quotes."""
+    path = scratch_path(spark, "csv-one")
+    rows = derive.corpus(spark, sf).select("doc_id", "text", F.col("raw_target").alias("target"))
+    readers.write_csv(rows.coalesce(1), path)          # one file: the case that needs splits
+    return readers.load_source(spark, "csv", path).drop("source")
+
+
 RAW_COLS = "id, title, selftext, subreddit, link_flair_text, created_utc, permalink, is_self, over_18, num_comments, score, upvote_ratio"
 
 

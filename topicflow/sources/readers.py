@@ -1,8 +1,9 @@
 """Scans and sinks.
 
-Fixed schemas everywhere; no schema inference. CSV is an edge format only:
-texts hold newlines, so CSV needs ``multiLine`` (one task per file); convert
-to Parquet once at ingest.
+Fixed schemas everywhere; no schema inference. Texts hold newlines, so Spark's
+own CSV scan needs ``multiLine`` and one task per file (:func:`read_csv`);
+:mod:`.split_csv` reads the same files by split, and the registered source
+"csv" uses it.
 """
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from .split_csv import read_csv_split
+
 CORPUS_SCHEMA = Ty.StructType([
     Ty.StructField("doc_id", Ty.LongType()),
     Ty.StructField("text", Ty.StringType()),
@@ -132,7 +135,7 @@ def read_optional(spark: SparkSession, files: dict[str, str],
 
 # Source registry name -> loader(spark, path) -> (doc_id?, text, target).
 SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "csv": lambda spark, path: read_csv(spark, path),
+    "csv": lambda spark, path: read_csv_split(spark, path, CORPUS_SCHEMA),
     "social_jsonl": social_posts,
     "parquet": lambda spark, path: spark.read.parquet(path),
 }
