@@ -5,6 +5,8 @@ shared folder from inside tasks, and connected components as DataFrame jobs.
 """
 from __future__ import annotations
 
+import contextlib
+import functools
 import uuid
 
 import pyarrow as pa
@@ -62,6 +64,37 @@ def tokenizer_path(name: str = WORD_PATH) -> str:
     return public_tokenizers.path(name)
 
 
+def lean(run):
+    """A ``mapInArrow`` function that gives freed memory back to the system
+    when its task ends. Python workers are reused by later stages, which would
+    otherwise inherit the largest heap any earlier task had."""
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):          # not every C library can trim
+                ctypes.CDLL(None).malloc_trim(0)
+    return task
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for the jobs run inside; for
+    stages whose rows carry long texts or whole sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(old)) if int(old) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def binary_array(data, offsets) -> pa.Array:
     """Binary column from one buffer and int64 offsets (no copy per row)."""
     import numpy as np

@@ -45,7 +45,10 @@ SMALL = 32                 # members of a key that are compared pair by pair
 FINE = 64                  # sets below this size have one part per shingle
 BLOCK = 2048               # members of a large key compared as one block
 HEAD = 256                 # first large keys by which a pair's first common one is told
-FLUSH = 2_000_000          # keys a task holds before it passes them on
+FLUSH = 500_000            # keys a task holds before it passes them on
+SLICE = 2 << 20            # bytes of text handled at once
+ROWS = 1000                # rows of an Arrow batch
+KNOWN = 200_000            # classes a task remembers as sent
 SHIFT = 42                 # a key's low bits; the scheme's number stands above them
 M = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                                 0x85EBCA77C2B2AE63)]
@@ -155,7 +158,7 @@ def describe(batches):
     """Per document: class, size, bit sketch, filled parts per scheme."""
     kind = pa.list_(pa.struct([("scheme", pa.int32()), ("parts", pa.int64()), ("most", pa.int64())]))
     for batch in batches:
-        for b in T.slices(batch, 2):
+        for b in T.slices(batch, 2, SLICE):
             cid, n, sk, slack = [], [], [], []
             for s in shingle_sets(b.column(2)):
                 n.append(len(s))
@@ -195,7 +198,7 @@ def emit_keys(parts: int, fine: bool):
     def run(batches):
         seen, cids, own, keys, n = set(), [], [], [], 0
         for batch in batches:
-            for b in T.slices(batch, 0):
+            for b in T.slices(batch, 0, SLICE):
                 for s in shingle_sets(b.column(0)):
                     if not len(s) or (c := class_id(s)) in seen:
                         continue
@@ -205,9 +208,11 @@ def emit_keys(parts: int, fine: bool):
                         own.append(j)
                         keys.append(part_keys(s, j))
                         n += len(keys[-1])
-                if n >= FLUSH:
-                    yield out(cids, own, keys)
-                    cids, own, keys, n = [], [], [], 0
+                    if n >= FLUSH:
+                        yield out(cids, own, keys)
+                        cids, own, keys, n = [], [], [], 0
+                if len(seen) > KNOWN:                        # a class sent twice is one member of its groups
+                    seen.clear()
         if n:
             yield out(cids, own, keys)
     return run
@@ -276,8 +281,8 @@ def group_keys(small: int):
 
 def candidate_groups(docs: DataFrame, fine: bool = False, small: int = SMALL) -> DataFrame:
     parts = C.partitions(docs.sparkSession)
-    return (docs.select("body").mapInArrow(emit_keys(parts, fine), EXCHANGE)
-            .repartitionById(parts, F.col("pid")).mapInArrow(group_keys(small), GROUPS))
+    return (docs.select("body").mapInArrow(C.lean(emit_keys(parts, fine)), EXCHANGE)
+            .repartitionById(parts, F.col("pid")).mapInArrow(C.lean(group_keys(small)), GROUPS))
 
 
 def by_sketch(batches):
@@ -294,7 +299,7 @@ def full_sets(batches):
     """Class and full set of each document, a class once per task."""
     seen = set()
     for batch in batches:
-        for b in T.slices(batch, 0):
+        for b in T.slices(batch, 0, SLICE):
             cid, body = [], []
             for s in shingle_sets(b.column(0)):
                 if len(s) and (c := class_id(s)) not in seen:
@@ -302,6 +307,8 @@ def full_sets(batches):
                     cid.append(c)
                     body.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(body, pa.binary())], ["cid", "body"])
+            if len(seen) > KNOWN:
+                seen.clear()
 
 
 def verify(batches):
@@ -321,13 +328,13 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     a = k.toDF("a", "n_a", "sketch_a")
     b = k.toDF("b", "n_b", "sketch_b")
     close = C.materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
-                          .mapInArrow(by_sketch, "a long, b long"), "close")
+                          .mapInArrow(C.lean(by_sketch), "a long, b long"), "close")
     used = close.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     reps = classes.join(used, "cid").select(F.col("rep_null").alias("no_id"), F.col("rep").alias("doc_id"))
     sets = C.materialize(docs.join(reps, ["no_id", "doc_id"], "left_semi").select("body")
-                         .mapInArrow(full_sets, "cid long, body binary").groupBy("cid").agg(F.first("body").alias("body")), "sets")
+                         .mapInArrow(C.lean(full_sets), "cid long, body binary").groupBy("cid").agg(F.first("body").alias("body")), "sets")
     full = (close.join(sets.toDF("a", "body_a"), "a").join(sets.toDF("b", "body_b"), "b")
-            .select("a", "b", "body_a", "body_b").mapInArrow(verify, "a long, b long"))
+            .select("a", "b", "body_a", "body_b").mapInArrow(C.lean(verify), "a long, b long"))
     return C.materialize(full, "linked")
 
 
@@ -422,9 +429,14 @@ def large_pairs(hot: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFra
 
 def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", small: int = SMALL) -> DataFrame:
     """no_id, doc_id, n_shingles, component_id (null for null ids) per row."""
+    with C.small_batches(docs.sparkSession, ROWS):
+        return _components(docs, id_col, text_col, small)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, small: int) -> DataFrame:
     d = docs.select(F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"),
                     F.col(text_col).alias("body"))
-    sets = C.materialize(d.mapInArrow(describe, SETS), "described")
+    sets = C.materialize(d.mapInArrow(C.lean(describe), SETS), "described")
     some = sets.where("n > 0")
     least = F.min_by(F.struct("no_id", "doc_id"), F.struct("no_id", "doc_id"))
     classes = C.materialize(some.groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"),

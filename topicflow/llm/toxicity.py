@@ -256,7 +256,7 @@ def count_trigrams(batches):
 def fit_trigrams(docs: DataFrame, text_col="text", letters: int = LETTERS) -> Trigrams:
     """Counted over every text. The driver gets the trigrams of the most
     frequent letters only (at most (LETTERS + 2) ** 3 numbers)."""
-    counts = C.materialize(docs.select(text_col).mapInArrow(count_trigrams, "gram long, n long")
+    counts = C.materialize(docs.select(text_col).mapInArrow(C.lean(count_trigrams), "gram long, n long")
                            .groupBy("gram").agg(F.sum("n").alias("n")), "trigrams")
     last = F.expr("gram & 2097151")
     top = [r[0] for r in counts.groupBy(last.alias("c")).agg(F.sum("n").alias("n")).where(F.col("c") != ord("^"))
@@ -393,7 +393,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
            .orderBy(F.xxhash64("__id"), "__id").limit(train_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("body"))
     picked = (texts.join(F.broadcast(C.materialize(lab, "labelled")), "__id").select("toxic", "body"))  # train_rows at most
-    words = C.materialize(picked.mapInArrow(sample_words(model), "toxic long, words array<string>"), "sample-words")
+    words = C.materialize(picked.mapInArrow(C.lean(sample_words(model)), "toxic long, words array<string>"), "sample-words")
     n, pos = words.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n or pos in (0, n):
         share = min(max(pos / n, 1e-9), 1 - 1e-9) if n else 1e-9
@@ -409,14 +409,14 @@ def scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     model, names, weights = train(docs, labels, train_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"),
                        F.col("text").alias("body"))
-    out = rows.mapInArrow(score_texts(model, names, weights), "doc_id long, held_out boolean, score double")
+    out = rows.mapInArrow(C.lean(score_texts(model, names, weights)), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns."""
     how = keep_clean(*train(docs, labels, train_rows), docs.columns.index("text"))
-    return docs.mapInArrow(how, docs.schema)
+    return docs.mapInArrow(C.lean(how), docs.schema)
 
 
 def op2_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
