@@ -205,6 +205,21 @@ def test_rows_that_repeat_id_and_text_are_one_document(spark, many):
         assert n in (3, 6) and sorted(have, key=str) == sorted([w for w in want.values() for _ in range(n)], key=str)
 
 
+@pytest.mark.parametrize("bits", [1, 62])
+def test_row_keys_of_null_and_repeated_ids(spark, bits):
+    """Different texts under one id, or under none, stay different documents
+    even if hashes of a single bit collide."""
+    rnd = random.Random(8)
+    a, b, c, d, e = (words(rnd, 40) for _ in range(5))
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (7, d), (7, e), (7, e), (7, ""), (None, "")]
+    got = prefix_free.remove_repeats(table(spark, rows).repartition(3), tie_bits=bits).collect()
+    lost = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in got), key=str)
+    want = [(i, len(t), len(t) if (i, t) == (None, a) else 0) for i, t in rows]
+    assert lost == sorted(want, key=str)
+    keys = prefix_free.row_keys(table(spark, rows), "doc_id", "text", bits).select("doc", "tie").distinct().count()
+    assert keys == len(set(rows))
+
+
 def test_phrases_parse_every_string_once(monkeypatch):
     """Pieces and phrases cover each 100-byte string of a text exactly once,
     and equal strings get equal triggers, wherever a piece ends."""

@@ -14,13 +14,14 @@ edges of repeats, in dictionary phrases that share a trigger but not their
 content. The suffixes of those phrases (their 100-byte strings) are sorted
 within the trigger, and the first occurrence of each in corpus order (from the
 parse) stays. Triggers with more than MANY different phrases, as a very common
-line has, deal their strings out by hash instead, so no group of rows of
+line has, deal their strings out by 128 bits of hash, so no group of rows of
 unbounded size meets in one task. Copies are combined within each input task
 before anything is shuffled.
 
 Edge cases: null text is empty; texts under 100 bytes stay whole; a null
-doc_id comes after all others; rows that repeat a doc_id with other texts are
-ordered by a hash of the text; rows that repeat id and text are one document
+doc_id comes after all others; rows that repeat a doc_id with other texts, and
+rows of null ids, are ordered by a hash of the text, whose keys are checked to
+differ; rows that repeat id and text are one document
 and get the same result each; an empty table gives an empty result; other
 columns are not read.
 """
@@ -38,10 +39,12 @@ from . import common as C
 LENGTH = 100
 GRAM = 40                  # bytes of a trigger
 PIECE = 1 << 20            # bytes hashed at once; longer texts are parsed in pieces that overlap
-FLUSH = 800_000            # phrases a task holds before it passes them on
+FLUSH = 400_000            # phrases a task holds before it passes them on
 MANY = 256                 # different phrases of a trigger that are sorted together
 POS = np.uint64((1 << 21) - 1)
-BASE = 0x9E3779B97F4A7C15 | 1
+NO_ID = np.uint64(62)      # the bit of a row key that marks null ids; below it, bits of a hash of the text
+TIE_BITS = 62
+BASE, OTHER = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 _tables: dict = {}
 
 
@@ -53,28 +56,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def tables():
+def tables(base: int = BASE):
     """Byte values, powers of the base and of its inverse (mod 2**64)."""
-    if not _tables:
-        inverse = pow(BASE, -1, 1 << 64)
+    if base not in _tables:
+        inverse = pow(base, -1, 1 << 64)
         n = 2 * PIECE + 2
 
         def powers(b):
             out = np.ones(n, np.uint64)
             out[1:] = np.uint64(b)
             return np.cumprod(out, dtype=np.uint64)
-        _tables["byte"] = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-        _tables["up"], _tables["down"] = powers(BASE), powers(inverse)
-    return _tables["byte"], _tables["up"], _tables["down"]
+        _tables[base] = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base)), powers(base), powers(inverse)
+    return _tables[base]
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    byte, up, _ = tables()
+def prefix_hash(buf: np.ndarray, base: int = BASE) -> np.ndarray:
+    byte, up, _ = tables(base)
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte[buf] * up[:len(buf)], dtype=np.uint64)])
 
 
-def range_hash(pre: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix((pre[b] - pre[a]) * tables()[2][a])
+def range_hash(pre: np.ndarray, a: np.ndarray, b: np.ndarray, base: int = BASE) -> np.ndarray:
+    return mix((pre[b] - pre[a]) * tables(base)[2][a])
 
 
 def phrases(buf: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -141,7 +143,7 @@ def parsed(bodies):
 
 # --- columns that travel between tasks: documents run-length coded, the rest flat
 
-KINDS = {"doc": np.int64, "tie": np.uint32, "start": np.uint32, "count": np.uint8, "status": np.uint8, "key": np.uint64,
+KINDS = {"doc": np.int64, "tie": np.uint64, "start": np.uint32, "count": np.uint8, "status": np.uint8, "key": np.uint64,
          "content": np.uint64}
 SENT = "pid int, kind int, docs binary, ties binary, runs binary, start binary, count binary, status binary, key binary, content binary, bytes binary"
 
@@ -176,7 +178,7 @@ def received(batches) -> dict:
             parts = got.setdefault(row[0].as_py(), {})
             runs = np.frombuffer(row[3].as_buffer(), np.uint32)
             parts.setdefault("doc", []).append(np.repeat(np.frombuffer(row[1].as_buffer(), np.int64), runs))
-            parts.setdefault("tie", []).append(np.repeat(np.frombuffer(row[2].as_buffer(), np.uint32), runs))
+            parts.setdefault("tie", []).append(np.repeat(np.frombuffer(row[2].as_buffer(), np.uint64), runs))
             for k, v in zip(("start", "count", "status", "key", "content"), row[4:9]):
                 if v.is_valid:
                     parts.setdefault(k, []).append(np.frombuffer(v.as_buffer(), KINDS[k]))
@@ -191,7 +193,7 @@ def pick(cols: dict, sel) -> dict:
 
 def corpus_order(c: dict, *keys) -> np.ndarray:
     """Sorted by keys, then null ids last, doc_id, tie, position."""
-    return np.lexsort((c["start"], c["tie"], c["doc"], c["tie"] >> 31, *reversed([c[k] for k in keys])))
+    return np.lexsort((c["start"], c["tie"], c["doc"], c["tie"] >> NO_ID, *reversed([c[k] for k in keys])))
 
 
 def equal_groups(*keys) -> np.ndarray:
@@ -225,7 +227,7 @@ def repeated(key: np.ndarray) -> np.ndarray:
 
 def to_doc(cols: dict, parts: int, status: int):
     """Rows that take marks to their document's partition."""
-    pid = (mix(cols["doc"].astype(np.uint64) ^ (cols["tie"].astype(np.uint64) << np.uint64(32))) % np.uint64(parts)).astype(np.int32)
+    pid = (mix(cols["doc"].astype(np.uint64) ^ mix(cols["tie"].astype(np.uint64))) % np.uint64(parts)).astype(np.int32)
     out = {k: cols[k] for k in ("doc", "tie", "start", "count")} | {"status": np.full(len(pid), status, np.uint8)}
     return send(pid, 1, out)
 
@@ -235,7 +237,7 @@ DOC = ["doc", "tie", "body"]
 
 def rows_of(batch):
     """(doc, tie, bytes) lists of a batch of DOC columns."""
-    return (batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint32),
+    return (batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64),
             batch.column(2).to_pylist())
 
 
@@ -315,10 +317,11 @@ def merge_marks(batches):
 
 def map_strings(parts: int):
     """Round 2: dictionary phrases that share a trigger go there with their
-    bytes (kind 0); strings of very common triggers go by their hash (kind 2)."""
+    bytes (kind 0); strings of very common triggers go by two 64-bit hashes
+    of different bases (kind 2)."""
     def common(held):
         c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-        first, later = occurrences(c, "key")
+        first, later = occurrences(c, "key", "content")
         one = pick(c, first)
         yield from send((one["key"] % np.uint64(parts)).astype(np.int32), 2, one)
         yield from to_doc(pick(c, later), parts, 1)
@@ -350,7 +353,8 @@ def map_strings(parts: int):
                     p = np.repeat(at[three], k) + inner
                     held.append({"doc": np.repeat(doc[i[three]], k), "tie": np.repeat(tie[i[three]], k),
                                  "start": (np.repeat(start[three], k) + inner).astype(np.uint32), "count": np.ones(len(p), np.uint8),
-                                 "key": range_hash(pre, p, p + LENGTH)})
+                                 "key": range_hash(pre, p, p + LENGTH),
+                                 "content": range_hash(prefix_hash(buf, OTHER), p, p + LENGTH, OTHER)})
                     n += len(p)
                     if n >= FLUSH:
                         yield from common(held)
@@ -402,7 +406,7 @@ def reduce_strings(parts: int):
             yield from to_doc(runs(later_strings(got[0])), parts, 1)
         if 2 in got:
             c = got[2]
-            yield from to_doc(runs(pick(c, occurrences(c, "key")[1])), parts, 1)
+            yield from to_doc(runs(pick(c, occurrences(c, "key", "content")[1])), parts, 1)
     return run
 
 
@@ -460,29 +464,45 @@ def cut_spans(keep_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", many: int = MANY, keep_text: bool = True) -> DataFrame:
+def row_keys(docs: DataFrame, id_col: str, text_col: str, bits: int = TIE_BITS) -> DataFrame:
+    """(doc, tie, body): two rows have one key exactly if they have one id (or
+    none) and one text. Null ids take the place of an id by a hash of their
+    text. That different texts of one key don't exist is looked up by their
+    SHA-256; if some do, the next hash is taken, of more bits if it had fewer
+    than fit."""
+    body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    rows = docs.select(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), body.alias("body"))
+    for seed in range(64):
+        mask = (1 << min(int(NO_ID), bits << seed)) - 1
+        tie = F.xxhash64("body", F.lit(2 * seed)).bitwiseAND(F.lit(mask)) + F.when(F.col("no_id"), F.lit(1 << int(NO_ID))).otherwise(F.lit(0))
+        other = F.xxhash64("body", F.lit(2 * seed + 1)).bitwiseAND(F.lit(mask))
+        d = rows.select(F.when(F.col("no_id"), other).otherwise(F.col("id")).alias("doc"), tie.alias("tie"), "body")
+        sha = d.select("doc", "tie", F.unhex(F.sha2("body", 256)).alias("sha"))
+        if sha.groupBy("doc", "tie").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a <> b").isEmpty():
+            return d
+    raise RuntimeError("no hash tells the rows apart")
+
+
+def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", many: int = MANY, keep_text: bool = True,
+                   tie_bits: int = TIE_BITS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the
     remaining bytes of every row."""
     spark = docs.sparkSession
     parts = C.partitions(spark)
-    body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    # ties: 31 bits of a hash, below a mark of null ids
-    d = (docs.select(F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc"),
-                     body.alias("body"))
-         .select("doc", F.expr("(xxhash64(body) & 2147483647L) + if(no_id, 2147483648L, 0L)").alias("tie"), "body"))
+    d = row_keys(docs, id_col, text_col, tie_bits)
 
     def round_trip(sent: DataFrame, reducer) -> DataFrame:
-        met = sent.repartitionById(parts, F.col("pid")).mapInArrow(reducer, SENT)
-        return met.repartitionById(parts, F.col("pid")).mapInArrow(merge_marks, MARKS)
+        met = sent.repartitionById(parts, F.col("pid")).mapInArrow(C.lean(reducer), SENT)
+        return met.repartitionById(parts, F.col("pid")).mapInArrow(C.lean(merge_marks), MARKS)
 
-    marks = C.materialize(round_trip(d.mapInArrow(map_phrases(parts), SENT), reduce_phrases(parts, many)), "phrases")
+    marks = C.materialize(round_trip(d.mapInArrow(C.lean(map_phrases(parts)), SENT), reduce_phrases(parts, many)), "phrases")
     left = d.join(marks.where("open").select("doc", "tie", "start", "status"), ["doc", "tie"]).select(*DOC, "start", "status")
-    more = C.materialize(round_trip(left.mapInArrow(map_strings(parts), SENT), reduce_strings(parts)), "strings")
+    more = C.materialize(round_trip(left.mapInArrow(C.lean(map_strings(parts)), SENT), reduce_strings(parts)), "strings")
     every = (marks.select("doc", "tie", "start", "count", "status")
              .join(more.select("doc", "tie", F.col("start").alias("start2"), F.col("count").alias("count2")), ["doc", "tie"], "left"))
     out = (d.join(every, ["doc", "tie"], "left").select(*DOC, "start", "count", "status", "start2", "count2")
-           .mapInArrow(cut_spans(keep_text), RESULT))
-    return out.select(F.expr("if(tie >= 2147483648L, null, doc)").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256",
+           .mapInArrow(C.lean(cut_spans(keep_text)), RESULT))
+    return out.select(F.when(F.col("tie") < 1 << int(NO_ID), F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256",
                       *(["kept"] if keep_text else []))
 
 
