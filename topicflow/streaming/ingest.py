@@ -1,13 +1,14 @@
 """Structured Streaming jobs.
 
-R01 incremental post ingest: JSON files -> text filter (P06) -> ids that the
-sink does not hold yet (the reference kept seen ids only in one process) ->
-labels (P10) -> serialized rows. The seen ids are the sink itself: each
-micro-batch drops its own repeats and is anti-joined with the ids written by
-earlier batches, so nothing is forgotten or dropped as late, whatever a post's
-age, and no state store has to hold ids. Lines that are not valid JSON go to a
-reject sink. Both sinks are written per batch id, so a replayed batch
-overwrites its own output instead of duplicating it.
+R01 incremental post ingest: JSON files -> text filter (P06) -> ids not seen
+before (the reference kept seen ids only in one process) -> labels (P10) ->
+serialized rows. Seen ids are keyed state in RocksDB, on the executors' disks
+with its changes in the checkpoint: a batch looks up and writes its own ids
+only, however many the earlier batches held, and reads neither its sink nor any
+index. Of rows of one id within a batch the first by time stays. No watermark:
+nothing is forgotten or dropped as late, whatever a post's age. Lines that are
+not valid JSON go to a reject sink. Both sinks are written per batch id, so a
+replayed batch overwrites its own output instead of duplicating it.
 
 R02 continuous scoring: files of texts -> validation (P13) -> the *same*
 cleaning Column as training -> ``PipelineModel.transform`` -> Parquet; invalid
@@ -15,6 +16,7 @@ rows go to a reject sink, a summary row per batch to a third (G17).
 """
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ from pyspark.sql import types as Ty
 
 from ..functions import text as T
 from ..operators import collect
-from ..sources.readers import CORRUPT, RAW_POST_SCHEMA, existing_paths
+from ..sources.readers import CORRUPT, RAW_POST_SCHEMA
 
 
 def posts_stream(spark: SparkSession, source_glob: str, files_per_trigger: int = 1) -> DataFrame:
@@ -32,41 +34,68 @@ def posts_stream(spark: SparkSession, source_glob: str, files_per_trigger: int =
             .option("columnNameOfCorruptRecord", CORRUPT).json(source_glob))
 
 
-def _earlier_ids(spark: SparkSession, sink: str, batch_id: int) -> DataFrame | None:
-    """Ids written by batches before this one (a replayed batch must not see
-    its own rows)."""
-    if not existing_paths(spark, [sink]):
-        return None
-    return spark.read.option("basePath", sink).parquet(sink).where(F.col("batch") < batch_id).select("id")
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BAD_LINE = "bad_line"                         # in payloads; a column of the reader's own name would be taken for a parse error
+BAD = "!"                                     # keys of lines that are no JSON begin with it, those of posts with another sign
+
+
+def keyed_posts(raw: DataFrame) -> DataFrame:
+    """(key, created_utc, tie, payload) of posts with text and of bad lines; the
+    payload holds the whole row."""
+    rows = raw.where(F.col(CORRUPT).isNotNull() | T.has_text("title", "selftext"))
+    tie = F.concat_ws("\x00", *[F.coalesce(c, F.lit("")) for c in ("subreddit", "title", "selftext")])
+    key = F.when(F.col(CORRUPT).isNotNull(), F.concat(F.lit(BAD), F.sha2(CORRUPT, 256))).otherwise(
+        F.concat(F.lit("#"), F.coalesce("id", F.lit(""))))
+    return rows.select(key.alias("key"), "created_utc", tie.alias("tie"), F.to_json(F.struct(*[c for c in raw.columns if c != CORRUPT], F.col(CORRUPT).alias(BAD_LINE))).alias("payload"))
+
+
+def first_seen(key, frames, state):
+    """The first row of an id that has no state yet; every bad line."""
+    best = None
+    for f in frames:
+        if key[0].startswith(BAD):
+            yield f[["payload"]]
+            continue
+        f = f if best is None else pd.concat([best, f])
+        best = f.sort_values(["created_utc", "tie"], na_position="first", kind="stable").iloc[:1]
+    if best is not None and not state.exists:
+        state.update((True,))
+        yield best[["payload"]]
 
 
 def ingest_posts(spark: SparkSession, source_glob: str, sink: str, checkpoint: str,
                  inverted_map: DataFrame | None, label_mode: str = "hybrid",
                  include_title: bool = True, available_now: bool = True, files_per_trigger: int = 8,
-                 rejects: str | None = None):
+                 rejects: str | None = None, state_store: str = ROCKS_DB):
     """Start (and with ``available_now`` drain) the ingest query.
     ``rejects`` (default: ``<sink>_rejects``) gets the lines that are not JSON."""
     bad_sink = rejects or f"{sink}_rejects"
+    raw = posts_stream(spark, source_glob, files_per_trigger)
+    new_rows = keyed_posts(raw).groupBy("key").applyInPandasWithState(
+        first_seen, "payload string", "seen boolean", "append", "NoTimeout")
+    schema = ", ".join(f"`{BAD_LINE if f.name == CORRUPT else f.name}` {f.dataType.simpleString()}" for f in raw.schema.fields)
+    parsed = new_rows.select(F.from_json("payload", schema).alias("r")).select("r.*")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            batch.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line")) \
+            batch.where(F.col(BAD_LINE).isNotNull()).select(F.col(BAD_LINE).alias("line")) \
                 .write.mode("overwrite").parquet(f"{bad_sink}/batch={batch_id}")
-            posts = batch.where(F.col(CORRUPT).isNull() & T.has_text("title", "selftext")).drop(CORRUPT)
-            new = collect.dedup_first_seen(posts, ["created_utc", "subreddit", "title", "selftext"])
-            seen = _earlier_ids(spark, sink, batch_id)
-            if seen is not None:
-                new = new.join(seen, "id", "left_anti")
+            new = batch.where(F.col(BAD_LINE).isNull()).drop(BAD_LINE)
             out = collect.serialize_posts(collect.assign_label(new, inverted_map, label_mode), include_title, True,
                                           keep=["label"])
             out.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
         finally:
             batch.unpersist()
 
-    w = (posts_stream(spark, source_glob, files_per_trigger).writeStream.foreachBatch(write_batch)
-         .option("checkpointLocation", checkpoint))
-    q = (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
+    w = parsed.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, state_store)         # a query takes the setting when it starts
+    try:
+        q = (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
+    finally:
+        spark.conf.set(name, old)
     if available_now:
         q.awaitTermination()
     return q
