@@ -172,3 +172,13 @@ def test_log_preparation_run(spark):
     assert m["tfidf_train_count"] + m["tfidf_val_count"] + m["tfidf_test_count"] == m["tfidf_documents_count"]
     latest = registry.latest_run_with_artifact(registry.runs(spark, root), "cleaned_data").first()
     assert latest.run_id == rid
+
+
+def test_writers_that_register_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    root = str(tmp_path / "r")
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda k: registry.register_version(spark, root, "m", f"u{k}"), range(8)))
+    assert sorted(got) == list(range(1, 9)) and registry.register_version(spark, root, "other", "u") == 1
+    rows = spark.read.schema(registry.VERSIONS_SCHEMA).parquet(f"{root}/model_versions")
+    assert sorted(r.version for r in rows.where("model = 'm'").collect()) == list(range(1, 9))

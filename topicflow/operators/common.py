@@ -16,8 +16,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     join. The side is a written table: nothing stays cached on the executors,
     and a lost one costs nothing.
     """
-    side = materialize(df, "side")
-    if side.count() > max_rows or written_bytes(side) > max_bytes:
+    from pyspark.sql import Observation
+    rows = Observation()
+    side = materialize(df.observe(rows, F.count(F.lit(1)).alias("n")), "side")       # counted while it is written
+    if rows.get["n"] > max_rows or written_bytes(side) > max_bytes:
         return side
     return F.broadcast(side)
 

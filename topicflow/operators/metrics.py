@@ -176,3 +176,9 @@ def render_report(report: DataFrame, digits: int = 4) -> str:
             r = tail[lab]
             lines.append(fmt.format(lab, num(r.precision), num(r.recall), num(r.f1), r.support))
     return "\n".join(lines) + "\n"
+
+
+def write_report(report: DataFrame, path: str, digits: int = 4) -> None:
+    """S16 sink: the rendered report as one text file."""
+    spark = report.sparkSession
+    spark.createDataFrame([(render_report(report, digits).rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -51,16 +51,33 @@ def latest_run_with_artifact(runs_df: DataFrame, artifact: str) -> DataFrame:
             .orderBy(F.desc("start_time"), F.asc("run_id")).limit(1))
 
 
+def _claim(spark: SparkSession, path: str) -> bool:
+    """Creates an empty file; false if it exists. The file system lets one
+    writer succeed."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(p)
+    except Exception as e:
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+
+
 def register_version(spark: SparkSession, root: str, model: str, uri: str, run_id: str | None = None) -> int:
-    """Append a new model version (next integer). One writer per registry: two
-    that register at once may get the same number."""
+    """Append a new model version (next integer). The number is claimed by a
+    file of its own before the row is written, so writers that register at
+    once get different numbers; a writer that dies in between leaves a gap."""
     path = f"{root}/model_versions"
     cur = 0
     if existing_paths(spark, [path]):
         cur = spark.read.schema(VERSIONS_SCHEMA).parquet(path).where(F.col("model") == model) \
             .agg(F.max("version")).first()[0] or 0
-    spark.createDataFrame([(model, cur + 1, uri, run_id)], VERSIONS_SCHEMA).write.mode("append").parquet(path)
-    return cur + 1
+    version = cur + 1
+    while not _claim(spark, f"{root}/version_claims/{model}/{version}"):
+        version += 1
+    spark.createDataFrame([(model, version, uri, run_id)], VERSIONS_SCHEMA).write.mode("append").parquet(path)
+    return version
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
