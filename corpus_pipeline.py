@@ -5,8 +5,9 @@ kept and is written before the next one reads it; all but the last return the
 columns of ``documents``.
 
 Edge cases: the stages take the operators' rules for nulls, empty and long
-texts. Rows that repeat both doc_id and text (after white-space normalisation)
-leave one row in the exact stage; the near-duplicate stage takes rows by doc_id
+texts, and pass other columns on whatever their names. Rows that repeat both
+doc_id and text (after white-space normalisation) leave one row in the exact
+stage, the first by text and then by a hash of the row; the near-duplicate stage takes rows by doc_id
 and text, so rows that share a doc_id are judged each, and one row of a group
 of null doc_ids stays if nothing with a doc_id is in it. An empty table gives
 an empty result.
@@ -23,21 +24,33 @@ def reject_toxic(spark, docs, sf_dir):
     return toxicity.clean_documents(docs, C.read(spark, sf_dir, "labels"))
 
 
+def unused(name, docs):
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def drop_copies(spark, docs, sf_dir):
+    sha, keep_id, keep_sha = (unused(n, docs) for n in ("sha", "keep_id", "keep_sha"))
     keep = (exact_dedup.exact_groups(docs).where("kept")
-            .select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha")).distinct())
-    mine = docs.withColumn("__sha", F.sha2(exact_dedup.normalised(F.col("text")), 256))
-    on = F.col("doc_id").eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha"))
-    return mine.join(keep, on).dropDuplicates(["__keep_id", "__keep_sha"]).select(*docs.columns)
+            .select(F.col("doc_id").alias(keep_id), F.col("text_sha256").alias(keep_sha)).distinct())
+    mine = docs.withColumn(sha, F.sha2(exact_dedup.normalised(F.col("text")), 256))
+    found = mine.join(keep, F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(sha) == F.col(keep_sha)))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # of rows that share id and text one stays, always the same one
+    one = found.groupBy(keep_id, keep_sha).agg(F.min_by(row, F.struct("text", F.sha2(F.to_json(row), 256))).alias(keep_id + "_row"))
+    return one.select(*[F.col(f"{keep_id}_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
-    groups = parity_join.jaccard_components(keyed, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id").distinct()
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))
-    keep = (keyed.select("doc_id", "__row").distinct().join(groups, "__row").groupBy("component_id").agg(first.alias("r"))
-            .select("r.__row"))
-    return keyed.join(keep, "__row", "left_semi").select(*docs.columns)
+    row = unused("row", docs)
+    keyed = docs.withColumn(row, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    groups = parity_join.jaccard_components(keyed, id_col=row).select(F.col("doc_id").alias(row), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row))
+    keep = (keyed.select("doc_id", row).distinct().join(groups, row).groupBy("component_id").agg(first.alias("first"))
+            .select(F.col(f"first.{row}").alias(row)))
+    return keyed.join(keep, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark, docs, sf_dir):
