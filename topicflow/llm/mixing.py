@@ -5,7 +5,7 @@ are turned into whole numbers of blocks by highest quotients (divisors 1, 3,
 5, ...), every source's seats are apportioned in the same way to its shards,
 and each shard takes whole passes over its blocks plus a seeded choice of the
 rest. A shard holds about ``shard_words`` words of one source (documents are
-dealt by a hash of their id), so a source that holds a third of all rows is
+dealt by a hash of their id and text, so rows of one id or of none spread too), so a source that holds a third of all rows is
 many shards, and no task sees more than one shard at a time.
 
 Edge cases: null text and text without words have size 0 and are taken 0
@@ -140,7 +140,8 @@ def prefix_words(x: np.ndarray, edges: np.ndarray, pick: np.ndarray) -> np.ndarr
 def sized(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", *more) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"),
                        F.col(id_col).isNull().alias("no_id"), F.col(source_col).cast("string").alias("source"),
-                       word_count(F.col(text_col)).alias("size"), *more)
+                       word_count(F.col(text_col)).alias("size"),
+                       F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("row_key"), *more)
 
 
 def plan(rows: DataFrame, block_words=BLOCK_WORDS, shard_words=SHARD_WORDS, weights=WEIGHTS, share=SHARE,
@@ -164,7 +165,7 @@ def plan(rows: DataFrame, block_words=BLOCK_WORDS, shard_words=SHARD_WORDS, weig
 def deal(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """Adds the shard of each row."""
     return (rows.join(cuts, F.col("source").eqNullSafe(F.col("q_source"))).drop("q_source")
-            .withColumn("shard", F.expr("pmod(xxhash64(doc_id), cuts)")).drop("cuts"))
+            .withColumn("shard", F.expr("pmod(row_key, cuts)")).drop("cuts"))
 
 
 def runs_of(pdf: pd.DataFrame, seed: int):
@@ -199,13 +200,13 @@ def take(seed: int):
 def placed(rows: DataFrame, cuts: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
     on = F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard"))
     return (deal(rows, cuts).join(quotas, on).drop("q_source", "q_shard", "shard")
-            .withColumn("order", F.expr(f"xxhash64({seed}L, doc_id, no_id)")))
+            .withColumn("order", F.expr(f"xxhash64({seed}L, row_key)")))
 
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed: int = SEED, **how) -> DataFrame:
     """What the mix takes: doc_id, size, source_size, target, taken."""
     rows = C.materialize(sized(docs, id_col, text_col, source_col), "sized")
-    return (placed(rows, *plan(rows, **how), seed).groupBy("shard_no").applyInPandas(take(seed), TAKEN)
+    return (placed(rows, *plan(rows, **how), seed).groupBy("shard_no").applyInPandas(C.lean_group(take(seed)), TAKEN)
             .select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "size", "source_size", "target",
                     "taken"))
 
@@ -221,7 +222,7 @@ def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_co
     cuts, quotas = plan(C.materialize(sized(docs, id_col, text_col, source_col), "sized"), **how)
     rows = sized(docs, id_col, text_col, source_col, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     out = T.StructType([T.StructField("row", rows.schema["row"].dataType)])
-    return (placed(rows, cuts, quotas, seed).groupBy("shard_no").applyInPandas(cut_texts(seed, text_col), out)
+    return (placed(rows, cuts, quotas, seed).groupBy("shard_no").applyInPandas(C.lean_group(cut_texts(seed, text_col)), out)
             .select(*[F.col(f"row.`{c}`").alias(c) for c in names]))
 
 
