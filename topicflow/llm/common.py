@@ -64,24 +64,40 @@ def tokenizer_path(name: str = WORD_PATH) -> str:
     return public_tokenizers.path(name)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    import ctypes
+    import gc
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):                  # not every C library can trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(run):
-    """A ``mapInArrow`` function that gives freed memory back to the system
-    when its task ends. Python workers are reused by later stages, which would
-    otherwise inherit the largest heap any earlier task had."""
+    """A ``mapInArrow`` function that gives freed memory back when its task
+    ends. Python workers are reused by later stages, which would otherwise
+    inherit the largest heap any earlier task had."""
     @functools.wraps(run)
     def task(batches):
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):          # not every C library can trim
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
     return task
 
 
+def lean_group(run):
+    """The same for the groups of ``applyInPandas``."""
+    @functools.wraps(run)
+    def group(pdf):
+        try:
+            return run(pdf)
+        finally:
+            give_back()
+    return group
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int):
     """Arrow batches of at most ``rows`` rows for the jobs run inside; for

@@ -26,6 +26,7 @@ from . import common as C
 from . import tokens as T
 
 CAPACITY = 4096
+SLICE = 4 << 20            # bytes of text handled at once
 END_ID = 1
 
 
@@ -106,8 +107,14 @@ PIECES = "no_id boolean, doc_id long, piece int, start long, length long, ids bi
 
 def cut(path: str, capacity: int, end_id: int):
     def run(batches):
+        try:
+            yield from pieces(batches)
+        finally:
+            T.encoder(path).forget()                         # the worker's next task may be another stage's
+
+    def pieces(batches):
         for batch in batches:
-            for b in T.slices(batch, 2):
+            for b in T.slices(batch, 2, SLICE):
                 ids, off = T.encode_with_end(path, b.column(2), end_id)
                 n = np.diff(off)
                 parts = -(-n // capacity)
@@ -129,7 +136,7 @@ def cut_pieces(docs: DataFrame, id_col="doc_id", text_col="text", capacity=CAPAC
     """Token pieces of every text: PIECES, ids as little-endian uint32."""
     rows = docs.select(F.col(id_col).isNull().alias("no_id"),
                        F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.col(text_col).alias("body"))
-    return rows.mapInArrow(cut(path or T.vocabulary(), capacity, end_id), PIECES)
+    return rows.mapInArrow(C.lean(cut(path or T.vocabulary(), capacity, end_id)), PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -153,7 +160,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rest = [f for f in pieces.schema.fields]
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", sequence_id long, `offset` long"
     names = [f.name for f in rest]
-    return ranked.select(*names, "__rank").mapInArrow(place(rows, names), out)
+    return ranked.select(*names, "__rank").mapInArrow(C.lean(place(rows, names)), out)
 
 
 def place(rows: np.ndarray, names: list[str]):

@@ -34,9 +34,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"       # Spark runs one task per core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
@@ -67,7 +67,7 @@ class Encoder:
             .dictionary_encode()
         names = coded.dictionary.to_pylist()
         if len(self.known) > CACHE_WORDS:
-            self._forget()
+            self.forget()
         new = [w for w in names if w not in self.known]
         if new:
             self._learn(new)

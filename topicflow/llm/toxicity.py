@@ -40,6 +40,7 @@ MIN_DOCS = 4               # labelled documents a feature must occur in
 RIDGE = 0.05
 LETTERS = 60               # letters of the trigram model; rarer ones share one symbol
 CACHE_WORDS = 400_000
+SLICE = 4 << 20            # bytes of text handled at once
 
 # What a sign may stand for, and how much less likely that is than itself (log).
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a",
@@ -226,7 +227,7 @@ def doc_words(text: pa.Array, known: dict, make, model: Trigrams):
 def count_trigrams(batches):
     total: dict[str, int] = {}
     for batch in batches:
-        for b in T.slices(batch, 0):
+        for b in T.slices(batch, 0, SLICE):
             words = pc.ascii_split_whitespace(pc.utf8_lower(b.column(0).fill_null("")))
             first = words.offsets[0].as_py()
             flat = words.values.slice(first, words.offsets[-1].as_py() - first)
@@ -283,7 +284,7 @@ def sample_words(model: Trigrams):
     def run(batches):
         known: dict = {}
         for batch in batches:
-            for b in T.slices(batch, 1):
+            for b in T.slices(batch, 1, SLICE):
                 values, pos, rows, extra, extra_rows = doc_words(b.column(1), known, lambda w: (w,), model)
                 mine: list[set] = [set() for _ in range(b.num_rows)]
                 for p, r in zip(pos.tolist(), rows.tolist()):
@@ -364,7 +365,7 @@ def score_texts(model: Trigrams, names: list[str], weights: np.ndarray):
 
     def run(batches):
         for batch in batches:
-            for b in T.slices(batch, 2):
+            for b in T.slices(batch, 2, SLICE):
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score(b.column(2)))],
                                                  ["doc_id", "held_out", "score"])
     return run
@@ -376,7 +377,7 @@ def keep_clean(model: Trigrams, names: list[str], weights: np.ndarray, column: i
 
     def run(batches):
         for batch in batches:
-            for b in T.slices(batch, column):
+            for b in T.slices(batch, column, SLICE):
                 yield b.filter(pa.array(score(b.column(column)) < 0.5))
     return run
 
