@@ -178,3 +178,17 @@ def test_mix(spark):
     assert all((r.doc_id, r.text) in whole or any(r.text in t for i, t in whole if i == r.doc_id and t) for r in out)
     assert mixing.mix(d.limit(0)).count() == 0 and mixing.mixed_documents(d.limit(0)).count() == 0
     assert {r.taken for r in mixing.mix(table(spark, [(1, None, "a"), (2, " ", "b")])).collect()} == {0}
+
+
+def test_rows_of_no_id_spread_over_shards(spark):
+    """A third of the rows without an id, and one id repeated with other texts:
+    no shard grows with them, and reruns agree."""
+    from pyspark.sql import functions as F
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " + "word " * 20, "s") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    sized = mixing.sized(docs).persist()
+    cuts, quotas = mixing.plan(sized, shard_words=1000)
+    sizes = [r.n for r in mixing.deal(sized, cuts).groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+    assert len(sizes) > 15 and max(sizes) < 3 * sum(sizes) / len(sizes)
+    a, b = (sorted(map(tuple, mixing.mix(d, shard_words=1000).collect()), key=str) for d in (docs, docs.repartition(5)))
+    assert a == b and len(a) == 1200
