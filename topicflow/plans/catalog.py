@@ -491,7 +491,7 @@ def q_report_text(spark, sf):
     rounded = report.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
     path = scratch_path(spark, "report")
     metrics.write_report(rounded, path)
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("i", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("i", "line"))
     return lines.select((F.col("i") + 1).alias("line_no"), "line")
 
 
@@ -990,7 +990,7 @@ def q_topic_pipeline(spark, sf):
 
 
 EPOCHS = epochs.EpochParams(epochs=4, batch_rows=64)
-PIECES = dict(merges=512, per_round=64)
+PIECES = dict(merges=192, per_round=96)
 
 
 def _encoded_split(spark, sf):
@@ -1019,7 +1019,8 @@ def q_dense_epochs(spark, sf):
     train, val, size, labels = _encoded_split(spark, sf)
     _, table, folder = epochs.train_epochs(train, val, size, labels, EPOCHS)
     preds = spark.read.parquet(f"{folder}/predictions")
-    hits = preds.groupBy("epoch", F.explode(F.array_distinct(F.array("y", "prediction"))).alias("k")).agg(
+    classes = preds.select("epoch", "y", "prediction", F.explode(F.array_distinct(F.array("y", "prediction"))).alias("k"))
+    hits = classes.groupBy("epoch", "k").agg(
         F.sum(((F.col("y") == F.col("prediction")) & (F.col("y") == F.col("k"))).cast("long")).alias("tp"), F.count(F.lit(1)).alias("any"))
     # a row counts once for a class it has or is given: F1 = 2 tp / (tp + any)
     again = hits.groupBy("epoch").agg(F.avg(2 * F.col("tp") / (F.col("tp") + F.col("any"))).alias("f1"))
