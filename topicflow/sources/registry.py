@@ -53,11 +53,16 @@ def latest_run_with_artifact(runs_df: DataFrame, artifact: str) -> DataFrame:
 
 def _claim(spark: SparkSession, path: str) -> bool:
     """Creates an empty file; false if it exists. The file system lets one
-    writer succeed."""
+    writer succeed (on a local one only the JDK's call is exclusive)."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p.getParent())
+    if fs.getScheme() == "file":
+        return jvm.java.io.File(p.toUri().getPath()).createNewFile()
     try:
-        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(p)
+        fs.create(p, False).close()
+        return True
     except Exception as e:
         if "FileAlreadyExists" in str(e):
             return False
@@ -66,8 +71,9 @@ def _claim(spark: SparkSession, path: str) -> bool:
 
 def register_version(spark: SparkSession, root: str, model: str, uri: str, run_id: str | None = None) -> int:
     """Append a new model version (next integer). The number is claimed by a
-    file of its own before the row is written, so writers that register at
-    once get different numbers; a writer that dies in between leaves a gap."""
+    file of its own before the row is written, and each row goes to a folder of
+    its own, so writers that register at once get different numbers and don't
+    meet; a writer that dies in between leaves a gap."""
     path = f"{root}/model_versions"
     cur = 0
     if existing_paths(spark, [path]):
@@ -76,7 +82,7 @@ def register_version(spark: SparkSession, root: str, model: str, uri: str, run_i
     version = cur + 1
     while not _claim(spark, f"{root}/version_claims/{model}/{version}"):
         version += 1
-    spark.createDataFrame([(model, version, uri, run_id)], VERSIONS_SCHEMA).write.mode("append").parquet(path)
+    spark.createDataFrame([(model, version, uri, run_id)], VERSIONS_SCHEMA).write.parquet(f"{path}/entry={uuid.uuid4().hex}")
     return version
 
 
