@@ -95,3 +95,31 @@ def test_texts(spark):
     assert set(S.encode_texts(docs.where("doc_id = 5"), other).first().ids) == {S.UNKNOWN, 2, 3}
     empty, _ = S.learn(S.word_counts(docs.where("doc_id = 2")), 5)
     assert empty == S.Subwords((), ())
+
+
+def test_texts_are_encoded_in_their_rows(spark):
+    """No row per word, no join: pieces as the naive version gives them, also
+    over slices, for unknown characters, null ids and rows of one id."""
+    draw = random.Random(3)
+    texts = [" ".join("".join(draw.choices("abcdeé漢", k=draw.randint(1, 9))) for _ in range(draw.randint(0, 40))) for _ in range(3 * S.SLICE_ROWS)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "abc de"), (7000, "abc abd"), (7000, "de bcd cab"), (7000, None)],
+                                 "doc_id long, text string").repartition(2)
+    model, words = S.learn(S.word_counts(docs), 30, 5, alphabet=6)
+
+    def spelt(text):
+        out = []
+        for w in text.split():
+            p = [c if i == 0 else "##" + c for i, c in enumerate(w)] if len(w) > 1 else []
+            for a, b in model.merges:
+                p = apply(p, a, b)
+            out += p
+        return out
+    number = {p: i + S.FIRST for i, p in enumerate(model.pieces)}
+    for length in (None, 5):
+        coded = S.encode_texts(docs, model, words, length)
+        assert "Join" not in (plan := coded._jdf.queryExecution().optimizedPlan().toString()) and "Generate" not in plan
+        got = {r.doc_id: r for r in coded.collect()}
+        assert len(got) == len(texts) + 2
+        for i, text in [*enumerate(texts), (None, "abc de"), (7000, "abc de abd bcd cab")]:
+            assert got[i].pieces == spelt(text)[:length] and got[i].ids == [number.get(p, S.UNKNOWN) for p in got[i].pieces]
+    assert any(S.UNKNOWN in r.ids for r in got.values())

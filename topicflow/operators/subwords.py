@@ -9,7 +9,8 @@ changed are taken apart again, and their difference is added.
 
 Encoding: known words look their pieces up; a word that was not seen is merged
 in the order the merges were learned. Both are JVM expressions over distinct
-words, joined back to the documents.
+words. Texts are encoded row by row: a task merges the different words of a few
+texts and lays their pieces out as arrays, so no word travels.
 
 The driver holds the merges and the alphabet (parameters bound both); words
 and pairs stay in tables.
@@ -22,15 +23,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from ..functions.tokens import encode_fixed, vectorizer_tokens
-from .common import broadcast_if_small, materialize
+from .common import materialize
 
 OPEN, CLOSE = "\x01", "\x02"             # around each piece; texts' tokens hold letters and digits only
 MARK = "##"                              # continuation
 PAD, UNKNOWN, FIRST = 0, 1, 2
+SLICE_ROWS = 64                          # texts encoded at once
+MOST_SEEN = 200_000                      # words whose pieces a task keeps
 
 
 @dataclass(frozen=True)
@@ -142,23 +148,75 @@ def decode(pieces) -> Column:
     return F.ltrim(F.replace(F.replace(F.concat(F.lit(" "), F.array_join(pieces, " ")), F.lit(" " + MARK), F.lit("")), F.lit("  "), F.lit(" ")))
 
 
+def _speller(model: Subwords, length: int | None):
+    """Task that turns rows of (doc, token lists) into pieces and ids: the
+    different words of a slice are merged once each, the rest is array work."""
+    names = ["", "", *model.pieces]                           # by id; pieces outside the vocabulary follow
+    merges = [_pair(a, b) for a, b in model.merges]
+
+    def spell(word: str, number: dict) -> list[int]:
+        s = "".join(f"{OPEN}{MARK if i else ''}{c}{CLOSE}" for i, c in enumerate(word))
+        for x, y in merges:
+            s = s.replace(x, y)
+        return [number.setdefault(p, len(number) + FIRST) for p in s.replace(OPEN, "").split(CLOSE)[:-1]]
+
+    def run(batches):
+        number = {p: i + FIRST for i, p in enumerate(model.pieces)}
+        seen: dict[str, list[int]] = {}
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE_ROWS):
+                b = batch.slice(k, SLICE_ROWS)
+                lists = b.column(1)
+                inner = lists.flatten()
+                per_list, per_row = np.diff(inner.offsets.to_numpy()), np.diff(lists.offsets.to_numpy())
+                list_at = np.concatenate([[0], np.cumsum(per_row)])
+                word_at = np.concatenate([[0], np.cumsum(per_list)])
+                words = inner.flatten().dictionary_encode()
+                spelt = []
+                for w in words.dictionary.to_pylist():
+                    if w not in seen:
+                        if len(seen) >= MOST_SEEN:
+                            seen.clear()
+                        seen[w] = spell(w, number)
+                    spelt.append(seen[w])
+                code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                known = names + list(number)[len(names) - FIRST:]
+                for r in np.flatnonzero(per_row > 1):         # an id's rows take turns, word by word
+                    one = [(j, [known[x] for x in spelt[c]], c) for i in range(list_at[r], list_at[r + 1])
+                           for j, c in enumerate(code[word_at[i]:word_at[i + 1]].tolist())]
+                    code[word_at[list_at[r]]:word_at[list_at[r + 1]]] = [c for _, _, c in sorted(one)]
+                size = np.array([len(x) for x in spelt], np.int64)
+                first = np.cumsum(size) - size
+                table = np.array([x for p in spelt for x in p], np.int64)
+                piece_at = np.concatenate([[0], np.cumsum(size[code])])
+                pieces = table[np.repeat(first[code] - piece_at[:-1], size[code]) + np.arange(piece_at[-1])]
+                row_at = piece_at[word_at[list_at]]
+                if length:
+                    pieces = pieces[np.arange(len(pieces)) - np.repeat(row_at[:-1], np.diff(row_at)) < length]
+                    row_at = np.concatenate([[0], np.cumsum(np.minimum(np.diff(row_at), length))])
+                ids = np.where(pieces < len(names), pieces, UNKNOWN).astype(np.int32)
+                texts = pa.array(known, pa.string()).take(pa.array(pieces))
+                off = pa.array(row_at.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(off, texts), pa.ListArray.from_arrays(off, pa.array(ids))],
+                                                 [b.schema.names[0], "pieces", "ids"])
+    return run
+
+
 def encode_texts(docs: DataFrame, model: Subwords, known: DataFrame | None = None, length: int | None = None, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """(doc, pieces, ids) of each text in order, at most ``length`` pieces. A
-    word has a piece at least, so only the first ``length`` words are joined."""
-    toks = vectorizer_tokens(text_col)
-    toks = docs.select(id_col, (F.slice(toks, 1, length) if length else toks).alias("t"))
-    flat = toks.select(id_col, F.posexplode_outer("t").alias("pos", "word"))
-    table = encode_words(flat.where(F.col("word").isNotNull()).select("word").distinct(), model, known)
-    parts = table.select("word", F.posexplode("pieces").alias("i", "piece"))
-    ids = broadcast_if_small(piece_ids(docs.sparkSession, model))                                   # the vocabulary
-    coded = (parts.join(ids, "piece", "left").groupBy("word").agg(
-        F.array_sort(F.collect_list(F.struct("i", "piece", F.coalesce("id", F.lit(UNKNOWN)).alias("id")))).alias("c"))
-        .select("word", F.transform("c", lambda x: x["piece"]).alias("pieces"), F.transform("c", lambda x: x["id"]).alias("ids")))
-    met = flat.join(coded, "word", "left").groupBy(id_col).agg(F.array_sort(F.collect_list(
-        F.when(F.col("word").isNotNull(), F.struct("pos", "pieces", "ids")))).alias("p"))
-    out = met.select(id_col, F.flatten(F.transform("p", lambda x: x["pieces"])).alias("pieces"), F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
-    return out.select(id_col, F.slice("pieces", 1, length).alias("pieces"), F.slice("ids", 1, length).alias("ids")) if length else out
+    word has a piece at least, so only the first ``length`` words are read.
+    Each text is encoded in its own row; ``known`` spellings are what the merges
+    give, so no word is looked up in another table. Rows of one id become one
+    row, their words in turn."""
+    def toks(c):
+        t = vectorizer_tokens(c)
+        return F.slice(t, 1, length) if length else t
+    texts = docs.select(F.col(id_col), F.col(text_col).alias("_s")).groupBy(id_col).agg(F.collect_list("_s").alias("_s"))
+    lists = texts.select(id_col, F.transform("_s", toks).alias("t"))
+    schema = Ty.StructType([lists.schema[id_col], Ty.StructField("pieces", Ty.ArrayType(Ty.StringType())),
+                            Ty.StructField("ids", Ty.ArrayType(Ty.IntegerType()))])
+    return lists.mapInArrow(_speller(model, length), schema)
 
 
 def encode_padded(docs: DataFrame, model: Subwords, length: int, known: DataFrame | None = None, id_col: str = "doc_id",
