@@ -109,3 +109,42 @@ def test_held_out_labels(spark):
         .where("held_out").toPandas()
     good, bad = got[got.quality == 1].score.to_numpy(), got[got.quality == 0].score.to_numpy()
     assert (good[:, None] > bad[None]).mean() > 0.97 and (got.predicted == got.quality).mean() > 0.95
+
+
+def test_model_counts_every_labelled_row(spark, monkeypatch):
+    """20,400 labelled rows, few of label 0: all are counted, over many blocks."""
+    import zlib
+    from pyspark.sql import functions as F
+    bad, n = 300, 25_500
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.expr(
+        f"concat('the old bridge ', repeat('and hill ', cast(id % 9 as int)), cast(id % 5000 as string), if(id < {bad}, ' %%% @@ %%', ' road'))").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") >= bad).cast("int").alias("quality"))
+    seen, place = [], Q.Ranking.place
+    monkeypatch.setattr(Q.Ranking, "place", lambda self, aside, y, count: (seen.append((y, count)), place(self, aside, y, count))[1])
+    got = Q.scores(docs, labels).toPandas()
+    fitted = [k for k in range(n) if zlib.crc32(str(k).encode()) % 5]
+    y, count = seen[0]
+    assert count.sum() == len(fitted) > 20_000 and count[y == 0].sum() == sum(k < bad for k in fitted)
+    assert (got.predicted == (got.doc_id >= bad)).mean() > 0.99
+
+
+def test_blocks_hold_both_labels(spark):
+    from pyspark.sql import functions as F
+    from topicflow.llm import common as C
+    rows = spark.range(1000).select("id", (F.col("id") < 30).cast("long").alias("y"))
+    got = C.deal(rows, F.col("y"), F.xxhash64("id"), {0: 970, 1: 30}, 50, 10).toPandas()
+    assert (got[got.y == 0].groupby("id").size() == 1).all() and set(got.id) == set(range(1000)) and set(got.block) == set(range(20))
+    assert (got[got.y == 1].groupby("id").block.nunique() == 7).all() and got[got.y == 1].groupby("block").size().min() >= 3
+
+
+def test_steps_of_blocks_are_those_of_arrays(spark):
+    """One block: the jobs find the minimum that arrays give."""
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(200, len(Q.FEATURES)))
+    y = (x[:, 0] - x[:, 1] + draw.logistic(size=200) > 0).astype(int)
+    model = Q.Ranking.of(np.zeros(x.shape[1]), np.ones(x.shape[1]))
+    rows = [{"h": k, "y": int(y[k]), "n": 1, "fold": k % 5, "x": x[k].tolist()} for k in range(200)]
+    blocks = spark.createDataFrame([(rows,)], "rows array<struct<h:long,y:long,n:long,fold:long,x:array<double>>>")
+    got = Q.fit_blocks(blocks, model)
+    want = Q.fit_strengths(x, y, Q.PER_ROW * max(y.sum(), 200 - y.sum()))
+    assert len(got) == 6 and np.abs(got[5] - want).max() < 1e-5

@@ -111,6 +111,19 @@ def small_batches(spark: SparkSession, rows: int):
         spark.conf.set(name, old)
 
 
+def deal(rows: DataFrame, label, code, sizes: dict, block: int, least: int) -> DataFrame:
+    """Rows of two labels with a ``block`` each, dealt by the hash ``code``:
+    about ``block`` rows of the commoner label in one, and at least about
+    ``least`` of the rarer one (or all), whose rows are in several blocks then.
+    ``copy`` numbers the blocks of a row. ``sizes``: rows of each label."""
+    rare = min(sizes, key=lambda k: (sizes[k], k))
+    blocks = max(1, -(-max(sizes.values()) // block))
+    copies = min(blocks, max(1, -(-blocks * least // max(1, sizes[rare]))))
+    own = F.explode(F.sequence(F.lit(0), F.when(label == rare, copies - 1).otherwise(0)))
+    return (rows.withColumn("copy", own)
+            .withColumn("block", F.pmod(F.pmod(code, F.lit(blocks)) + F.col("copy"), F.lit(blocks)).cast("int")))
+
+
 def binary_array(data, offsets) -> pa.Array:
     """Binary column from one buffer and int64 offsets (no copy per row)."""
     import numpy as np

@@ -1,19 +1,23 @@
 """Document quality by Bradley-Terry pairwise ranking.
 
 1. Every text is described by numbers of its letters, signs, words and lines.
-2. From a bounded sample of labelled rows come preference pairs (a row of
-   label 1 is preferred to one of label 0, pairs drawn by a seed). The
-   Bradley-Terry model says the preferred one wins with the logistic function
-   of the difference of two scores; with scores linear in the features this is
-   a ridge logistic loss on feature differences, solved by Newton steps.
-3. Scores of rows left out of a fold's fit give the level of the score
+2. Preference pairs (a row of label 1 is preferred to one of label 0) are drawn
+   among all labelled rows: equal descriptions are one row with their count as
+   weight, rows are dealt into blocks by a hash, and every row meets PER_ROW
+   rows of the other label in its block (rows of the rarer label are in several
+   blocks, so that no block lacks them). The Bradley-Terry model says the
+   preferred one wins with the logistic function of the difference of two
+   scores; with scores linear in the features this is a ridge logistic loss on
+   feature differences, solved by Newton steps whose sums are Spark jobs.
+3. Scores of rows left out of a fold's fit, counted for all labelled rows in
+   steps of 1 / STEPS of the weights' length, give the level of the score
    quantile below which texts are of low quality (the level with the fewest
    errors, both labels weighing the same) and the slope by which scores become
    probabilities. The quantile itself is the probability THRESHOLD.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0;
-labels, lang, source and doc_id are never inputs of a score. TRAIN_ROWS bounds
-the labelled rows and PAIRS the pairs; scores cover all rows and whole texts.
+labels, lang, source and doc_id are never inputs of a score. All labelled rows
+are learned from; scores cover all rows and whole texts.
 
 Edge cases: null and empty texts have all features 0; a null doc_id counts as
 the empty text in the crc; of several labels of one id the least counts, null
@@ -32,8 +36,12 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import tokens as T
 
-TRAIN_ROWS = 20_000        # labelled rows the model may be fitted on
-PAIRS = 200_000            # preference pairs drawn from them
+PAIRS = 200_000            # most pairs of a fit on arrays
+PER_ROW = 10               # pairs of each row of a block's commoner label
+BLOCK = 2048               # rows of the commoner label in a block
+LEAST = 256                # rows of the rarer label in a block, if there are as many
+STEPS = 4096               # counted steps of a score
+BLOCKS_READ = 8            # blocks of an Arrow batch
 RIDGE = 1e-3
 FOLDS = 5
 THRESHOLD = 0.3            # probability of the quantile that parts the labels
@@ -139,54 +147,82 @@ def draw_pairs(y: np.ndarray, most: int, seed: int = SEED) -> tuple[np.ndarray,
     return good[draw.permutation(n) % len(good)], bad[draw.permutation(n) % len(bad)]
 
 
+class Newton:
+    """Damped Newton steps to a minimum: ``take`` gets the mean loss, gradient
+    and Hessian at ``at`` and chooses the next place to ask for."""
+
+    def __init__(self, width: int, ridge: float = RIDGE):
+        self.w = self.at = np.zeros(width)
+        self.ridge, self.now, self.rate, self.done = ridge, np.inf, 1.0, False
+
+    def take(self, loss: float, gradient: np.ndarray, hessian: np.ndarray) -> None:
+        loss = loss + self.ridge / 2 * self.at @ self.at
+        if loss > self.now and self.rate > 1e-6:
+            self.rate /= 2
+        else:
+            gain, self.w, self.now = self.now - loss, self.at, loss
+            self.move = np.linalg.solve(hessian + self.ridge * np.eye(len(self.w)), gradient + self.ridge * self.w)
+            self.rate, self.done = 1.0, gain < 1e-12
+        self.at = self.w if self.done else self.w - self.rate * self.move
+
+
+def pair_sums(d: np.ndarray, weight: np.ndarray, w: np.ndarray):
+    """Weighted sums of log(1 + exp(-d w)), its gradient and its Hessian."""
+    z = d @ w
+    p = 1 / (1 + np.exp(np.clip(z, -500, 500)))
+    return (weight * np.logaddexp(0, -z)).sum(), -(d.T @ (weight * p)), (d * (weight * p * (1 - p))[:, None]).T @ d
+
+
 def fit_strengths(x: np.ndarray, y: np.ndarray, most: int = PAIRS, ridge: float = RIDGE, steps: int = 50) -> np.ndarray:
     """Weights that minimise the mean of log(1 + exp(-(x_win - x_lose) w))
     plus ridge / 2 * |w|^2, by damped Newton steps."""
     win, lose = draw_pairs(y, most)
     d = x[win] - x[lose]
-    w = np.zeros(x.shape[1])
-
-    def loss(v):
-        return np.logaddexp(0, -(d @ v)).mean() + ridge / 2 * v @ v
-    now = loss(w)
+    fit = Newton(x.shape[1], ridge)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
-        gradient = -(d.T @ p) / len(d) + ridge * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
-        move, rate = np.linalg.solve(hessian, gradient), 1.0
-        while rate > 1e-6 and loss(w - rate * move) > now:
-            rate /= 2
-        w, before = w - rate * move, now
-        now = loss(w)
-        if before - now < 1e-12:
+        fit.take(*pair_sums(d, np.full(len(d), 1 / len(d)), fit.at))
+        if fit.done:
             break
-    return w
+    return fit.w
 
 
-def level_of(score: np.ndarray, y: np.ndarray) -> float:
+def level_of(score: np.ndarray, y: np.ndarray, count: np.ndarray | None = None) -> float:
     """Quantile level that parts the labels with the least balanced error;
-    the median of the levels that do equally well."""
+    the median of the levels that do equally well. ``count``: rows of each score."""
+    count = np.ones(len(score)) if count is None else count
     order = np.argsort(score, kind="stable")
-    s, t = score[order], y[order]
-    wrong = np.concatenate([[0], np.cumsum(t == 1)]) / (t == 1).sum() + 1 - np.concatenate([[0], np.cumsum(t == 0)]) / (t == 0).sum()
+    s, good, bad = score[order], (count * (y == 1))[order], (count * (y == 0))[order]
+    wrong = np.concatenate([[0], np.cumsum(good)]) / good.sum() + 1 - np.concatenate([[0], np.cumsum(bad)]) / bad.sum()
     ends = np.concatenate([[True], s[1:] > s[:-1], [True]])   # ties can't be parted
     wrong = np.where(ends, wrong, np.inf)
     best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
-    return float(best[len(best) // 2] / len(s))
+    return float((good + bad)[:best[len(best) // 2]].sum() / count.sum())
 
 
-def slope_of(score: np.ndarray, y: np.ndarray, at: float) -> float:
+def quantile_of(score: np.ndarray, count: np.ndarray, level: float) -> float:
+    """Middle between the last score of the share ``level`` and the next one."""
+    order = np.argsort(score, kind="stable")
+    s, below = score[order], np.cumsum(count[order])
+    k = int(np.searchsorted(below, level * below[-1] - 1e-6 * count.min()))
+    last = level > 0 and k + 1 < len(s) and below[k] <= level * below[-1] + 0.5 * count.min()
+    return float((s[k] + s[k + 1]) / 2 if last else s[k])
+
+
+def slope_of(score: np.ndarray, y: np.ndarray, at: float, count: np.ndarray | None = None) -> float:
     """Slope of the logistic curve through THRESHOLD at ``at`` that fits best."""
+    count = np.ones(len(score)) if count is None else count
     side = np.log(THRESHOLD / (1 - THRESHOLD))
-    spread = max(score.std(), 1e-9)
+    mean = np.average(score, weights=count)
+    spread = max(np.sqrt(np.average((score - mean) ** 2, weights=count)), 1e-9)
     tried = np.geomspace(0.1, 30, 40) / spread
     sign = np.where(y == 1, -1.0, 1.0)
-    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    weight = count * np.where(y == 1, 0.5 / count[y == 1].sum(), 0.5 / count[y == 0].sum())
     return float(min(tried, key=lambda a: (weight * np.logaddexp(0, sign * (a * (score - at) + side))).sum()))
 
 
 class Ranking:
-    """Standardised features, strengths, and the map to probabilities."""
+    """Standardised features, strengths, and the map to probabilities; from
+    arrays, or with ``of`` from what the jobs below found."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, most: int = PAIRS):
         self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
@@ -197,9 +233,18 @@ class Ranking:
             if len(set(y[fold != k])) == 2:
                 aside[fold == k] = z[fold == k] @ fit_strengths(z[fold != k], y[fold != k], most)
         self.weights = fit_strengths(z, y, most)
-        aside = np.where(np.isnan(aside), z @ self.weights, aside)
-        self.at = float(np.quantile(aside, level_of(aside, y)))
-        self.slope = slope_of(aside, y, self.at)
+        self.place(np.where(np.isnan(aside), z @ self.weights, aside), y, np.ones(len(y)))
+
+    @classmethod
+    def of(cls, mean: np.ndarray, scale: np.ndarray) -> "Ranking":
+        r = cls.__new__(cls)
+        r.mean, r.scale = mean, scale
+        return r
+
+    def place(self, aside: np.ndarray, y: np.ndarray, count: np.ndarray) -> None:
+        """Level and slope from scores of rows left out of the fit."""
+        self.at = quantile_of(aside, count, level_of(aside, y, count))
+        self.slope = slope_of(aside, y, self.at, count)
 
     def standard(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -8, 8)
@@ -221,19 +266,97 @@ class Constant:
 
 # --- 3. Spark jobs
 
+DESCRIBED = "doc_id long, held_out boolean, x array<double>"
+
 
 def feature_batches(batches):
     for batch in batches:
-        for b in T.slices(batch, 1):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(describe(b.column(1))), pa.list_(pa.float64()))], ["y", "x"])
+        for b in T.slices(batch, 2):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(describe(b.column(2))), pa.list_(pa.float64()))],
+                                             ["doc_id", "held_out", "x"])
+
+
+def matrix(lists: pa.Array) -> np.ndarray:
+    """Rows of features of a column of lists."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), len(FEATURES))
 
 
 def score_batches(model):
     def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.score(matrix(b.column(2))), pa.float64())],
+                                             ["doc_id", "held_out", "score"])
+    return run
+
+
+def moments(batches):
+    """Sums of the count, the features and their squares of a task's rows."""
+    total = np.zeros(1 + 2 * len(FEATURES))
+    for b in batches:
+        x, n = matrix(b.column(0)), b.column(1).to_numpy().astype(float)
+        total += np.concatenate([[n.sum()], n @ x, n @ (x * x)])
+    yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["sums"])
+
+
+def block_sums(model: Ranking, places: dict[int, np.ndarray]):
+    """Of the pairs of a task's blocks: weight, loss, gradient and Hessian at
+    each fit's place. Fit k leaves the rows of fold k out, fit FOLDS none."""
+    def run(batches):
+        total = None
         for batch in batches:
-            for b in T.slices(batch, 2):
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.score(describe(b.column(2))))],
-                                                 ["doc_id", "held_out", "score"])
+            for block in batch.column(0):
+                r = block.values
+                order = np.argsort(r.field("h").to_numpy(), kind="stable")
+                y, n, fold = (r.field(c).to_numpy()[order] for c in ("y", "n", "fold"))
+                if len(set(y.tolist())) < 2:
+                    continue
+                z = model.standard(matrix(r.field("x")))[order]
+                win, lose = draw_pairs(y, PER_ROW * int(max((y == 1).sum(), (y == 0).sum())))
+                d, weight = z[win] - z[lose], n[win].astype(float) * n[lose]
+                sums = []
+                for k, w in places.items():
+                    use = (fold[win] != k) & (fold[lose] != k)
+                    loss, gradient, hessian = pair_sums(d[use], weight[use], w)
+                    sums += [[weight[use].sum(), loss], gradient, hessian.ravel()]
+                total = np.concatenate(sums) + (0 if total is None else total)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["sums"])
+    return run
+
+
+def added(partial: DataFrame) -> np.ndarray:
+    """Sums of the tasks' ``sums``, place by place."""
+    rows = partial.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+    return np.array([r["v"] for r in sorted(rows)])
+
+
+def fit_blocks(blocks: DataFrame, model: Ranking, steps: int = 50) -> list[np.ndarray]:
+    """Weights of every fit, FOLDS without a fold each and one of all rows;
+    one job over all blocks gives a step of every fit."""
+    width = len(FEATURES)
+    fits = {k: Newton(width) for k in range(FOLDS + 1)}
+    for _ in range(steps):
+        open_ = {k: f for k, f in fits.items() if not f.done}
+        if not open_:
+            break
+        sums = added(blocks.mapInArrow(block_sums(model, {k: f.at for k, f in open_.items()}), "sums array<double>"))
+        for f, part in zip(open_.values(), sums.reshape(len(open_), -1)):
+            if part[0] > 0:
+                mean = part[1:] / part[0]
+                f.take(mean[0], mean[1:1 + width], mean[1 + width:].reshape(width, width))
+            else:                                            # no pair without this fold: the fit of all rows serves
+                f.done, f.w = True, None
+    whole = fits[FOLDS].w
+    return [np.round(whole if f.w is None else f.w, 9) for f in fits.values()]      # sums come in any order
+
+
+def aside_steps(model: Ranking, weights: list[np.ndarray], step: float):
+    """Steps of the scores of rows, each by the fit that left its fold out."""
+    def run(batches):
+        own = np.stack(weights[:FOLDS])
+        for b in batches:
+            s = (model.standard(matrix(b.column(0))) * own[b.column(2).to_numpy()]).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.round(s / step).astype(np.int64)), b.column(3), b.column(1)], ["at", "y", "n"])
     return run
 
 
@@ -241,26 +364,39 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, pairs: int = PAIRS) -> Ranking | Constant:
+def train(described: DataFrame, labels: DataFrame) -> Ranking | Constant:
+    """From all labelled rows of a written table of DESCRIBED."""
     lab = (labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
-           .groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min((F.col("quality") > 0).cast("long")).alias("y"))
-           .orderBy(F.xxhash64("__id"), "__id").limit(train_rows))
-    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("body"))
-    found = texts.join(F.broadcast(C.materialize(lab, "labelled")), "__id").select("y", "body")          # train_rows at most
-    rows = C.materialize(found.mapInArrow(feature_batches, "y long, x array<double>"), "features")
-    got = rows.orderBy(F.xxhash64("x"), "y").limit(train_rows).collect()       # ids may repeat: bounded again
-    y = np.array([r["y"] for r in got], np.int64)
-    if len(set(y.tolist())) < 2:
-        return Constant(float(y.mean()) if len(y) else 0.0)
-    return Ranking(np.array([r["x"] for r in got]), y, pairs)
-
-
-def scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+           .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min((F.col("quality") > 0).cast("long")).alias("y")))
+    rows = C.materialize(described.join(lab, "doc_id").groupBy("x", "y").agg(F.count("*").alias("n"))
+                         .withColumn("fold", F.expr(f"pmod(xxhash64(x, {SEED}), {FOLDS})")), "labelled")
+    of = {r["y"]: r for r in rows.groupBy("y").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
+    if len(of) < 2:
+        return Constant(float(max(of, default=0)))
+    sums = added(rows.select("x", "n").mapInArrow(moments, "sums array<double>"))
+    mean, square = np.split(sums[1:] / sums[0], 2)
+    model = Ranking.of(mean, np.maximum(np.sqrt(np.maximum(square - mean ** 2, 0)), 1e-6))
+    dealt = C.deal(rows.withColumn("h", F.xxhash64("x", "y")), F.col("y"), F.xxhash64("x"), {k: r["rows"] for k, r in of.items()},
+                   BLOCK, LEAST)
+    with C.small_batches(rows.sparkSession, BLOCKS_READ):
+        blocks = C.materialize(dealt.groupBy("block").agg(F.collect_list(F.struct("h", "y", "n", "fold", "x")).alias("rows"))
+                               .select("rows"), "blocks")
+        weights = fit_blocks(blocks, model)
+    model.weights = weights[FOLDS]
+    step = max(max(np.linalg.norm(w) for w in weights), 1e-9) / STEPS      # features are clipped: at most 36 * 2 * STEPS steps
+    got = (rows.select("x", "n", "fold", "y").mapInArrow(aside_steps(model, weights, step), "at long, y long, n long")
+           .groupBy("at", "y").agg(F.sum("n").alias("n")).orderBy("at", "y").collect())
+    at, y, n = (np.array([r[k] for r in got], float) for k in range(3))
+    model.place(at * step, y, n)
+    return model
+
+
+def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
-    model = train(docs, labels, train_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"),
                        F.col("text").cast("string").alias("body"))
-    out = rows.mapInArrow(score_batches(model), "doc_id long, held_out boolean, score double")
+    described = C.materialize(rows.mapInArrow(feature_batches, DESCRIBED), "described")
+    out = described.mapInArrow(score_batches(train(described, labels)), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
