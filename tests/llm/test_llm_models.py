@@ -142,6 +142,28 @@ def test_sample_holds_each_window_once(spark):
     assert sorted(t for t, _, _ in seen[0][0]) == sorted(f"a {h} b" for h in hexes) and seen[0][1] == []
 
 
+def test_network_learns_from_every_window(spark, monkeypatch):
+    """More windows than a block holds: each is in a block, and each held-out one is counted once."""
+    rnd = random.Random(5)
+    texts = [f"a token = {rnd.getrandbits(128):032x} b {i}" for i in range(60)]
+    texts += ["see " + "".join(rnd.choice(["lo", "rem", "ip", "sum", "dol"]) for _ in range(9)) + f" there {i}" for i in range(240)]
+    rows = table(spark, list(enumerate(texts))).select("doc_id", "text").mapInArrow(secrets.scan, secrets.SCAN)
+    want = {f: n for f, n in secrets.different(rows).groupBy("found").count().collect()}
+    seen, put, settle = [], secrets.C.materialize, secrets.Network.settle
+    monkeypatch.setattr(secrets, "LEAST", 10)
+    monkeypatch.setattr(secrets.C, "materialize", lambda df, name: (seen.append(put(df, name)), seen[-1])[1])
+    monkeypatch.setattr(secrets.Network, "settle", lambda self, counts: (seen.append(counts), settle(self, counts))[1])
+    net = secrets.fit(rows, 40)
+    held = [r for b in seen[1].collect() for r in b["rows"]]
+    assert seen[1].count() == -(-max(want.values()) // 40) > 5
+    for f, n in want.items():
+        assert len({(r["t"], r["a"], r["b"]) for r in held if r["found"] == f}) == n
+    assert sum(seen[2]["found"].values()) == len({r["h"] for r in held if r["found"] and r["aside"]}) > 0
+    key = "".join(rnd.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789") for _ in range(40))
+    z = net.logits(*secrets.codes(secrets.windows(f"see {key} there", 4, 44)[:1] + secrets.windows(texts[-1], 4, 20)[:1]))
+    assert z[0] > z[1]
+
+
 def test_runs_covered_in_part_are_candidates(spark):
     hexes = "0123456789abcdef" * 2
     text = f"x KEYZZ{hexes}QWERTYUIOP and {hexes} and mytoken={hexes} and QWERTYUIOPASDFGH"

@@ -324,12 +324,6 @@ def block_sums(model: Ranking, places: dict[int, np.ndarray]):
     return run
 
 
-def added(partial: DataFrame) -> np.ndarray:
-    """Sums of the tasks' ``sums``, place by place."""
-    rows = partial.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
-    return np.array([r["v"] for r in sorted(rows)])
-
-
 def fit_blocks(blocks: DataFrame, model: Ranking, steps: int = 50) -> list[np.ndarray]:
     """Weights of every fit, FOLDS without a fold each and one of all rows;
     one job over all blocks gives a step of every fit."""
@@ -339,7 +333,7 @@ def fit_blocks(blocks: DataFrame, model: Ranking, steps: int = 50) -> list[np.nd
         open_ = {k: f for k, f in fits.items() if not f.done}
         if not open_:
             break
-        sums = added(blocks.mapInArrow(block_sums(model, {k: f.at for k, f in open_.items()}), "sums array<double>"))
+        sums = C.added(blocks.mapInArrow(block_sums(model, {k: f.at for k, f in open_.items()}), "sums array<double>"))
         for f, part in zip(open_.values(), sums.reshape(len(open_), -1)):
             if part[0] > 0:
                 mean = part[1:] / part[0]
@@ -373,7 +367,7 @@ def train(described: DataFrame, labels: DataFrame) -> Ranking | Constant:
     of = {r["y"]: r for r in rows.groupBy("y").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
     if len(of) < 2:
         return Constant(float(max(of, default=0)))
-    sums = added(rows.select("x", "n").mapInArrow(moments, "sums array<double>"))
+    sums = C.added(rows.select("x", "n").mapInArrow(moments, "sums array<double>"))
     mean, square = np.split(sums[1:] / sums[0], 2)
     model = Ranking.of(mean, np.maximum(np.sqrt(np.maximum(square - mean ** 2, 0)), 1e-6))
     dealt = C.deal(rows.withColumn("h", F.xxhash64("x", "y")), F.col("y"), F.xxhash64("x"), {k: r["rows"] for k, r in of.items()},

@@ -7,16 +7,20 @@ in several, the highest counts). It is trained on labelled findings: rule
 findings against candidates that no rule touches, with the keyword hidden in
 half of the positives. As rules find keys of few shapes, keys of other shapes
 are planted in the surroundings of other candidates, and candidates that look
-random are no negatives. A held-out part of the sample calibrates the scores
+random are no negatives. A held-out part of the windows calibrates the scores
 (Platt) and sets the threshold: the highest one that keeps RECALL of held-out
 findings and of each of several shapes never fitted on. Candidates at or above it become spans
 of kind ``cnn``; base spans always stay.
 
-FIT_ROWS bounds the sample of different windows the network is fitted on, per
-label, in a fixed order of hashes; scanning covers every candidate of every whole text.
+The network is fitted on every different window. Up to FIT_ROWS a label they
+are one block; more are dealt into blocks by a hash (windows of the rarer label
+into several, so that no block lacks them). In each epoch every block takes the
+network of the epoch before through its own windows, and the networks of all
+blocks are averaged by their windows. Logits are numbers of 1 / STEPS, so the
+held-out windows of all blocks are counted by logit for the threshold.
 
 Edge cases: null text is empty; without findings or without other candidates
-in the sample nothing is added; repeated rows are scanned each; a null doc_id
+nothing is added; repeated rows are scanned each; a null doc_id
 is passed through; an empty table gives an empty result; other columns are not
 read. Offsets count code points, ends are exclusive.
 """
@@ -42,7 +46,11 @@ KINDS = ("assign", "access", "hex", "cnn")
 
 BEFORE, BODY, AFTER = 24, 48, 16
 WINDOW = BEFORE + BODY + AFTER
-FIT_ROWS = 2000            # candidates of each label the network is fitted on
+FIT_ROWS = 2000            # windows of the commoner label in a block
+LEAST = 400                # windows of the rarer label in a block, if there are as many
+STEPS = 1024               # logits are whole numbers of 1 / STEPS, at most LIMIT
+LIMIT = 30
+BLOCKS_READ = 8            # blocks of an Arrow batch
 RECALL = 0.95
 FILTERS, WIDTH, EMBED = 24, 5, 8
 EPOCHS, RATE, SEED = 6, 0.01, 7
@@ -163,23 +171,46 @@ class Network:
                     self.p[k] -= (rate * (m[k] / (1 - 0.9 ** t)) / (np.sqrt(s[k] / (1 - 0.999 ** t)) + 1e-8)).astype(np.float32)
 
     def logits(self, x, inside) -> np.ndarray:
-        return np.concatenate([self.forward(x[i:i + 256], inside[i:i + 256])[0] for i in range(0, len(x), 256)] or [np.zeros(0)])
+        z = np.concatenate([self.forward(x[i:i + 256], inside[i:i + 256])[0] for i in range(0, len(x), 256)] or [np.zeros(0)])
+        return np.round(np.clip(z, -LIMIT, LIMIT) * STEPS) / STEPS
 
-    def calibrate(self, z: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
-        """Platt scaling by Newton steps, then the threshold."""
+    def calibrate(self, z: np.ndarray, y: np.ndarray, n: np.ndarray) -> None:
+        """Platt scaling by Newton steps; ``n`` windows of each logit."""
         a, c = 1.0, 0.0
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a * z + c, -30, 30)))
-            w = p * (1 - p) + 1e-6
-            g = np.array([((p - y) * z).sum() + 1e-3 * (a - 1), (p - y).sum() + 1e-3 * c])
+            w = n * (p * (1 - p) + 1e-6)
+            g = np.array([(n * (p - y) * z).sum() + 1e-3 * (a - 1), (n * (p - y)).sum() + 1e-3 * c])
             h = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
             step = np.linalg.solve(h, g)
             a, c = a - step[0], c - step[1]
             if np.abs(step).max() < 1e-6:
                 break
         self.scale, self.shift = float(max(a, 1e-3)), float(c)
-        p = np.sort(self.probability(z[y > 0]))
-        self.threshold = float(p[int(np.floor((1 - recall) * len(p)))]) if len(p) else 2.0
+
+    def settle(self, counts: dict[str, dict[float, int]], recall: float = RECALL) -> None:
+        """Calibration and threshold from held-out windows counted by logit:
+        the sides that must be found, and "clean"."""
+        rows = [(z, side != "clean", n) for side, part in sorted(counts.items()) for z, n in sorted(part.items())]
+        z, y, n = (np.array(c, float) for c in zip(*rows))
+        self.calibrate(z, y, n)
+        lowest = []
+        for side, part in counts.items():
+            if side != "clean" and part:
+                at, n = np.array(sorted(part)), np.array([part[k] for k in sorted(part)])
+                lowest.append(at[np.searchsorted(np.cumsum(n), np.floor((1 - recall) * n.sum()), side="right")])
+        self.threshold = float(self.probability(np.array([min(lowest)]))[0]) if lowest else 2.0
+
+    def pack(self) -> np.ndarray:
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)]).astype(np.float64)
+
+    def unpack(self, flat: np.ndarray) -> "Network":
+        at = 0
+        for k in sorted(self.p):
+            v = self.p[k]
+            self.p[k] = flat[at:at + v.size].reshape(v.shape).astype(np.float32)
+            at += v.size
+        return self
 
     def probability(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
@@ -214,34 +245,51 @@ def looks_random(s: str) -> bool:
     return len(kinds) >= 12 and turns >= 0.25 * (len(kinds) - 1)
 
 
+def sides_of(found: list, other: list, aside_found: list, aside_other: list, seed: int = SEED):
+    """What a block's windows give: positives and negatives to fit on, and the
+    held-out sides. Keys of FIT_SHAPES are planted in the surroundings of other
+    candidates to be fitted on, keys of HELD_SHAPES in held-out ones."""
+    draw = np.random.default_rng(seed)
+
+    def plain(part):
+        return [w for w in part if not looks_random(w[0][w[1]:w[2]])]
+
+    def hidden(part):
+        return [(t[a:], 0, b - a) if i % 2 else (t, a, b) for i, (t, a, b) in enumerate(part)]
+    drawn = [planted(w, draw_key(FIT_SHAPES[i % len(FIT_SHAPES)], draw)) for i, w in enumerate(other * (1 + 400 // max(1, len(other))))]
+    sides = {"found": hidden(aside_found), "clean": plain(aside_other) or aside_other}
+    for k, shape in enumerate(HELD_SHAPES):
+        sides[str(k)] = [planted(w, draw_key(shape, draw)) for w in aside_other * (1 + 100 // max(1, len(aside_other)))]
+    return hidden(found) + drawn, plain(other) or other, sides
+
+
+def arrays(positive: list, negative: list):
+    """Codes and labels; the rarer label's windows are seen more often."""
+    most = max(len(positive), len(negative))
+    parts = [[group[k % len(group)] for k in range(most)] for group in (positive, negative)]
+    return (*codes(parts[0] + parts[1]), np.repeat([1.0, 0.0], most).astype(np.float32))
+
+
+def counted(net: Network, sides: dict) -> dict[str, dict[float, int]]:
+    """Held-out windows of each side by logit."""
+    out = {}
+    for side, part in sides.items():
+        z, n = np.unique(net.logits(*codes(part)).astype(np.float64), return_counts=True) if part else ((), ())
+        out[side] = dict(zip(map(float, z), map(int, n)))
+    return out
+
+
 def train(found: list[tuple[str, int, int]], other: list[tuple[str, int, int]]) -> Network | None:
-    """Network from windows of findings and of other candidates; every fifth
-    window is held out. Keys of FIT_SHAPES are planted in the surroundings of
-    other candidates to be fitted on, keys of HELD_SHAPES in held-out ones:
-    the threshold keeps RECALL of the held-out findings and of each held shape."""
+    """Network of one block of windows of findings and of other candidates;
+    every fifth window is held out. The threshold keeps RECALL of the held-out
+    findings and of each held shape."""
     if len(found) < 5 or len(other) < 5:
         return None
-    draw = np.random.default_rng(SEED)
-    plain = [w for w in other if not looks_random(w[0][w[1]:w[2]])] or other
-    hidden = [(t[a:], 0, b - a) if i % 2 else (t, a, b) for i, (t, a, b) in enumerate(found)]
-    kept, aside = [w for i, w in enumerate(other) if i % 5 != 4], [w for i, w in enumerate(other) if i % 5 == 4]
-    drawn = [planted(w, draw_key(FIT_SHAPES[i % len(FIT_SHAPES)], draw)) for i, w in enumerate(kept * (1 + 400 // len(kept)))]
-    sides = {"found": [w for i, w in enumerate(hidden) if i % 5 == 4]}
-    for k, shape in enumerate(HELD_SHAPES):
-        sides[str(k)] = [planted(w, draw_key(shape, draw)) for w in (aside * (1 + 100 // len(aside)))[:400]]
-    positive = [w for i, w in enumerate(hidden) if i % 5 != 4] + drawn
-    negative = [w for i, w in enumerate(plain) if i % 5 != 4]
-    most = max(len(positive), len(negative))
-    parts = [[group[k % len(group)] for k in range(most)] for group in (positive, negative)]     # the rarer label's windows are seen more often
-    x, inside = codes(parts[0] + parts[1])
+    kept, aside = ([[w for i, w in enumerate(part) if (i % 5 == 4) == held] for part in (found, other)] for held in (False, True))
+    positive, negative, sides = sides_of(*kept, *aside)
     net = Network()
-    net.fit(x, inside, np.repeat([1.0, 0.0], most).astype(np.float32))
-    logits = {k: net.logits(*codes(v)).astype(np.float64) for k, v in sides.items() if v}
-    clean = net.logits(*codes([w for i, w in enumerate(plain) if i % 5 == 4])).astype(np.float64)
-    all_found = np.concatenate(list(logits.values()))
-    net.calibrate(np.concatenate([all_found, clean]), np.repeat([1.0, 0.0], [len(all_found), len(clean)]))
-    lowest = [np.sort(net.probability(z)) for z in logits.values()]
-    net.threshold = float(min(p[int(np.floor((1 - RECALL) * len(p)))] for p in lowest))
+    net.fit(*arrays(positive, negative))
+    net.settle(counted(net, sides))
     return net
 
 
@@ -300,17 +348,83 @@ def decide(net: Network | None):
     return run
 
 
-def fit(scanned: DataFrame, fit_rows: int = FIT_ROWS) -> Network | None:
-    """Network from a bounded sample of a written table of scanned rows."""
-    return train(sample(scanned, True, fit_rows), sample(scanned, False, fit_rows))
+def different(scanned: DataFrame) -> DataFrame:
+    """First windows of the candidates of both labels, each different one once."""
+    return (scanned.select(F.explode("cand").alias("c")).where("c.found is not null")
+            .select(F.col("c.found").alias("found"), F.element_at("c.parts", 1).alias("p")).select("found", "p.*").distinct())
+
+
+def block_windows(block: pa.StructScalar):
+    """(found, other, held-out found, held-out other, seed) of a block. A window
+    in several blocks is held out in the first of them only."""
+    parts = [[], [], [], []]
+    for r in sorted(block["rows"].as_py(), key=lambda r: (r["h"], r["t"], r["a"], r["b"])):
+        if not r["aside"] or not r["copy"]:
+            parts[2 * r["aside"] + (not r["found"])].append((r["t"], r["a"], r["b"]))
+    return *parts, SEED + block["block"].as_py()
+
+
+def epoch(flat: np.ndarray, number: int):
+    """Weighted sum of the networks of a task's blocks after one epoch; the
+    weights stand last."""
+    def run(batches):
+        total = np.zeros(len(flat) + 1)
+        for batch in batches:
+            for block in batch.to_struct_array():
+                *parts, seed = block_windows(block)
+                positive, negative, _ = sides_of(*parts, seed)
+                if positive and negative:
+                    net = Network().unpack(flat)
+                    net.fit(*arrays(positive, negative), epochs=1, seed=seed + 1000 * number)
+                    n = len(parts[0]) + len(parts[1])
+                    total += np.append(net.pack(), 1.0) * n
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["sums"])
+    return run
 
 
-def sample(scanned: DataFrame, found: bool, fit_rows: int) -> list[tuple[str, int, int]]:
-    """First windows of candidates of one label, each different one once."""
-    rows = (scanned.select(F.explode("cand").alias("c")).where(F.col("c.found") == found)
-            .select(F.element_at("c.parts", 1).alias("p")).select("p.*").distinct()
-            .orderBy(F.xxhash64("t"), "t", "a", "b").limit(fit_rows).collect())          # fit_rows at most
-    return [(r["t"], r["a"], r["b"]) for r in rows]
+def count_held(flat: np.ndarray):
+    """Held-out windows of a task's blocks by side and logit."""
+    def run(batches):
+        net = Network().unpack(flat)
+        for batch in batches:
+            for block in batch.to_struct_array():
+                *parts, seed = block_windows(block)
+                rows = [(side, z, n) for side, part in counted(net, sides_of(*parts, seed)[2]).items() for z, n in part.items()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.float64(), pa.int64()))],
+                                                     ["side", "z", "n"])
+    return run
+
+
+def fit(scanned: DataFrame, fit_rows: int = FIT_ROWS) -> Network | None:
+    """Network from all different windows of a written table of scanned rows."""
+    rows = C.materialize(different(scanned), "windows")
+    sizes = {True: 0, False: 0} | {r[0]: r[1] for r in rows.groupBy("found").count().collect()}
+    if max(sizes.values()) <= fit_rows:                      # one block, and it is whole
+        got = rows.orderBy(F.xxhash64("t"), "t", "a", "b").collect()
+        return train(*([(r["t"], r["a"], r["b"]) for r in got if r["found"] == f] for f in (True, False)))
+    if min(sizes.values()) < 5:
+        return None
+    code = F.xxhash64("t", "a", "b")
+    dealt = C.deal(rows.withColumn("h", code).withColumn("aside", F.pmod(F.xxhash64("h"), F.lit(5)) == 4), F.col("found"), code, sizes,
+                   fit_rows, LEAST)
+    with C.small_batches(rows.sparkSession, BLOCKS_READ):
+        blocks = C.materialize(dealt.groupBy("block").agg(F.collect_list(F.struct("h", "t", "a", "b", "found", "aside", "copy")).alias("rows")),
+                               "blocks")
+        flat = Network().pack()
+        for k in range(EPOCHS):
+            sums = C.added(blocks.mapInArrow(epoch(flat, k), "sums array<double>"))
+            if not sums[-1]:
+                return None
+            flat = np.round(sums[:-1] / sums[-1], 7)         # sums come in any order
+        got = (blocks.mapInArrow(count_held(flat), "side string, z double, n long").groupBy("side", "z").agg(F.sum("n").alias("n"))
+               .collect())                                   # at most 2 * LIMIT * STEPS + 1 rows a side
+    counts: dict[str, dict[float, int]] = {}
+    for r in got:
+        counts.setdefault(r["side"], {})[r["z"]] = r["n"]
+    net = Network().unpack(flat)
+    net.settle(counts)
+    return net
 
 
 def find_secrets(docs: DataFrame, id_col="doc_id", text_col="text", fit_rows: int = FIT_ROWS) -> DataFrame:
