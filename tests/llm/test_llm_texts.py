@@ -147,6 +147,28 @@ def test_sets_with_too_few_parts(spark):
     assert len(got) == 1 and len(next(iter(got))) == 2
 
 
+def test_large_keys_are_packed(spark):
+    """Rows for the large keys of a group are bounded by buckets and partitions,
+    not by its members, and unpacking gives each member's keys."""
+    rnd = random.Random(9)
+    base = words(rnd, 40)
+    rows = [(i, edited(rnd, base, 0.01) + f" tail{i}") for i in range(400)]
+    groups = parity_join.candidate_groups(table(spark, rows).selectExpr("text as body"), small=5)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 0 < groups.where("scheme <> -1 and key is not null").count() <= parts * parts
+    got = {(r.scheme, r.cid): sorted(r["keys"]) for r in parity_join.large_keys(groups).collect()}
+    import numpy as np
+    import pyarrow as pa
+    sets = {parity_join.class_id(x): x for x in parity_join.shingle_sets(pa.array([t for _, t in rows]))}
+    own = {(j, c): (np.uint64(j << parity_join.SHIFT) | (parity_join.part_keys(x, j) >> np.uint64(64 - parity_join.SHIFT))).tolist()
+           for c, x in sets.items() for j, _ in parity_join.schemes(len(x))}
+    count = {}
+    for j, c in own:
+        for k in own[j, c]:
+            count[k] = count.get(k, 0) + 1
+    assert got == {jc: sorted(k for k in ks if count[k] > 5) for jc, ks in own.items() if any(count[k] > 5 for k in ks)}
+
+
 # --- repeated substrings
 
 

@@ -49,6 +49,8 @@ FLUSH = 500_000            # keys a task holds before it passes them on
 SLICE = 2 << 20            # bytes of text handled at once
 ROWS = 1000                # rows of an Arrow batch
 KNOWN = 200_000            # classes a task remembers as sent
+PACK = 10_000              # large keys of a row
+PACKED = -2                # the scheme of such rows
 SHIFT = 42                 # a key's low bits; the scheme's number stands above them
 M = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                                 0x85EBCA77C2B2AE63)]
@@ -221,11 +223,11 @@ def emit_keys(parts: int, fine: bool):
 GROUPS = "scheme int, key long, members array<long>"
 
 
-def group_keys(small: int):
+def group_keys(small: int, parts: int):
     """What the keys of a reduce partition tell. Without ``key``: the members of
     a small group, once per set of members. Scheme -1: the classes that share a
-    key with class ``key`` as its first, once per partition. Other schemes: the
-    large keys of class ``key``."""
+    key with class ``key`` as its first, once per partition. Scheme PACKED: large
+    keys of the classes of bucket ``key``, many in a row (see ``large_keys``)."""
     def run(batches):
         cids, keys = [], []
         for b in batches:
@@ -267,22 +269,58 @@ def group_keys(small: int):
                 ["scheme", "key", "members"])
         large = np.repeat(size, size) > small
         if large.any():
-            k, c = key[large], cid[large]
-            scheme = (k >> np.uint64(SHIFT)).astype(np.int32)
-            order = np.lexsort((k, c, scheme))
-            k, c, scheme = k[order], c[order], scheme[order]
-            at = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (scheme[1:] != scheme[:-1])]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(scheme[at]), pa.array(c[at]),
-                 pa.ListArray.from_arrays(pa.array(np.append(at, len(k)).astype(np.int32)), pa.array(k.astype(np.int64)))],
-                ["scheme", "key", "members"])
+            k, c = key[large].astype(np.int64), cid[large]
+            bucket = (mix(c.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((c, bucket))
+            k, c, bucket = k[order], c[order], bucket[order]
+            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            for i, j in zip(edges, [*edges[1:], len(k)]):
+                for x in range(i, j, PACK):
+                    own, n = np.unique(c[x:min(j, x + PACK)], return_counts=True)
+                    row = np.concatenate([[len(own)], own, n, k[x:min(j, x + PACK)]])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([PACKED], pa.int32()), pa.array([bucket[i]]), pa.array([row], pa.list_(pa.int64()))],
+                        ["scheme", "key", "members"])
     return run
 
 
 def candidate_groups(docs: DataFrame, fine: bool = False, small: int = SMALL) -> DataFrame:
     parts = C.partitions(docs.sparkSession)
     return (docs.select("body").mapInArrow(C.lean(emit_keys(parts, fine)), EXCHANGE)
-            .repartitionById(parts, F.col("pid")).mapInArrow(C.lean(group_keys(small)), GROUPS))
+            .repartitionById(parts, F.col("pid")).mapInArrow(C.lean(group_keys(small, parts)), GROUPS))
+
+
+def unpack(batches):
+    """Scheme, class and large keys of a bucket's classes."""
+    cids, keys = [], []
+    for b in batches:
+        for row in b.column(0):
+            v = row.values.to_numpy()
+            m = int(v[0])
+            cids.append(np.repeat(v[1:1 + m], v[1 + m:1 + 2 * m]))
+            keys.append(v[1 + 2 * m:])
+    if not keys:
+        return
+    c, k = np.concatenate(cids), np.concatenate(keys)
+    del cids, keys
+    scheme = (k >> SHIFT).astype(np.int32)
+    order = np.lexsort((k, c, scheme))
+    k, c, scheme = k[order], c[order], scheme[order]
+    at = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (scheme[1:] != scheme[:-1])]))
+    ends = np.append(at, len(k))
+    for i in range(0, len(at), ROWS):
+        part = ends[i:i + ROWS + 1]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(scheme[part[:-1]]), pa.array(c[part[:-1]]),
+             pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), pa.array(k[part[0]:part[-1]]))],
+            ["scheme", "cid", "keys"])
+
+
+def large_keys(groups: DataFrame) -> DataFrame:
+    """Large keys of each class and scheme, one row each."""
+    parts = C.partitions(groups.sparkSession)
+    return (groups.where(f"scheme = {PACKED}").select(F.col("key").cast("int").alias("bucket"), "members")
+            .repartitionById(parts, F.col("bucket")).select("members").mapInArrow(C.lean(unpack), "scheme int, cid long, keys array<long>"))
 
 
 def by_sketch(batches):
@@ -407,9 +445,8 @@ def large_pairs(hot: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFra
     Members of one component are not compared with each other, and a pair is
     compared by its first common key (as far as that is among the first HEAD of
     both; beyond, it may be given more than once)."""
-    own = hot.groupBy("scheme", F.col("key").alias("cid")).agg(F.flatten(F.collect_list("members")).alias("keys"))
     short = (classes.select("cid", "n", "sketch", F.explode("slack").alias("s")).select("cid", "n", "sketch", "s.*")
-             .join(own, ["scheme", "cid"]).where("parts - size(keys) <= most")
+             .join(hot, ["scheme", "cid"]).where("parts - size(keys) <= most")
              .withColumn("ranked", F.expr("slice(array_sort(transform(keys, k -> struct(xxhash64(k) as rank, k as key))), 1, "
                                           "cast(size(keys) - greatest(parts - most, 1) + 1 as int))"))
              .join(roots, "cid", "left"))
@@ -449,13 +486,13 @@ def _components(docs: DataFrame, id_col: str, text_col: str, small: int) -> Data
         fine = C.materialize(candidate_groups(d, fine=True, small=small), "fine-groups")
         both = (fine.where("key is null").select("members", F.explode("members").alias("cid")).join(few, "cid")
                 .select("cid", F.explode("members").alias("b")))
-        keyed = fine.where("scheme >= 0 and key is not null").select(F.col("key").alias("b"), F.explode("members").alias("k"))
+        keyed = C.materialize(large_keys(fine), "fine-keys").select(F.col("cid").alias("b"), F.explode("keys").alias("k"))
         extra = both.union(keyed.join(few.withColumnRenamed("cid", "b"), "b").select(F.col("b").alias("cid"), "k")
                            .join(keyed, "k").select("cid", "b")).where("cid <> b")
         few_pairs = extra.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
     else:
         few_pairs = None
-    small, hot = groups.where("key is null").select("members").distinct(), groups.where("scheme >= 0 and key is not null")
+    small, hot = groups.where("key is null").select("members").distinct(), large_keys(groups)
     star = groups.where("scheme = -1").select(F.col("key").alias("a"), F.explode("members").alias("b")).distinct()
     if few_pairs is not None:
         star = star.union(few_pairs).distinct()

@@ -373,7 +373,7 @@ def train(described: DataFrame, labels: DataFrame) -> Ranking | Constant:
     dealt = C.deal(rows.withColumn("h", F.xxhash64("x", "y")), F.col("y"), F.xxhash64("x"), {k: r["rows"] for k, r in of.items()},
                    BLOCK, LEAST)
     with C.small_batches(rows.sparkSession, BLOCKS_READ):
-        blocks = C.materialize(dealt.groupBy("block").agg(F.collect_list(F.struct("h", "y", "n", "fold", "x")).alias("rows"))
+        blocks = C.materialize(dealt.repartition(C.partitions(rows.sparkSession), "block").groupBy("block").agg(F.collect_list(F.struct("h", "y", "n", "fold", "x")).alias("rows"))
                                .select("rows"), "blocks")
         weights = fit_blocks(blocks, model)
     model.weights = weights[FOLDS]

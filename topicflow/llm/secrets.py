@@ -409,7 +409,7 @@ def fit(scanned: DataFrame, fit_rows: int = FIT_ROWS) -> Network | None:
     dealt = C.deal(rows.withColumn("h", code).withColumn("aside", F.pmod(F.xxhash64("h"), F.lit(5)) == 4), F.col("found"), code, sizes,
                    fit_rows, LEAST)
     with C.small_batches(rows.sparkSession, BLOCKS_READ):
-        blocks = C.materialize(dealt.groupBy("block").agg(F.collect_list(F.struct("h", "t", "a", "b", "found", "aside", "copy")).alias("rows")),
+        blocks = C.materialize(dealt.repartition(C.partitions(rows.sparkSession), "block").groupBy("block").agg(F.collect_list(F.struct("h", "t", "a", "b", "found", "aside", "copy")).alias("rows")),
                                "blocks")
         flat = Network().pack()
         for k in range(EPOCHS):
