@@ -1211,13 +1211,19 @@ def q_csv_roundtrip(spark, sf):
     return readers.read_csv(spark, path)
 
 
+CSV_FILE_BYTES = 512 << 20
+
+
 @register("csv_split_scan", "SELECT doc_id, text, source AS target FROM documents")
 def q_csv_split_scan(spark, sf):
-    """S01 by split: one CSV file of all documents, read by as many tasks as
-    it has splits although its texts hold newlines and quotes."""
-    path = scratch_path(spark, "csv-one")
+    """S01 by split: CSV files of all documents, a file for every 512 MB of
+    text at least, read by as many tasks as they have splits although their
+    texts hold newlines and quotes."""
+    path = scratch_path(spark, "csv-large")
     rows = derive.corpus(spark, sf).select("doc_id", "text", F.col("raw_target").alias("target"))
-    readers.write_csv(rows.coalesce(1), path)          # one file: the case that needs splits
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # files far larger than a split, the case that needs splits, yet none that one task writes alone
+    readers.write_csv(rows.coalesce(-(-size // CSV_FILE_BYTES) or 1), path)
     return readers.load_source(spark, "csv", path).drop("source")
 
 
