@@ -2,7 +2,7 @@
 top-k before shuffles, pruned scans, pushed filters."""
 import pytest
 
-from topicflow.plans import catalog
+from topicflow.plans import catalog, prepare
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +60,24 @@ def test_spread_only_for_few_splits(spark):
     few = spark.range(0, 1000, numPartitions=1)
     spread_plan = _plan(spread(few, "id"))
     assert "Exchange hashpartitioning(id" in spread_plan    # keyed, no round-robin sort
+
+
+def test_light_text_is_cleaned_once_for_both_light_versions(spark):
+    df = spark.createDataFrame([(1, "See http://x.y  the Children. ran!"), (2, None), (3, " \n\x1c")], "doc_id long, text string")
+    v = prepare.cleaned_versions(df)
+    plan = v._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("[URL]") == 1
+    got = {(r.doc_id, r.version): r.clean_text for r in v.collect()}
+    for name in prepare.VERSIONS:
+        assert {r.doc_id: r.x for r in df.select("doc_id", prepare.version_text(name).alias("x")).collect()} == \
+            {d: t for (d, n), t in got.items() if n == name}
+
+
+def test_flagged_versions_give_the_audit_and_the_split_of_the_texts(spark):
+    df = spark.createDataFrame([(i, "en", "the model ran." if i % 3 else " ") for i in range(30)], "doc_id long, domain string, text string")
+    v = prepare.cleaned_versions(df)
+    flagged = prepare.flagged_versions(v)
+    assert "clean_text" not in flagged.columns
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(prepare.cleaning_audit(flagged)) == rows(prepare.cleaning_audit(v))
+    assert rows(prepare.narrow_versions(flagged)) == rows(prepare.narrow_versions(v))
