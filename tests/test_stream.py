@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from topicflow.functions import text as T
 from topicflow.plans import catalog
 from topicflow.sources import derive
+from topicflow.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,3 +84,20 @@ def test_first_of_a_batch_is_chosen_by_time(spark, tmp_path):
     ingest.ingest_posts(spark, f"{src}/*.json", f"{tmp_path}/out", f"{tmp_path}/ckpt", None)
     assert [(r.id, r.text.strip()) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("x", "a")]
     assert [r.line for r in spark.read.parquet(f"{tmp_path}/out_rejects").collect()] == ["oops", "oops"]
+
+
+def test_first_seen_sorts_only_ids_that_repeat(monkeypatch):
+    import pandas as pd
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.exists = True
+    row = lambda t, p: pd.DataFrame({"created_utc": [t], "tie": ["x"], "payload": [p]})
+    both = pd.concat([row(2.0, "late"), row(1.0, "early")])
+    seen = State()
+    assert [x.payload.tolist() for x in ingest.first_seen(("#a",), [both, row(0.5, "first")], seen)] == [["first"]]
+    monkeypatch.setattr(pd.DataFrame, "sort_values", None)
+    assert list(ingest.first_seen(("#a",), [both, row(0.1, "again")], seen)) == []
+    assert [x.payload.tolist() for x in ingest.first_seen(("#b",), [row(3.0, "only")], State())] == [["only"]]

@@ -56,8 +56,11 @@ def first_seen(key, frames, state):
         if key[0].startswith(BAD):
             yield f[["payload"]]
             continue
+        if state.exists:                      # seen in an earlier batch: nothing to choose
+            continue
         f = f if best is None else pd.concat([best, f])
-        best = f.sort_values(["created_utc", "tie"], na_position="first", kind="stable").iloc[:1]
+        # most ids come once, and a sort of one row costs as much as the rest of the call
+        best = f if len(f) == 1 else f.sort_values(["created_utc", "tie"], na_position="first", kind="stable").iloc[:1]
     if best is not None and not state.exists:
         state.update((True,))
         yield best[["payload"]]
