@@ -31,6 +31,27 @@ def test_word_ids_equal_whole_text_ids(whole):
     assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [whole(t) for t in TEXTS]
 
 
+def test_plain_words_share_a_call(whole):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdeéèÄñßZ", k=rnd.randint(1, 12))) for _ in range(5000)] + ["don't", "x1y", "İx", "a\u0301b", "中"]
+    e = tokens.Encoder(tokens.vocabulary())
+
+    class Counting:
+        def __init__(self, t):
+            self.t, self.n = t, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.n += len(texts)
+            return self.t.encode_batch_fast(texts, **how)
+    e.tokenizer = Counting(e.tokenizer)
+    ids, off = e.encode(pa.array([" ".join(words), "a " + words[0]]))
+    assert ids[:off[1]].tolist() == whole(" ".join(words)) and ids[off[1]:].tolist() == whole("a " + words[0])
+    assert 0 < e.tokenizer.n < 20                            # one encoding each would be about 5,000
+    e.forget()
+    e.final[:] = False                                       # a vocabulary without word ends: one by one
+    assert e.encode(pa.array([" ".join(words)]))[0].tolist() == whole(" ".join(words))
+
+
 @pytest.mark.parametrize("top", [1, 2, 200, 50_000, 2**32])
 def test_blocks_round_trip(top):
     rng = np.random.default_rng(top)

@@ -27,6 +27,7 @@ from . import tokens as T
 
 CAPACITY = 4096
 SLICE = 4 << 20            # bytes of text handled at once
+BATCH_ROWS = 2000          # texts in one Arrow batch
 END_ID = 1
 
 
@@ -191,8 +192,9 @@ def place(rows: np.ndarray, names: list[str]):
 def pack_documents(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """Packed pieces with their digest: doc_id, piece, start, length,
     ids_crc32, sequence_id, offset. The ids themselves are not shuffled."""
-    pieces = C.materialize(cut_pieces(docs, id_col, text_col).withColumn("ids_crc32", F.crc32("ids")).drop("ids"),
-                           "pieces")
+    with C.small_batches(docs.sparkSession, BATCH_ROWS):     # whole texts: a batch is held by the JVM and the worker
+        pieces = C.materialize(cut_pieces(docs, id_col, text_col).withColumn("ids_crc32", F.crc32("ids")).drop("ids"),
+                               "pieces")
     return pack(pieces).select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "piece", "start", "length",
                                "ids_crc32", "sequence_id", "offset")
 
