@@ -61,6 +61,29 @@ def test_marks_do_not_end_spaced_words(model, text, word):
     assert word in extra and set(rows.tolist()) == {2}
 
 
+def test_letters_take_the_short_search(model, monkeypatch):
+    import random
+    rnd = random.Random(3)
+    letters = sorted(model.at)
+    some = ["".join(rnd.choice(letters) * rnd.choice((1, 1, 1, 2, 3, 5)) for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+    want = [toxicity.viterbi(t, model) for t in some]
+    assert [toxicity.viterbi_letters(t, model) for t in some] == want
+
+    def never(*_):
+        raise AssertionError("the whole lattice was searched")
+    monkeypatch.setattr(toxicity, "viterbi", never)
+    assert [toxicity.restored(t, model) for t in some if toxicity.suspicious(t)] == \
+        [(w,) for t, w in zip(some, want) if toxicity.suspicious(t)]
+
+
+def test_finder_finds_the_features():
+    words = ["abcdefghijkl", "abcdef", "abc", "abcd", "ab", "xbcdef", "12<34", "efgh"]
+    names = sorted({f for w in words[::2] for f in toxicity.features(w)})
+    find = toxicity.finder(names)
+    for w in words:
+        assert sorted(find(w)) == [i for i, f in enumerate(names) if f in toxicity.features(w)]
+
+
 def test_toxicity(spark):
     rnd = random.Random(1)
     rows, labels = [], []

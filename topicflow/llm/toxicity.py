@@ -24,6 +24,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -150,6 +151,37 @@ def viterbi(token: str, model: Trigrams, spaced: bool = False) -> str:
     return " ".join("".join(reversed(parts)).replace("^", " ").split())
 
 
+def viterbi_letters(token: str, model: Trigrams) -> str:
+    """``viterbi`` of a token of known letters only, where just the runs leave a
+    choice: a state is the run before taken once or doubled, so there are two
+    at most and the sums are the same."""
+    rows, at = model.rows, model.at
+    states = [(0, 0, 0.0, None)]                             # last two symbols, score, (text, previous)
+    for c, n in runs(token):
+        x = at[c]
+        best = {}
+        for a, b, score, back in states:
+            if n <= 2:
+                once = score + (0.0 if n == 1 else TWICE_COST)
+                twice = score
+            else:
+                once, twice = score + ONCE_COST, score + TWICE_COST
+            step = rows[a][b][x]
+            once += step
+            if n > 1:
+                twice = twice + step + rows[b][x][x]
+            if "1" not in best or once > best["1"][2]:
+                best["1"] = (b, x, once, (c, back))
+            if n > 1 and ("2" not in best or twice > best["2"][2]):
+                best["2"] = (x, x, twice, (c + c, back))
+        states = [best["1"]] if n == 1 else [best["2"], best["1"]] if n == 2 else [best["1"], best["2"]]
+    parts, back = [], max(states, key=lambda s: s[2] + rows[s[0]][s[1]][0])[3]
+    while back is not None:
+        parts.append(back[0])
+        back = back[1]
+    return "".join(reversed(parts))
+
+
 def core(token: str) -> str:
     """A token without marks at its ends (a single leading or trailing sign
     that may stand for a letter stays)."""
@@ -169,10 +201,19 @@ def suspicious(t: str) -> bool:
     return letters > 0 and (letters * 3 >= len(t) or any(c in MARKS for c in t))
 
 
+DOUBLED = re.compile(r"(.)\1", re.S).search
+
+
 def restored(token: str, model: Trigrams) -> tuple[str, ...]:
-    t = core(token)
+    t = token if token.isalpha() else core(token)            # letters have no marks at their ends
     if not t:
         return ()
+    if t.isalpha():                                          # ``suspicious`` of letters
+        if len(t) < 3 or not DOUBLED(t):
+            return (t,)
+        if model.at.keys() >= set(t):
+            return (viterbi_letters(t, model),)
+        return tuple(viterbi(t, model).split())
     return tuple(viterbi(t, model).split()) if suspicious(t) else (t,)
 
 
@@ -187,10 +228,10 @@ def doc_words(text: pa.Array, known: dict, make, model: Trigrams):
     names = coded.dictionary.to_pylist()
     if len(known) > CACHE_WORDS:
         known.clear()
-    for w in names:
-        if w not in known:
-            known[w] = tuple(v for r in restored(w, model) for v in make(r))
-    got = [known[w] for w in names]
+    got = list(map(known.get, names))
+    for k in [k for k, g in enumerate(got) if g is None]:
+        w = names[k]
+        known[w] = got[k] = tuple([v for r in restored(w, model) for v in make(r)])
     lens = np.fromiter(map(len, got), np.int64, len(got))
     values = [v for g in got for v in g]
     start = np.cumsum(lens) - lens
@@ -210,14 +251,15 @@ def doc_words(text: pa.Array, known: dict, make, model: Trigrams):
     extra, extra_rows = [], []
     if one.any():
         edge = np.flatnonzero(np.diff(np.concatenate([[0], (one * (row + 1)), [0]])))
-        for a, b in zip(edge[:-1], edge[1:]):
-            if one[a] and b - a >= SPACED:
-                joined = "".join(letter[k] for k in at[a:b].tolist())
-                for t in dict.fromkeys((joined, core(joined))):          # with and without lone marks at its ends
-                    for w in viterbi(t, model, True).split() if t else ():
-                        got = make(w)
-                        extra += got
-                        extra_rows += [row[a]] * len(got)
+        a, b = edge[:-1], edge[1:]
+        long = one[a] & (b - a >= SPACED)
+        for a, b in zip(a[long].tolist(), b[long].tolist()):
+            joined = "".join(letter[k] for k in at[a:b].tolist())
+            for t in dict.fromkeys((joined, core(joined))):              # with and without lone marks at its ends
+                for w in viterbi(t, model, True).split() if t else ():
+                    got = make(w)
+                    extra += got
+                    extra_rows += [row[a]] * len(got)
     return values, pos, rows, extra, np.array(extra_rows, dtype=np.int64)
 
 
@@ -280,6 +322,29 @@ def features(word: str) -> tuple[str, ...]:
     return (word, *(word[:k] + ">" for k in range(3, min(9, n))), *("<" + word[-k:] for k in range(3, min(9, n))))
 
 
+def finder(names: list[str]):
+    """Function from a word to the places in ``names`` of its features. Only the
+    names that share the word's first or last three letters are looked at."""
+    at = {f: i for i, f in enumerate(names)}
+    front: dict[str, list] = {}
+    back: dict[str, list] = {}
+    for f, i in at.items():
+        if f.endswith(">") and 4 <= len(f) <= 9:
+            front.setdefault(f[:3], []).append((f[:-1], len(f) - 1, i))
+        if f.startswith("<") and 4 <= len(f) <= 9:
+            back.setdefault(f[-3:], []).append((f[1:], len(f) - 1, i))
+
+    def find(w: str) -> tuple[int, ...]:
+        found = {at[w]} if w in at else set()
+        n = len(w)
+        if starts := front.get(w[:3]):
+            found.update([i for p, k, i in starts if k < n and w.startswith(p)])
+        if ends := back.get(w[-3:]):
+            found.update([i for p, k, i in ends if k < n and w.endswith(p)])
+        return tuple(found)
+    return find
+
+
 def sample_words(model: Trigrams):
     def run(batches):
         known: dict = {}
@@ -311,11 +376,11 @@ def choose_features(sample: DataFrame, width: int = FEATURES, min_docs: int = MI
 
 
 def present(names: list[str]):
-    at = {f: i for i, f in enumerate(names)}
+    find = finder(names)
 
     def run(batches):
         for b in batches:
-            ids = [sorted({at[f] for w in words for f in features(w) if f in at}) for words in b.column(1).to_pylist()]
+            ids = [sorted({i for w in words for i in find(w)}) for words in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["toxic", "ids"])
     return run
 
@@ -343,13 +408,10 @@ def fit_regression(rows: list[list[int]], y: np.ndarray, width: int, ridge: floa
 
 def scorer(model: Trigrams, names: list[str], weights: np.ndarray):
     """Function from a string array to scores."""
-    at = {f: i for i, f in enumerate(names)}
+    make = finder(names)
     width = max(1, len(names))
     known: dict = {}
 
-    def make(w):
-        return tuple({at[f] for f in features(w) if f in at})
-
     def run(text: pa.Array) -> np.ndarray:
         values, pos, rows, extra, extra_rows = doc_words(text, known, make, model)
         f = np.concatenate([np.array(values, np.int64)[pos] if len(pos) else np.zeros(0, np.int64),
