@@ -53,7 +53,7 @@ def vocabulary(docs: DataFrame, params: TfidfParams, id_col: str = "doc_id", tex
 def long_form(docs: DataFrame, vocab: DataFrame, params: TfidfParams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Written (doc, term, part, x): L2-normalised tf-idf; ``part`` tells which
     copy of a split term's weights the row meets."""
-    tf = term_frequencies(with_terms(docs, id_col, text_col, params.ngram_min, params.ngram_max), id_col)
+    tf = term_frequencies(with_terms(docs, id_col, text_col, 1, 1), id_col, ngrams=(params.ngram_min, params.ngram_max))
     copies = vocab.select("term", "idf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     hot = vocab.where("parts > 1").select("term", F.col("parts").alias("many"))
     dealt = tf.join(hot, "term", "left").withColumn("part", F.expr(f"cast(pmod(xxhash64({id_col}), coalesce(many, 1)) as int)"))
