@@ -30,3 +30,27 @@ def test_a_slice_bounds_what_a_task_holds():
     lists = pa.array([["a"] * k for k in (30, 60, 20, 250, 5, 0, 95, 1)] + [None], pa.list_(pa.string())).slice(1)
     got = [(start, len(part), len(part.flatten())) for part, start in features._slices(lists, 100)]
     assert got == [(0, 2, 80), (2, 1, 250), (3, 3, 100), (6, 2, 1)]
+
+
+def test_block_products_hold_no_row_per_word_and_class():
+    """Before, a product held words x classes at once, gathered across the weights."""
+    import tracemalloc
+
+    import numpy as np
+
+    from topicflow.operators.newton import Block
+    draw = np.random.default_rng(1)
+    size = draw.integers(0, 300, 400)
+    size[[0, 7, 399]] = 0                                     # rows without words
+    at, value = draw.integers(0, 500, size.sum()).astype(np.int32), draw.random(size.sum())
+    b = Block([400, np.append(0, np.cumsum(size)).astype(np.int64).tobytes(), at.tobytes(), value.tobytes(),
+               draw.integers(0, 30, 400).tobytes(), np.ones(400).tobytes()])
+    x = np.zeros((400, 500))
+    np.add.at(x, (np.repeat(np.arange(400), size), at), value)
+    w, r = draw.random((30, 501)), draw.random((400, 30))
+    tracemalloc.start()
+    z, g = b.margins(w), b.spread(r, 500)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(z, x @ w[:, :-1].T + w[:, -1]) and np.allclose(g, np.hstack([(x.T @ r).T, r.sum(axis=0)[:, None]]))
+    assert peak < 8 * len(at) * 10                            # 30 classes
