@@ -54,3 +54,14 @@ def test_block_products_hold_no_row_per_word_and_class():
     tracemalloc.stop()
     assert np.allclose(z, x @ w[:, :-1].T + w[:, -1]) and np.allclose(g, np.hstack([(x.T @ r).T, r.sum(axis=0)[:, None]]))
     assert peak < 8 * len(at) * 10                            # 30 classes
+
+
+def test_embedding_is_fitted_on_every_row(spark):
+    """Before, on 20,000 rows at most: words of the others had no vector."""
+    from pyspark.sql import functions as F
+
+    from topicflow.operators import classify
+    n = 20_300                                                # each word is in two rows
+    rows = spark.range(n).select(F.concat(F.lit("w"), F.floor(F.col("id") / 2)).alias("text"))
+    _, w2v = classify.dense_features(rows, "text", classify.DenseParams(vector_size=2))
+    assert w2v.getVectors().count() == n // 2
