@@ -65,3 +65,30 @@ def test_embedding_is_fitted_on_every_row(spark):
     rows = spark.range(n).select(F.concat(F.lit("w"), F.floor(F.col("id") / 2)).alias("text"))
     _, w2v = classify.dense_features(rows, "text", classify.DenseParams(vector_size=2))
     assert w2v.getVectors().count() == n // 2
+
+
+def test_an_epoch_is_few_jobs_and_equal_to_single_steps(spark, monkeypatch):
+    """Before, each step of each epoch was a job of its own."""
+    import numpy as np
+
+    from topicflow.operators import epochs as E
+    draw = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, [int(k) for k in draw.integers(2, 30, i % 9)], int(draw.integers(3))) for i in range(300)] + [(5, [3, 4], 1)],
+                                 "doc_id long, ids array<int>, y int").repartition(3)
+    params = E.EpochParams(width=4, epochs=2, batch_rows=8)
+
+    def jobs(run_rows, cells):
+        monkeypatch.setattr(E, "RUN_ROWS", run_rows)
+        monkeypatch.setattr(E, "DENSE_CELLS", cells)
+        spark.sparkContext.setJobGroup(f"epochs-{run_rows}", "")
+        _, table, folder = E.train_epochs(rows, rows, 30, ["a", "b", "c"], params)
+        done = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"epochs-{run_rows}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        last = E.written_epochs(spark, folder).orderBy("epoch").collect()[-1]
+        return done, E.State.unpacked(bytes(last["state"])), [r.loss for r in table.orderBy("epoch").collect()]
+    few, state, loss = jobs(E.RUN_ROWS, E.DENSE_CELLS)
+    some, state2, loss2 = jobs(16, E.DENSE_CELLS)             # runs of two steps
+    many, state1, loss1 = jobs(8, 0)                          # a job per step, merged from tasks
+    assert state.step == state1.step == state2.step > 40 and few < some < many and few < 40
+    for other, l in ((state1, loss1), (state2, loss2)):
+        assert all(np.allclose(state.weights[k], other.weights[k], atol=1e-12) for k in state.weights) and np.allclose(loss, l)
