@@ -92,3 +92,20 @@ def test_an_epoch_is_few_jobs_and_equal_to_single_steps(spark, monkeypatch):
     assert state.step == state1.step == state2.step > 40 and few < some < many and few < 40
     for other, l in ((state1, loss1), (state2, loss2)):
         assert all(np.allclose(state.weights[k], other.weights[k], atol=1e-12) for k in state.weights) and np.allclose(loss, l)
+
+
+def test_scoring_holds_the_embeddings_of_few_rows():
+    """Before, those of a whole Arrow batch: 10,000 rows of up to 256 ids."""
+    import tracemalloc
+
+    import numpy as np
+
+    from topicflow.operators import epochs as E
+    weights = E.fresh_state(50, 3, E.EpochParams()).weights
+    ids = pa.array([[k % 50 for k in range(i, i + 200 * (i % 3))] for i in range(1500)], pa.list_(pa.int32())).slice(1)
+    tracemalloc.start()
+    p = E.probabilities(weights, ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(p, E.softmax(E.bags(ids, weights["embed"])[0] @ weights["out"] + weights["bias"]))
+    assert peak < 60e6 and E.probabilities(weights, ids.slice(0, 0)).shape == (0, 3)

@@ -41,6 +41,7 @@ from .metrics import summary
 
 
 RUN_ROWS = 16_384                        # rows of a job, as whole batches
+SCORE_ROWS = 256                         # rows whose embeddings are held at once
 DENSE_CELLS = 1 << 20                    # ids x rows of a batch that are counted in a full matrix
 
 
@@ -106,6 +107,12 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def probabilities(weights: dict, ids: pa.Array) -> np.ndarray:
+    """Class probabilities of each row, SCORE_ROWS rows at a time."""
+    parts = [softmax(bags(ids.slice(k, SCORE_ROWS), weights["embed"])[0] @ weights["out"] + weights["bias"]) for k in range(0, len(ids), SCORE_ROWS)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(weights["bias"])))
+
+
 def gradient(weights: dict, ids: pa.Array, y: np.ndarray):
     """Summed cross-entropy and its gradient over rows: (loss, embedding ids,
     their gradient rows, out, bias)."""
@@ -253,7 +260,7 @@ class EpochModel:
 
         def run(batches):
             for b in batches:
-                p = softmax(bags(b.column(at), weights["embed"])[0] @ weights["out"] + weights["bias"]) if b.num_rows else np.zeros((0, len(labels)))
+                p = probabilities(weights, b.column(at))
                 best = p.argmax(axis=1)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.int32()), pa.array([labels[k] for k in best], pa.string()),
                                                   pa.array(p.max(axis=1) if len(p) else [], pa.float64())],
