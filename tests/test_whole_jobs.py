@@ -109,3 +109,30 @@ def test_scoring_holds_the_embeddings_of_few_rows():
     tracemalloc.stop()
     assert np.allclose(p, E.softmax(E.bags(ids, weights["embed"])[0] @ weights["out"] + weights["bias"]))
     assert peak < 60e6 and E.probabilities(weights, ids.slice(0, 0)).shape == (0, 3)
+
+
+def test_a_trial_without_max_features_has_every_term(spark):
+    """Before, its vocabulary was cut to 200,000 terms."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from topicflow.operators import search
+    draw = np.random.default_rng(4)
+    own = {"x": "apple pear plum", "y": "iron lead tin", "z": "dog cat cow"}
+    texts = [(i % 50, " ".join([*draw.choice(own[k].split(), 2), *draw.choice("the of and one two".split(), 4)]), k) for i in range(40) for k in own]
+    texts += [(None, "", "x"), (3, "unseen", "y")]            # rows without a known term, keys that repeat or are null
+    train = spark.createDataFrame(texts, "doc_id long, text string, label string").repartition(3)
+    val = spark.createDataFrame([*texts[:60], (900, "apple", "other"), (901, "", "z")], "doc_id long, text string, label string")
+    params = features.TfidfParams(1, 2, 2, 1.0, None)
+    vocab = features.fit_tfidf(train, params)
+    rows = train.withColumn("n", F.monotonically_increasing_id()).localCheckpoint()
+    got = {r.n: dict(zip(*r.features)) for r in features.table_vectors(rows, vocab, params, "n", ["n", "label"]).collect()}
+    want = {r.n: dict(zip(r.features.indices.tolist(), r.features.values.tolist())) for r in features.tfidf_transformer(vocab, params).transform(rows).collect()}
+    assert got.keys() == want.keys() and all(got[n].keys() == want[n].keys() and np.allclose([got[n][k] for k in want[n]], list(want[n].values())) for n in want)
+    for solver in ("liblinear", "lbfgs"):
+        space = {**search.SPACE, "ngram_min": ("int", 1, 1), "min_df": ("int", 2, 2), "max_df": ("float", 1.0, 1.0), "C": ("log", 5.0, 5.1), "solver": ("cat", [solver])}
+        one, two = (search.random_search(train, val, 1, 3, space={**space, "max_features": ("cat", [m])}).collect() for m in ("None", "100000"))
+        assert [r.most_features for r in one] == [None] and all(r.status == "ok" for r in one)
+        assert [(r.val_f1, r.val_accuracy) for r in one] == [(r.val_f1, r.val_accuracy) for r in two]
+    none = search.random_search(train, val, 1, 3, space={**space, "max_features": ("cat", ["None"]), "min_df": ("int", 999, 999)}).first()
+    assert none.status == "failed" and "no term left" in none.message
