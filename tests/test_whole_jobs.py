@@ -136,3 +136,44 @@ def test_a_trial_without_max_features_has_every_term(spark):
         assert [(r.val_f1, r.val_accuracy) for r in one] == [(r.val_f1, r.val_accuracy) for r in two]
     none = search.random_search(train, val, 1, 3, space={**space, "max_features": ("cat", ["None"]), "min_df": ("int", 999, 999)}).first()
     assert none.status == "failed" and "no term left" in none.message
+
+
+def test_l1_steps_travel_without_the_features_at_rest():
+    """Before, every weight an l1 step tried was as wide as the vocabulary."""
+    import numpy as np
+
+    from topicflow.operators import newton
+    draw = np.random.default_rng(6)
+    x = draw.random((200, 300)) * (draw.random((200, 300)) < 0.1)
+    y = (x[:, 0] + x[:, 1] > x[:, 2] + 0.2).astype(np.int64)
+    at = np.nonzero(x)
+    b = newton.Block([200, np.append(0, np.cumsum((x != 0).sum(axis=1))).astype(np.int64).tobytes(), at[1].astype(np.int32).tobytes(), x[at].tobytes(),
+                      y.tobytes(), np.ones(200).tobytes()])
+    widths = []
+
+    class Local(newton.Problem):
+        def __init__(self):
+            self.shape, self.one_vs_rest, self.passes = (2, 301), True, 0
+
+        def _sum(self, run):
+            self.passes += 1
+            got = run(b)
+            widths.append(len(got))
+            return got
+
+    only = np.array([0, 2, 7, 150])
+    w = np.zeros((2, 301))
+    w[:, [*only, 300]] = draw.random((2, 5))
+    wide, own = Local(), [*only, 300]
+    assert np.allclose(wide.losses([w]), wide.losses([w[:, own]], only))
+    assert np.allclose(wide.hessian_times(w, w)[:, own], wide.hessian_times(w[:, own], w[:, own], only))
+    widths.clear()
+    got = newton.minimise_l1(Local(), 0.5, tol=1e-6)
+    assert got.converged and 0 < (got.weights[:, :-1] != 0).sum() < 200
+    z = x @ got.weights[:, :-1].T + got.weights[:, -1]
+    r = newton.probabilities(z, True) - (np.arange(2) == y[:, None])
+    g = np.vstack([x.T @ r, r.sum(axis=0)]).T
+    k = got.weights[:, :-1]
+    assert np.abs(g[:, -1]).max() < 1e-3 and (np.abs(g[:, :-1][k == 0]) <= 0.5 + 1e-3).all() and np.allclose(g[:, :-1][k != 0], -0.5 * np.sign(k[k != 0]), atol=1e-3)
+    wide_ones = sum(n == 603 for n in widths)                 # gradients: 2 x 301 and the loss
+    assert wide_ones < len(widths) / 2 and min(n for n in widths if n > 8) < 500
